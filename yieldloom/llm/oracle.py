@@ -41,6 +41,20 @@ SELECT doc_id, source, weight, cycle, source_rank, block, (block * cycle) // wei
 FROM p CROSS JOIN h
 """
 
+OP1 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+        WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n FROM g),
+s AS (SELECT doc_id, unnest(g) AS s FROM g),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept
+FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3}
+    return {"op1_minhash_near_dedup": OP1, "op2_mix_sources": OP2, "op3_exact_dedup": OP3}
