@@ -59,9 +59,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text, in order. Long texts are read piece by piece, cut between words."""
-    text = text.lower()
+def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
+    """Hashes of the words of a text, in order; A-Z lower-cased if ``fold``. Long texts are read piece by
+    piece, cut between words."""
+    text = text.lower() if fold else text
     parts, begin = [], 0
     while begin < len(text):
         end = len(text)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldloom.llm import exact_dedup, language, minhash, mixing, packing, secrets, token_output
+from yieldloom.llm import exact_dedup, html_extract, language, minhash, mixing, packing, quality, secrets, token_output, toxicity
 from yieldloom.llm.common import fold
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -42,14 +42,33 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect(docs.select("doc_id", "text"), trees).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), VOCABULARY)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judge(docs, rules)
+
+
 def op9_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_matrices(_documents(spark, sf_dir), VOCABULARY)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = fold(F.col("doc_id")) == 0
+    model = toxicity.learn(docs, labels.where(~held_out))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "offending")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -57,6 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_language_id": op5_language_id,
+        "op6_html_extract": op6_html_extract,
         "op7_pack": op7_pack,
+        "op8_quality_rules": op8_quality_rules,
         "op9_token_matrices": op9_token_matrices,
+        "op10_toxicity": op10_toxicity,
     }
