@@ -86,3 +86,8 @@ def merge_maps(primary: DataFrame, fallback: DataFrame, key: str, value: str) ->
 def failures(rules: dict[str, Column]) -> Column:
     """The names of the rules that a row breaks, as an array."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+
+
+def require(ok: Column, message: Column) -> Column:
+    """A filter that keeps rows for which ``ok`` holds and fails the job at any other."""
+    return F.coalesce(F.when(ok, F.lit(True)), F.raise_error(message).cast("boolean"))

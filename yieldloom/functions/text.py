@@ -255,27 +255,33 @@ def rule_event(message: Column, rules: Sequence[tuple[Sequence[str], str, str]]
     return out
 
 
+_EVENT = r"^\s*(\d{4})[/-](\d{1,2})[/-](\d{1,2})\s+(\d{1,2}:\d{2}:\d{2})(?:[:.]?(\d{1,6}))?\s*(.*)$"
+_DAY = r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$"
+
+
 def parse_event_line(c: Column, fallback: Column) -> Column:
-    """(date, time, message) of a line of a machine log; ``fallback`` dates lines without one."""
+    """(date, time, message) of a line of a machine log; ``fallback`` dates lines without one. The pattern
+    is matched once: its groups are joined by a control character and split again."""
     text = F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("\u0000"), F.lit("")))
-    full = r"^\s*(\d{4})[/-](\d{1,2})[/-](\d{1,2})\s+(\d{1,2}:\d{2}:\d{2})(?:[:.]?(\d{1,6}))?\s*(.*)$"
+    mark = "\u0001"
+
+    def ymd(p: Column) -> Column:
+        return F.concat_ws("-", F.get(p, F.lit(0)), F.lpad(F.get(p, F.lit(1)), 2, "0"), F.lpad(F.get(p, F.lit(2)), 2, "0"))
 
-    def part(k: int) -> Column:
-        return F.regexp_extract(text, full, k)
+    def dated(p: Column) -> Column:
+        fraction = F.when(p[4] != "", F.concat(F.lit(":"), p[4])).otherwise(F.lit(""))
+        return F.struct(ymd(p).alias("date"), F.concat(p[3], fraction).alias("time"), F.trim(p[5]).alias("message"))
 
-    date = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
-    time = F.concat(part(4), F.when(part(5) != "", F.concat(F.lit(":"), part(5))).otherwise(F.lit("")))
+    def tabbed(p: Column) -> Column:
+        day = F.split(F.regexp_replace(F.trim(p[0]), _DAY, mark.join(("$1", "$2", "$3"))), mark)
+        own = F.transform(F.array(day), lambda d: F.when(F.size(d) == 3, ymd(d)).otherwise(fallback))[0]
+        return F.struct(own.alias("date"), F.trim(p[1]).alias("time"), F.trim(F.array_join(F.slice(p, 3, 1 << 20), "\t")).alias("message"))
+
+    groups = F.split(F.regexp_replace(text, _EVENT, mark.join(f"${k}" for k in range(1, 7))), mark)
     cells = F.split(text, "\t")
-    day = r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$"
-    cell_day = F.trim(cells[0])
-    own = F.concat_ws("-", F.regexp_extract(cell_day, day, 1), F.lpad(F.regexp_extract(cell_day, day, 2), 2, "0"), F.lpad(F.regexp_extract(cell_day, day, 3), 2, "0"))
-    rest = F.trim(F.array_join(F.slice(cells, 3, 1 << 20), "\t"))
-    return (
-        F.when(text == "", F.lit(None))
-        .when(text.rlike(full), F.struct(date.alias("date"), time.alias("time"), F.trim(part(6)).alias("message")))
-        .when(F.size(cells) >= 3, F.struct(F.when(cell_day.rlike(day), own).otherwise(fallback).alias("date"), F.trim(F.get(cells, F.lit(1))).alias("time"), rest.alias("message")))
-        .otherwise(F.struct(fallback.alias("date"), F.lit("").alias("time"), text.alias("message")))
-    )
+    plain = F.struct(fallback.alias("date"), F.lit("").alias("time"), text.alias("message"))
+    kinds = F.transform(F.array(F.struct(groups.alias("g"), cells.alias("c"))), lambda x: F.when(F.size(x["g"]) == 6, dated(x["g"])).when(F.size(x["c"]) >= 3, tabbed(x["c"])).otherwise(plain))
+    return F.when(text != "", kinds[0])
 
 
 def hour_key(c: Column) -> Column:
@@ -286,12 +292,9 @@ def hour_key(c: Column) -> Column:
 
 def minute_of_day(c: Column, is_end: bool = False) -> Column:
     """Minutes since midnight of HH:mm; an end of 23:59 is the end of the day; null if invalid."""
-    hour = F.regexp_extract(c, r"^(\d{1,2}):(\d{2})", 1).try_cast("int")
-    minute = F.regexp_extract(c, r"^(\d{1,2}):(\d{2})", 2).try_cast("int")
-    value = hour * 60 + minute
-    if is_end:
-        value = F.when(value == 1439, F.lit(1440)).otherwise(value)
-    return F.when((hour <= 23) & (minute <= 59), value)
+    clock = F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), F.lpad(F.regexp_extract(c, r"^(\d{1,2}:\d{2})", 1), 5, "0")), F.lit("yyyy-MM-dd HH:mm"))
+    value = F.hour(clock) * 60 + F.minute(clock)
+    return F.when(value == 1439, F.lit(1440)).otherwise(value) if is_end else value
 
 
 def schedule_priority(schedule_id: Column, created: Column) -> Column:

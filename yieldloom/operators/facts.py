@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.functions import dates, rates, text
+from yieldloom.functions import dates, rates, records, text
 
 DIMENSIONS = ["line", "file_name", "report_date", "work_order", "product_code", "model_name", "status", "defect", "machine", "input_included", "is_defect", "source_format"]
 NO_ORDER = "未識別工單"
@@ -352,7 +352,7 @@ def upsert_rules(rules: DataFrame) -> DataFrame:
     """Rules in their stored form; rows without id, text or model, or of another kind, are refused."""
     clean = rules.select("id", "match_type", text.match_text(F.col("match_text")).alias("match_text"), F.upper(F.trim("model")).alias("model"))
     ok = (F.col("id") != "") & (F.col("match_text") != "") & (F.col("model") != "") & F.col("match_type").isin("exact", "contains")
-    return clean.where(F.assert_true(F.coalesce(ok, F.lit(False)), F.lit("a rule needs id, kind, text and model")).isNull())
+    return clean.where(records.require(ok, F.lit("a rule needs id, kind, text and model")))
 
 
 def new_members(facts: DataFrame, dimension: DataFrame, column: str, name: str = "name") -> DataFrame:

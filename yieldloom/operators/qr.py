@@ -17,8 +17,8 @@ def qr_entries(scans: DataFrame) -> DataFrame:
     with an invalid time fails the job."""
     rows = scans.where(F.coalesce(F.trim("qr"), F.lit("")) != "")
     day = dates.parse_stamp(F.col("time"))
-    ok = F.assert_true(day.isNotNull(), F.concat(F.lit("invalid time in "), F.col("file_name")))
-    return rows.where(ok.isNull()).select("file_name", day.alias("report_date"), text.sha_hex(F.trim("qr")).alias("qr_hash"))
+    ok = records.require(day.isNotNull(), F.concat(F.lit("invalid time in "), F.col("file_name")))
+    return rows.where(ok).select("file_name", day.alias("report_date"), text.sha_hex(F.trim("qr")).alias("qr_hash"))
 
 
 def qr_set(entries: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from yieldloom.functions import dates, text
+from yieldloom.functions import dates, records, text
 
 LOG_COLUMNS = 9
 #: Places (from 0) of a log's columns in its two layouts.
@@ -26,14 +26,13 @@ def _blank(columns: list[str]):
 
 def read_process_log(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Rows of test-process logs (header and blank rows dropped) as raw texts _c0 to _c9, with file_name
-    and row_id, which grows within a file. A file whose rows have fewer than nine columns is refused."""
-    rows = _csv(spark, path, 10, encoding)
-    first = Window.partitionBy("file_name")
-    rows = rows.withColumn("_first", F.min("row_id").over(first)).where(F.col("row_id") > F.col("_first")).drop("_first")
-    cells = [f"_c{k}" for k in range(10)]
-    rows = rows.where(~_blank(cells))
-    enough = F.assert_true(F.col("_c8").isNotNull() | F.col("_c7").isNotNull() | F.col("_c4").isNotNull(), F.concat(F.lit("fewer than 9 columns in "), F.col("file_name")))
-    return rows.where(enough.isNull())
+    and row_id, which grows within a file. A file whose header has fewer than nine
+    columns is refused."""
+    own = Window.partitionBy("file_name")
+    rows = _csv(spark, path, 10, encoding).withColumns({"_first": F.min("row_id").over(own), "_ninth": F.min_by("_c8", "row_id").over(own)})
+    wide = records.require(F.col("_ninth").isNotNull(), F.concat(F.lit("fewer than 9 columns in "), F.col("file_name")))
+    rows = rows.where(wide & (F.col("row_id") > F.col("_first"))).drop("_first", "_ninth")
+    return rows.where(~_blank([f"_c{k}" for k in range(10)]))
 
 
 def project_layout(df: DataFrame, source_format: str = "source_format", line: str = "line") -> DataFrame:
@@ -85,8 +84,8 @@ def read_qr_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
     is_header = (header("_c1") == "qrcode") & (header("_c5") == "time")
     own = Window.partitionBy("file_name")
     rows = rows.withColumn("_header", F.min(F.when(is_header, F.col("row_id"))).over(own))
-    found = F.assert_true(F.col("_header").isNotNull(), F.concat(F.lit("no header row in "), F.col("file_name")))
-    rows = rows.where(found.isNull()).where(F.col("row_id") > F.col("_header"))
+    missing = F.raise_error(F.concat(F.lit("no header row in "), F.col("file_name"))).cast("long")
+    rows = rows.where(F.col("row_id") > F.coalesce("_header", missing))
     return rows.select("file_name", "row_id", F.trim(F.coalesce("_c1", F.lit(""))).alias("qr"), F.col("_c5").alias("time"))
 
 
