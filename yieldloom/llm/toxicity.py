@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ MOST_FEATURES = 2_000
 LEAST_DOCS, LEAST_RATIO = 4, 16.0
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_MOST_WORDS = 1 << 20
+_MOST_WORDS = 1 << 18
 
 
 def features(word: str) -> list[str]:
@@ -87,65 +88,115 @@ class SentenceModel:
         return float(-math.expm1(-total)), found
 
 
-def fit(documents: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.2, decay: float = 0.002) -> SentenceModel:
-    """Weights by Adam steps on the noisy-or likelihood of the documents' labels."""
-    share = float(toxic.mean()) if len(toxic) else 0.0
-    if not 0 < share < 1:
-        p = min(max(share, 0.0), 1 - 1e-6)
-        return SentenceModel({}, math.log(p / (1 - p)) if p else -700.0)
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    bags = [[{f for w in set(_WORD.findall(m[0].lower())) for f in features(w)} for m in _SENTENCE.finditer(t)] or [set()] for t in documents]
-    for bag, label in zip(bags, toxic, strict=True):
-        counts[int(label)].update(set().union(*bag))
-    n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
+def document_features(text: str) -> set[str]:
+    return {f for w in set(_WORD.findall(text.lower())) for f in features(w)}
+
+
+def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
+    """Features that stand out in toxic documents, from (feature, toxic documents, clean documents)."""
     ratios = {}
-    for f, a in counts[1].items():
-        b = counts[0][f]
-        if a >= LEAST_DOCS and a / n1 > b / n0 and (r := likelihood_ratio(a, b, n1, n0)) >= LEAST_RATIO:
+    for f, a, b in counts:
+        if a >= LEAST_DOCS and a * clean > b * toxic and (r := likelihood_ratio(a, b, toxic, clean)) >= LEAST_RATIO:
             ratios[f] = r
-    chosen = sorted(ratios, key=lambda f: (-ratios[f], f))[:MOST_FEATURES]
-    number = {f: k for k, f in enumerate(chosen)}
-    of_doc, of_sentence, of_feature, sizes, plain = [], [], [], 0, np.zeros(len(bags))
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            hits = [number[f] for f in sentence if f in number]
-            if hits:
-                of_doc.append(d)
-                of_sentence += [sizes] * len(hits)
-                of_feature += hits
-                sizes += 1
-            else:
-                plain[d] += 1
-    docs_, sent, feat = np.array(of_doc, int), np.array(of_sentence, int), np.array(of_feature, int)
-    x = np.zeros(len(chosen) + 1)
-    x[:-1], x[-1] = 1.0, -7.0
+    return sorted(ratios, key=lambda f: (-ratios[f], f))[:MOST_FEATURES]
+
+
+def bag(text: str, number: dict[str, int]) -> tuple[int, list[list[int]]]:
+    """How many sentences have no chosen feature, and the features of each of the others."""
+    plain, hits = 0, []
+    for m in _SENTENCE.finditer(text):
+        found = sorted({number[f] for w in set(_WORD.findall(m[0].lower())) for f in features(w) if f in number})
+        if found:
+            hits.append(found)
+        else:
+            plain += 1
+    return (plain, hits) if plain or hits else (1, [])
+
+
+def prior(share: float) -> SentenceModel:
+    """The model without features whose score of one sentence is ``share``."""
+    p = min(max(share, 0.0), 1 - 1e-6)
+    return SentenceModel({}, math.log(p / (1 - p)) if p else -700.0)
+
+
+def fit_bags(chosen: list[str], bags: list[tuple[int, list[list[int]]]], toxic: np.ndarray, rounds: int = 300, rate: float = 0.2, decay: float = 0.002) -> SentenceModel:
+    """Weights by Adam steps on the noisy-or likelihood of the documents' labels."""
+    plain = np.array([b[0] for b in bags], float)
+    docs = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
+    sentences = [s for b in bags for s in b[1]]
+    sent = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences]).astype(int)
+    feat = np.array([f for s in sentences for f in s], int)
+    x = np.ones(len(chosen) + 1)
+    x[-1] = -7.0
     m, v = np.zeros_like(x), np.zeros_like(x)
     y = toxic.astype(float)
     for t in range(1, rounds + 1):
-        z = np.bincount(sent, weights=x[feat], minlength=sizes) + x[-1]
-        a = np.bincount(docs_, weights=np.logaddexp(0, z), minlength=len(y)) + plain * np.logaddexp(0, x[-1])
+        z = np.bincount(sent, weights=x[feat], minlength=len(sentences)) + x[-1]
+        a = np.bincount(docs, weights=np.logaddexp(0, z), minlength=len(y)) + plain * np.logaddexp(0, x[-1])
         clean = np.exp(-a)
         da = (1 - y) - y * clean / np.maximum(1e-9, 1 - clean)
-        dz = da[docs_] / (1 + np.exp(-z))
+        dz = da[docs] / (1 + np.exp(-z))
         g = np.append(np.bincount(feat, weights=dz[sent], minlength=len(chosen)), dz.sum() + (da * plain).sum() / (1 + math.exp(-x[-1])))
         g = g / len(y) + decay * np.append(x[:-1], 0.0) / max(1, len(chosen))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return SentenceModel({f: float(x[k]) for f, k in number.items()}, float(x[-1]))
+    return SentenceModel(dict(zip(chosen, x[:-1].tolist(), strict=True)), float(x[-1]))
+
+
+def fit(documents: list[str], toxic: np.ndarray) -> SentenceModel:
+    """A model of a few documents, in memory."""
+    n1 = int(toxic.sum())
+    if not 0 < n1 < len(toxic):
+        return prior(n1 / len(toxic) if len(toxic) else 0.0)
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, label in zip(documents, toxic, strict=True):
+        counts[int(label)].update(document_features(text))
+    chosen = choose(((f, a, counts[0][f]) for f, a in counts[1].items()), n1, len(toxic) - n1)
+    number = {f: k for k, f in enumerate(chosen)}
+    return fit_bags(chosen, [bag(t, number) for t in documents], toxic)
+
+
+def _counted(batches):
+    for whole in batches:
+        for batch in slices(whole, "text", 2 << 20):
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(texts(batch.column("text")), batch.column("label").to_pylist(), strict=True):
+                counts[label].update(document_features(text))
+            names = sorted(set().union(*counts))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][f] for f in names], pa.int64()) for k in (1, 0))], ["feature", "a", "b"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SentenceModel:
-    """A model from about ``sample_docs`` rows of ``labels`` (doc_id, toxic), chosen by a hash of the id;
-    the driver gets the texts of those documents."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
+    """A model from about ``sample_docs`` rows of ``labels`` (doc_id, toxic), chosen by a hash of the id.
+    Features are counted and sentences reduced to chosen features in Spark; the driver gets at most
+    MOST_FEATURES candidates and the reduced sentences of the sample."""
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("of"), (F.col("toxic") == 1).cast("int").alias("label"))
     n = known.count()
     if not n:
-        return SentenceModel({}, -700.0)
-    dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(1 << 30)) / F.lit(1 << 30)
-    chosen = known.where(dice < min(1.0, sample_docs / n)).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "of")
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    return fit([t or "" for t in rows["text"]], (rows["toxic"] == 1).to_numpy())
+        return prior(0.0)
+    dice = F.pmod(F.xxhash64(F.col("of"), F.lit(10)), F.lit(1 << 30)) / F.lit(1 << 30)
+    sample = known.where(dice < min(1.0, sample_docs / n)).groupBy("of").agg(F.max("label").alias("label"))
+    # about sample_docs rows, whatever the input
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("doc_id", "text", "label")
+    kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = kinds.get(1, 0), kinds.get(0, 0)
+    if not n1 or not n0:
+        return prior(n1 / (n1 + n0) if n1 + n0 else 0.0)
+    counted = rows.mapInArrow(_counted, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = counted.where((F.col("a") >= LEAST_DOCS) & (F.col("a") * n0 > F.col("b") * n1))
+    lead = counted.orderBy(F.desc(F.col("a") / n1 - F.col("b") / n0), "feature").limit(4 * MOST_FEATURES)
+    chosen = choose([(r["feature"], r["a"], r["b"]) for r in lead.collect()], n1, n0)
+    number = {f: k for k, f in enumerate(chosen)}
+
+    def reduced(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                bags = [bag(t, number) for t in texts(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([b[0] for b in bags], pa.int64()), pa.array([b[1] for b in bags], pa.list_(pa.list_(pa.int32())))], ["doc_id", "label", "plain", "hits"])
+
+    schema = T.StructType([docs.schema["doc_id"]]).add("label", T.IntegerType()).add("plain", T.LongType()).add("hits", T.ArrayType(T.ArrayType(T.IntegerType())))
+    found = sorted(rows.mapInArrow(reduced, schema).collect(), key=lambda r: (r["doc_id"], r["plain"], r["hits"]))
+    return fit_bags(chosen, [(r["plain"], r["hits"]) for r in found], np.array([r["label"] == 1 for r in found]))
 
 
 def score(docs: DataFrame, model: SentenceModel) -> DataFrame:
