@@ -38,7 +38,7 @@ PERMUTATIONS = ROWS * BANDS // 2
 BLOCK = 256
 BLOCK_BYTES = 4 << 20
 _PIECE = 1 << 20
-_MOST_WORDS = 1 << 20
+_MOST_WORDS = 1 << 17
 
 
 class _Hashes(dict):
@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ties = member.join(bucket, F.col("band") == F.col("of_band")).where("vertex <> hub").select(F.col("vertex").alias("src"), F.col("hub").alias("dst")).distinct()
     clusters = connected_components(ties)
 
-    body = docs.join(clusters, F.col("doc_id") == F.col("id")).select(F.col("id").alias("vertex"), "component", "text")
+    # neither side has a size bound, so neither is broadcast
+    body = docs.join(clusters.hint("merge"), F.col("doc_id") == F.col("id")).select(F.col("id").alias("vertex"), "component", "text")
     body = materialize(body)
     sizes = body.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks")).withColumnRenamed("component", "of")
     dealt = body.join(sizes, F.col("component") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
@@ -222,4 +223,4 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """The rows of ``docs`` whose document has the smallest id of its component. Columns as before."""
     gone = fresh("gone_id", docs.columns)
     dropped = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
+    return docs.join(dropped.hint("merge"), F.col("doc_id") == F.col(gone), "left_anti")
