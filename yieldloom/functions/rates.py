@@ -40,15 +40,10 @@ def quantity(value: Column) -> Column:
     return F.when(number > 0, F.greatest(F.lit(1), F.floor(number))).otherwise(F.lit(1)).cast("long")
 
 
-def with_share(df: DataFrame, part: list[str], value: str = "qty", name: str = "share") -> DataFrame:
-    """``df`` with each row's one-digit share of ``value`` within ``part`` (the whole table if empty)."""
+def with_share(df: DataFrame, part: list[str], value: str = "qty", name: str = "share", digits: int = 1) -> DataFrame:
+    """``df`` with each row's share of ``value`` within ``part`` (the whole table if empty), in percent."""
     total = F.sum(value).over(Window.partitionBy(*part))
-    return df.withColumn(name, ratio1(F.col(value), total))
-
-
-def with_share2(df: DataFrame, part: list[str], value: str, name: str = "share") -> DataFrame:
-    """``df`` with each row's two-digit share of ``value`` within ``part``."""
-    return df.withColumn(name, map_rate(F.col(value), F.sum(value).over(Window.partitionBy(*part))))
+    return df.withColumn(name, _half_up(F.col(value), total, digits))
 
 
 def with_rank(df: DataFrame, part: list[str], order: list[Column], name: str = "rank") -> DataFrame:

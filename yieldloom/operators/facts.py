@@ -88,14 +88,14 @@ def _breakdown(facts: DataFrame, keys: list[str]) -> DataFrame:
 def by_model(facts: DataFrame) -> DataFrame:
     """line, model, input, good, defects, rates and the share of the line's defects."""
     named = facts.withColumn("model", F.coalesce(F.nullif("model_name", F.lit("")), F.lit(text.NO_MODEL_NAME)))
-    return rates.with_share2(_breakdown(named, ["line", "model"]), ["line"], "defects")
+    return rates.with_share(_breakdown(named, ["line", "model"]), ["line"], "defects", digits=2)
 
 
 def by_work_order(facts: DataFrame) -> DataFrame:
     """line, work_order, models (joined by ' / '), input, good, defects, rates, share of defects."""
     named = facts.withColumns({"model": F.coalesce(F.nullif("model_name", F.lit("")), F.lit(text.NO_MODEL_NAME)), "work_order": F.coalesce(F.nullif("work_order", F.lit("")), F.lit(NO_ORDER))})
     kept = named.where(_entered()).groupBy("line", "work_order").agg(*_counts(), F.array_join(F.sort_array(F.collect_set("model")), " / ").alias("models"))
-    return rates.with_share2(_rates(kept), ["line"], "defects")
+    return rates.with_share(_rates(kept), ["line"], "defects", digits=2)
 
 
 def daily(facts: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def detail_cross(facts: DataFrame) -> DataFrame:
     )
     long = facts.where(_entered()).select("line", "quantity", F.explode(F.array_compact(pairs)).alias("p"))
     out = long.groupBy("p.kind", "line", "p.a", "p.b").agg(F.sum("quantity").alias("qty"))
-    return rates.with_share2(out, ["kind", "line", "a"], "qty")
+    return rates.with_share(out, ["kind", "line", "a"], "qty", digits=2)
 
 
 def refresh_summaries(facts: DataFrame, heads: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

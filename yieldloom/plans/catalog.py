@@ -152,7 +152,12 @@ def compact_groups(spark, d):
   array_to_string(list_sort(list(DISTINCT model_name)), '、') AS model_name, array_to_string(list_sort(list(DISTINCT product_code)), '、') AS product_code,
   array_to_string(list_sort(list(DISTINCT work_order)), '、') AS work_order, min(report_date) AS date_start, max(report_date) AS date_end,
   coalesce(nullif(array_to_string(list_sort(list(DISTINCT status) FILTER (WHERE status NOT IN ('GOOD', 'FAIL'))), '、'), ''), '無') AS unknown_status_text FROM winners GROUP BY line, file_name)
-SELECT *, CASE WHEN date_start = date_end THEN date_start ELSE date_start || '～' || date_end END AS report_date, {_pct('good_count', 'input_count')} AS yield_rate, {_pct('fail_count', 'input_count')} AS defect_rate FROM g""")
+SELECT h.line, h.file_name, coalesce(row_count, 0) AS row_count, coalesce(input_count, 0) AS input_count, coalesce(good_count, 0) AS good_count, coalesce(fail_count, 0) AS fail_count,
+  coalesce(unknown_status_count, 0) AS unknown_status_count, coalesce(model_name, '未識別機種') AS model_name, coalesce(product_code, '未識別產品代碼') AS product_code, coalesce(work_order, '未識別工單') AS work_order,
+  date_start, date_end, coalesce(unknown_status_text, '無') AS unknown_status_text,
+  CASE WHEN date_start IS NULL THEN '未識別日期' WHEN date_start = date_end THEN date_start ELSE date_start || '～' || date_end END AS report_date,
+  {_pct('good_count', 'input_count')} AS yield_rate, {_pct('fail_count', 'input_count')} AS defect_rate
+FROM (SELECT DISTINCT line, file_name FROM plog) h LEFT JOIN g ON g.line = h.line AND g.file_name = h.file_name""")
 def refresh_summaries(spark, d):
     none = F.lit(None).cast("string")
     heads = b.heads(spark, d).withColumns({c: none for c in ("model_name", "product_code", "work_order", "report_date", "date_start", "date_end")})
