@@ -4,6 +4,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,7 +68,9 @@ def test_any_markup_is_read(page):
     assert all(line == " ".join(line.split()) and line for line in text.split("\n")) or text == ""
 
 
-def test_style_tree_finds_repeated_branches(spark):
+@pytest.mark.parametrize("broadcast_bytes", [8 << 20, -1])
+def test_style_tree_finds_repeated_branches(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", broadcast_bytes)
     rows = [(i, "http://h.example/1", f"<div class='x'>Same on all pages</div><div class='y'>Text number {i}</div>", "e") for i in range(12)]
     rows += [(100, "http://other.example/1", "<div class='x'>Same on all pages</div>", "e"), (101, None, None, "e"), (102, "bad url", "<p>z", "e"), (102, "bad url", "<p>z", "e")]
     pages = spark.createDataFrame(rows, PAGES + ", noise string")
