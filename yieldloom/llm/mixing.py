@@ -133,4 +133,5 @@ def mix(
     of, upto = fresh("of_source", docs.columns), fresh("upto", docs.columns)
     last = last.select(F.col("source").alias(of), F.col("last").alias(upto))
     place = F.struct(_bucket(F.col("doc_id")).alias("bucket"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    return docs.join(last, F.col("source").eqNullSafe(F.col(of)) & (place <= F.col(upto)), "inner").drop(of, upto)
+    # at most MAX_SOURCES rows
+    return docs.join(F.broadcast(last), F.col("source").eqNullSafe(F.col(of)) & (place <= F.col(upto)), "inner").drop(of, upto)
