@@ -184,5 +184,6 @@ def detect(docs: DataFrame, trees: ContextTrees | None, prediction: str = "lang_
                 langs = [own.langs[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
                 kept = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != letter]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(np.where(ok, posterior, 0.0), pa.float64())], schema.names)
+        own.place = None  # the worker lives on, for other tasks and queries
 
     return docs.withColumn(letter, has_letter(F.col("text"))).mapInArrow(run, schema)

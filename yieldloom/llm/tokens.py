@@ -30,7 +30,7 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACE}{_L}{_N}]+
 #: Lower-casing U+0130 gives a combining mark; special tokens start with <|.
 _OTHER = re.compile(f"[^\\x00-\\u{LAST:04x}]|\\u0130|<\\|")
 _PIECE = 1 << 20
-_MOST_WORDS = 1 << 20
+_MOST_WORDS = 1 << 18
 
 
 class WordTokenizer:
@@ -40,6 +40,9 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_last[[k for token, k in vocabulary.items() if token.endswith(self.whole.model.end_of_word_suffix)]] = True
 
     def _pieces(self, text: str):
         begin = 0
@@ -55,8 +58,12 @@ class WordTokenizer:
         if len(self.words) + len(words) > _MOST_WORDS:
             self.words.clear()
         new = [w for w in words if w not in self.words]
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+        ids = np.array(self.whole.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        ends = (np.flatnonzero(self.is_last[ids]) + 1).tolist()
+        if len(ends) != len(new):
+            raise ValueError("the vocabulary doesn't mark the ends of words")
+        packed = ids.tobytes()
+        self.words.update(zip(new, (packed[4 * i : 4 * j] for i, j in zip([0, *ends], ends)), strict=True))
 
     def pack(self, text: str) -> bytes:
         if _OTHER.search(text):
