@@ -28,11 +28,16 @@ def blank(column: str = "dedup_key") -> Column:
     return F.coalesce(F.col(column), F.lit("")) == ""
 
 
+def _own_key(row: str) -> Column:
+    """The dedup key; a key of its own for a row without one, so that one pass ranks both kinds."""
+    return F.when(blank(), F.concat(F.lit("\u0000"), F.col(row).cast("string"))).otherwise(F.col("dedup_key"))
+
+
 def dedup_file(df: DataFrame, order: str = "row_id") -> DataFrame:
     """The earliest row of each key within a file; the first of equally early ones; a missing time comes
     last, rows without a key stay."""
     by = [F.coalesce("dedup_time", F.lit(2**63 - 1)), F.col(order)]
-    return df.where(blank()).unionByName(first_by(df.where(~blank()), ["line", "file_name", "dedup_key"], by))
+    return first_by(df.withColumn("_key", _own_key(order)), ["line", "file_name", "_key"], by).drop("_key")
 
 
 def active_candidates(candidates: DataFrame, heads: DataFrame) -> DataFrame:
@@ -43,7 +48,7 @@ def active_candidates(candidates: DataFrame, heads: DataFrame) -> DataFrame:
 def elect_winners(candidates: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """The winner of each (line, key) by time (missing last), upload and id; all rows without a key."""
     live = candidates if heads is None else active_candidates(candidates, heads)
-    return live.where(blank()).unionByName(first_by(live.where(~blank()), KEY, _order()))
+    return first_by(live.withColumn("_key", _own_key("id")), ["line", "_key"], _order()).drop("_key")
 
 
 def winner_rows(winners: DataFrame, candidates: DataFrame) -> DataFrame:
