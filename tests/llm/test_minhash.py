@@ -47,7 +47,8 @@ def corpus(seed, n):
 
 def test_components_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 20)
-    for width, percent in ((3, 85), (5, 80)):
+    for width, percent, rows in ((3, 85, 200_000), (5, 80, 0)):
+        monkeypatch.setattr(minhash, "BROADCAST_ROWS", rows)
         data = corpus(width, 150)
         want = brute(data, width, percent)
         got = minhash.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(3), width, percent).collect()
@@ -67,10 +68,28 @@ def test_repeated_rows_nulls_and_stage(spark):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.deduplicate(empty).count() == 0
 
 
-def test_chain_components(spark):
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
+def test_components(spark):
+    rng = random.Random(7)
+    ladder = [(i, i + 1) for i in range(0, 40)]
+    shuffled = rng.sample(range(1000, 1060), 60)
+    edges = ladder + [(100, 101), (101, 100), (7, 7)] + list(zip(shuffled, shuffled[1:], strict=False)) + [(2000, 2000 + k) for k in range(1, 50)]
+    edges += [(rng.randrange(3000, 3060), rng.randrange(3000, 3060)) for _ in range(50)]
+    want = {}
+    for a, b in edges:
+        if a != b:
+            want.setdefault(a, a)
+            want.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a != b and want[a] != want[b]:
+                want[a] = want[b] = min(want[a], want[b])
+                changed = True
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert got == want
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert connected_components(spark.createDataFrame([(5, 3)], "src long, dst long").where("src > 0")).count() == 2
 
 
 def test_signature_estimates_similarity():
