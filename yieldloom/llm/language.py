@@ -29,7 +29,7 @@ SAMPLE_DOCS = 800
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
 _K = 64
-_STEP = 1 << 20
+_STEP = 1 << 18
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

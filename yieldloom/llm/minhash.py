@@ -37,8 +37,10 @@ ROWS, BANDS = 7, 32
 PERMUTATIONS = ROWS * BANDS // 2
 BLOCK = 256
 BLOCK_BYTES = 4 << 20
+#: Clusters of more than one block are broadcast up to this number (12 bytes each).
+BROADCAST_ROWS = 200_000
 _PIECE = 1 << 20
-_MOST_WORDS = 1 << 17
+_MOST_WORDS = 1 << 16
 
 
 class _Hashes(dict):
@@ -205,8 +207,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # neither side has a size bound, so neither is broadcast
     body = docs.join(clusters.hint("merge"), F.col("doc_id") == F.col("id")).select(F.col("id").alias("vertex"), "component", "text")
     body = materialize(body)
-    sizes = body.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks")).withColumnRenamed("component", "of")
-    dealt = body.join(sizes, F.col("component") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)
+    large = materialize(body.groupBy(F.col("component").alias("of")).agg(F.ceil(weight).cast("int").alias("blocks")).where("blocks > 1"))
+    # a cluster may hold any share of the rows, so rows are dealt by cluster only if the large ones are many
+    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    dealt = body.join(F.broadcast(large) if few else large, F.col("component") == F.col("of"), "left")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vertex", "text")
     edges = dealt.groupBy("component", "low", "high").applyInArrow(_confirm(width, percent), "src long, dst long")
