@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -30,7 +31,34 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACE}{_L}{_N}]+
 #: Lower-casing U+0130 gives a combining mark; special tokens start with <|.
 _OTHER = re.compile(f"[^\\x00-\\u{LAST:04x}]|\\u0130|<\\|")
 _PIECE = 1 << 20
-_MOST_WORDS = 1 << 17
+_MOST_WORDS = 1 << 18
+
+
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where it is visible in
+    Latin-1, else one from U+0100 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (c for c in range(0x100, 0x200))
+    return [chr(k) if k in seen else chr(next(others)) for k in range(256)]
+
+
+_SIGNS = _byte_signs()
+
+
+class _Words(dict):
+    """Packed ids by word, worked out when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _MOST_WORDS:
+            self.clear()
+        signs = word if word.isascii() and word.isprintable() else "".join(map(_SIGNS.__getitem__, word.encode()))
+        ids = [t.id for t in self.model.tokenize(signs)]
+        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
 
 class WordTokenizer:
@@ -39,10 +67,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        vocabulary = self.whole.get_vocab(with_added_tokens=False)
-        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_last[[k for token, k in vocabulary.items() if token.endswith(self.whole.model.end_of_word_suffix)]] = True
+        self.words = _Words(self.whole.model)
 
     def _pieces(self, text: str):
         begin = 0
@@ -54,29 +79,11 @@ class WordTokenizer:
             begin = end
         yield text[begin:]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > _MOST_WORDS:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
-        ids = np.array(self.whole.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-        ends = (np.flatnonzero(self.is_last[ids]) + 1).tolist()
-        if len(ends) != len(new):
-            raise ValueError("the vocabulary doesn't mark the ends of words")
-        packed = ids.tobytes()
-        self.words.update(zip(new, (packed[4 * i : 4 * j] for i, j in zip([0, *ends], ends)), strict=True))
-
     def pack(self, text: str) -> bytes:
         if _OTHER.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out = []
-        for piece in self._pieces(text):
-            words = _WORD.findall(piece.lower())
-            try:
-                out.append(b"".join(map(self.words.__getitem__, words)))
-            except KeyError:
-                self._learn(set(words))
-                out.append(b"".join(map(self.words.__getitem__, words)))
-        return b"".join(out)
+        known = self.words.__getitem__
+        return b"".join([b"".join(map(known, _WORD.findall(piece.lower()))) for piece in self._pieces(text)])
 
 
 @lru_cache(maxsize=2)
