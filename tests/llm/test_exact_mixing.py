@@ -94,3 +94,17 @@ def test_schedule_and_mix(spark):
     assert kept == Counter(r.doc_id for r in got if r.in_mix)
     assert mixing.schedule(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_small_sources_do_not_bound_the_mixture(spark):
+    data = [(i, "x", "en", "big" if i % 3 else "mid", 1, -i) for i in range(3000)] + [(5000, "y", "en", "tiny", 1, 0), (5001, "z", "en", None, 1, 0)]
+    docs = spark.createDataFrame(data, SCHEMA + ", slot int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = [tuple(r) for r in mixed.collect()]
+    assert Counter(got) == Counter(data)
+    slot = {r.doc_id: r.slot for r in mixing.schedule(docs).collect()}
+    assert [slot[r[0]] for r in got] == sorted(slot.values())
+    # both large sources are spread: in the first half of the order each stands near its tempered weight
+    first = Counter(r[3] for r in got[:1000])
+    assert abs(first["mid"] / 1000 - 1000**0.7 / (1000**0.7 + 2000**0.7)) < 0.03

@@ -6,7 +6,8 @@ before slot ceil((i+1)*W/w) (its deadline). Each slot takes the released block w
 deadline; ties go to the source that comes first by name. The schedule repeats after W slots, so only
 one cycle, whose length depends on the weights' resolution and not on the data, is worked out; a row's
 slot then follows from its rank within its source. Until the first source runs out, every prefix of
-slots holds each source's weight with a deviation of less than one block.
+slots holds each source's weight with a deviation of less than one block; later on its slots are empty.
+:func:`mix` keeps all rows under tempered weights, and cuts there under weights that a caller gives.
 
 Only DataFrame operations touch rows. Cases: a null source is a source of its own; a null id ranks
 first; repeated rows rank next to each other; an empty table gives an empty result; other columns are
@@ -77,7 +78,7 @@ def _plan(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float
         return i // whole[s] * total + slots[s][i % whole[s]]
 
     horizon = min((slot(s, counts[s] // block) for s in whole), default=0)
-    schema = "source string, weight int, cycle int, slots array<int>, horizon long"
+    schema = "source string, weight long, cycle long, slots array<int>, horizon long"
     rows = [(s, whole.get(s, 0), total, slots.get(s, []), horizon) for s in _by_name(counts)]
     return docs.sparkSession.createDataFrame(rows, schema)
 
@@ -86,52 +87,60 @@ def _bucket(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(doc_id, F.lit(BUCKETS)), F.lit(0))
 
 
+def _slotted(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, block: int, cut: bool | None) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with further columns, and their names by part: rank (from 0), block, weight, cycle, slot,
+    in_mix."""
+    cut = weights is not None if cut is None else cut
+    name = {n: fresh(n, docs.columns) for n in ("bucket", "rank", "block", "weight", "cycle", "slot", "slots", "horizon", "in_mix", "of_source")}
+    rows = docs.withColumn(name["bucket"], _bucket(F.col("doc_id")))
+    ranked = bucket_ranks(rows, ["source"], "doc_id", name["bucket"], name["rank"])
+    plan = _plan(docs, weights, alpha, block)
+    plan = plan.select(F.col("source").alias(name["of_source"]), *[F.col(n).alias(name[n]) for n in ("weight", "cycle", "slots", "horizon")])
+    # at most MAX_SOURCES rows
+    joined = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col(name["of_source"])))
+    joined = joined.withColumn(name["block"], F.expr(f"{name['rank']} div {block}"))
+    w = F.col(name["weight"])
+    at = F.expr(f"({name['block']} div {name['weight']}) * {name['cycle']} + {name['slots']}[cast({name['block']} % {name['weight']} as int)]")
+    joined = joined.withColumn(name["slot"], F.when(w > 0, at).cast("long"))
+    # rows of sources of weight 0 have no slot
+    within = F.col(name["slot"]) < F.col(name["horizon"]) if cut else F.col(name["slot"]).isNotNull()
+    joined = joined.withColumn(name["in_mix"], F.coalesce(within, F.lit(False)))
+    kept = ("bucket", "rank", "block", "weight", "cycle", "slot", "in_mix")
+    return joined.select(*docs.columns, *[name[n] for n in kept]), name
+
+
 def schedule(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = 16
+    docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = 16, cut: bool | None = None
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, weight (of ``cycle``), source_rank (from 1; by
-    doc_id mod 4096, then doc_id), block (from 0), release, deadline, slot (null for weight 0), in_mix
-    (before the slot at which the first source runs out)."""
-    rows = docs.select("doc_id", "source").withColumn("bucket", _bucket(F.col("doc_id")))
-    ranked = bucket_ranks(rows, ["source"], "doc_id", "bucket", "rank")
-    plan = _plan(docs, weights, alpha, block).withColumnRenamed("source", "of_source")
-    joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("of_source")))
-    b, w, c = F.expr(f"rank div {block}"), F.col("weight").cast("long"), F.col("cycle").cast("long")
-    i = F.col("block")
-    some = w > 0
-    slot = F.when(some, F.expr("(block div weight) * cycle + slots[cast(block % weight as int)]"))
-    return joined.withColumn("block", b).select(
+    doc_id mod 4096, then doc_id), block (from 0), release, deadline, slot (null for weight 0), in_mix.
+
+    With ``cut``, in_mix holds before the slot at which the first source runs out; without, for each row
+    that has a slot. Unless it is given, only weights of the caller's cut: tempered ones follow from the
+    corpus itself, whose smallest source would bound it."""
+    rows, _ = _slotted(docs.select("doc_id", "source"), weights, alpha, block, cut)
+    w, c, i = F.col("weight").cast("long"), F.col("cycle").cast("long"), F.col("block")
+    return rows.select(
         "doc_id",
         "source",
         w.alias("weight"),
         c.alias("cycle"),
         (F.col("rank") + 1).alias("source_rank"),
         i,
-        F.when(some, F.expr("(block * cycle) div weight")).alias("release"),
-        F.when(some, F.expr("((block + 1) * cycle + weight - 1) div weight")).alias("deadline"),
-        slot.cast("long").alias("slot"),
-        F.coalesce(slot < F.col("horizon"), F.lit(False)).alias("in_mix"),
+        F.when(w > 0, F.expr("(block * cycle) div weight")).alias("release"),
+        F.when(w > 0, F.expr("((block + 1) * cycle + weight - 1) div weight")).alias("deadline"),
+        "slot",
+        "in_mix",
     )
 
 
 def mix(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = 16
+    docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = 16, cut: bool | None = None
 ) -> DataFrame:
-    """The rows of ``docs`` that are in the mixture: those before the slot at which the first source runs
-    out, so that sources stand at their target weights. Columns as before.
+    """The rows of ``docs`` that are in the mixture (see :func:`schedule`), in the order of their slots.
+    Columns as before.
 
-    As a source's rows are taken in the order of (doc_id mod 4096, doc_id), the mixture is all rows up to
-    one such pair for each source; texts are filtered by it and never shuffled. Rows that share both the
-    id and the source of the last row come along.
+    Slots of a source that has run out stay empty, so the others go on in proportion to their weights.
     """
-    last = (
-        schedule(docs, weights, alpha, block)
-        .where("in_mix")
-        .groupBy("source")
-        .agg(F.max(F.struct(_bucket(F.col("doc_id")).alias("bucket"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))).alias("last"))
-    )
-    of, upto = fresh("of_source", docs.columns), fresh("upto", docs.columns)
-    last = last.select(F.col("source").alias(of), F.col("last").alias(upto))
-    place = F.struct(_bucket(F.col("doc_id")).alias("bucket"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    # at most MAX_SOURCES rows
-    return docs.join(F.broadcast(last), F.col("source").eqNullSafe(F.col(of)) & (place <= F.col(upto)), "inner").drop(of, upto)
+    rows, name = _slotted(docs, weights, alpha, block, cut)
+    return rows.where(F.col(name["in_mix"])).orderBy(name["slot"], name["rank"]).select(*docs.columns)

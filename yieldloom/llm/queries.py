@@ -24,7 +24,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.schedule(_documents(spark, sf_dir))
+    return mixing.schedule(_documents(spark, sf_dir), cut=True)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
