@@ -84,6 +84,15 @@ def test_style_tree_finds_repeated_branches(spark, monkeypatch, broadcast_bytes)
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_importance_decides_in_and_outside_of_articles(spark):
+    rows = [(i, "http://h.example/1", f"<div class='page has-sidebar'><div class='lead'>Body number {i}</div><div class='strip'>On all pages</div><article class='tag-advertising'><p>Teaser {i}</p><div class='box'>Repeated</div></article></div>") for i in range(12)]
+    rows += [(100 + i, "http://same.example/1", "<article><p>One article</p></article>") for i in range(12)]
+    text = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [text[i] for i in range(12)] == [f"Body number {i}\nTeaser {i}" for i in range(12)]
+    assert {text[100 + i] for i in range(12)} == {"One article"}
+    assert html_extract.main_text("<div class='sidebar'>x<main>in</main></div><article class='ad-slot'>y</article>") == "in"
+
+
 def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
