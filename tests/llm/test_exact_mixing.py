@@ -108,3 +108,26 @@ def test_small_sources_do_not_bound_the_mixture(spark):
     # both large sources are spread: in the first half of the order each stands near its tempered weight
     first = Counter(r[3] for r in got[:1000])
     assert abs(first["mid"] / 1000 - 1000**0.7 / (1000**0.7 + 2000**0.7)) < 0.03
+
+
+def test_no_drift_from_the_weights_before_rounding(spark):
+    weights = {"a": 0.3333333, "b": 0.0004, "c": 0.6662667}
+    blocks = {"a": 20_000, "b": 24, "c": 40_000}
+    whole = mixing.fine_weights(weights, blocks)
+    total, slots = sum(whole.values()), mixing.cycle(whole)
+    for s, w in weights.items():
+        for i in range(0, blocks[s], 7):
+            at = i // whole[s] * total + slots[s][i % whole[s]]
+            if at < 60_000:
+                assert abs(i - w * at) < 2  # a block of Pfair's own, and less than one of rounding
+    many = {"hot": 0.95} | {f"s{k}": 0.05 / 5000 for k in range(5000)}
+    whole = mixing.fine_weights(many, {s: 100_000 if s == "hot" else 2 for s in many})
+    assert abs(whole["hot"] / sum(whole.values()) - 0.95) < 1e-5
+    assert mixing.fine_weights({"a": 0.5, "b": 0.5}, {"a": 9, "b": 9}) == {"a": 500, "b": 500}
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "if(id % 2 = 0, 'a', 'b') AS source", "1 AS n_chars")
+    rows = mixing.schedule(docs, {"a": 0.50049, "b": 0.49951}, block=1).where("in_mix").orderBy("slot").collect()
+    done = 0
+    for t, r in enumerate(rows):
+        assert r.slot == t
+        done += r.source == "a"
+        assert abs(done - 0.50049 * (t + 1)) < 2

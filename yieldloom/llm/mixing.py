@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Documents of a source are cut into blocks of ``block`` rows. With integer weights that add up to the
-cycle W, block i of a source of weight w may run from slot floor(i*W/w) (its release) and must have run
+cycle W (thousandths; finer ones if those would drift by a block over the data), block i of a source of weight w may run from slot floor(i*W/w) (its release) and must have run
 before slot ceil((i+1)*W/w) (its deadline). Each slot takes the released block with the earliest
 deadline; ties go to the source that comes first by name. The schedule repeats after W slots, so only
-one cycle, whose length depends on the weights' resolution and not on the data, is worked out; a row's
+one cycle is worked out, on the driver: in most cases it has no more slots than the data has blocks. A row's
 slot then follows from its rank within its source. Until the first source runs out, every prefix of
 slots holds each source's weight with a deviation of less than one block; later on its slots are empty.
 :func:`mix` keeps all rows under tempered weights, and cuts there under weights that a caller gives.
@@ -17,6 +17,7 @@ ignored by :func:`schedule` and carried by :func:`mix`.
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from yieldloom.llm.common import bucket_ranks, fresh
 BUCKETS = 4096
 RESOLUTION = 1000
 MAX_SOURCES = 10_000
+#: Slots of one cycle that the driver can hold; tempered weights need fewer up to about a billion rows.
+MAX_CYCLE = 1 << 25
 
 
 def tempered(counts: dict[str | None, int], alpha: float) -> dict[str | None, float]:
@@ -45,6 +48,31 @@ def integer_weights(weights: dict[str | None, float], resolution: int = RESOLUTI
     return {s: max(1, int(w * resolution + 0.5)) for s, w in weights.items()}
 
 
+def fine_weights(weights: dict[str | None, float], blocks: dict[str | None, int]) -> dict[str | None, int]:
+    """Integer weights of a resolution at which no source drifts from its share of ``weights`` by a block
+    while it lasts, within as many slots as there are blocks (by then a source has run out). Thousandths
+    if they are enough; else finer, with remainders dealt to the largest fractions."""
+    total = sum(Fraction(w) for w in weights.values())
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    count = sum(blocks[s] for s in share)
+    lasts = {s: min(blocks[s] / share[s], count) for s in share}
+
+    def enough(whole):
+        cycle_ = sum(whole.values())
+        return all(abs(Fraction(n, cycle_) - share[s]) * lasts[s] < 1 for s, n in whole.items())
+
+    whole, resolution = integer_weights({s: float(x) for s, x in share.items()}), RESOLUTION
+    while not enough(whole):
+        resolution *= 2
+        if resolution > MAX_CYCLE:
+            raise ValueError(f"weights need a cycle of more than {MAX_CYCLE} slots; give coarser ones or larger blocks")
+        whole = {s: max(1, int(x * resolution)) for s, x in share.items()}
+        left = resolution - sum(whole.values())
+        for s in sorted(share, key=lambda s: -(share[s] * resolution % 1))[: max(0, left)]:
+            whole[s] += 1
+    return whole
+
+
 def cycle(weights: dict[str | None, int]) -> dict[str | None, list[int]]:
     """For each source, the slots of its blocks within one cycle of ``sum(weights)`` slots."""
     total = sum(weights.values())
@@ -71,7 +99,8 @@ def _plan(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float
         raise ValueError(f"more than {MAX_SOURCES} sources; give coarser ones")
     counts = {r["source"]: r["n"] for r in found}
     wanted = tempered(counts, alpha) if weights is None else {s: weights.get(s, 0.0) for s in counts}
-    whole = integer_weights({s: w for s, w in wanted.items() if w > 0} or {s: 1.0 for s in counts})
+    positive = {s: w for s, w in wanted.items() if w > 0} or {s: 1.0 for s in counts}
+    whole = fine_weights(positive, {s: -(-counts[s] // block) for s in positive}) if positive else {}
     total, slots = sum(whole.values()), cycle(whole)
 
     def slot(s, i):
@@ -96,7 +125,7 @@ def _slotted(docs: DataFrame, weights: dict[str | None, float] | None, alpha: fl
     ranked = bucket_ranks(rows, ["source"], "doc_id", name["bucket"], name["rank"])
     plan = _plan(docs, weights, alpha, block)
     plan = plan.select(F.col("source").alias(name["of_source"]), *[F.col(n).alias(name[n]) for n in ("weight", "cycle", "slots", "horizon")])
-    # at most MAX_SOURCES rows
+    # at most MAX_SOURCES rows, which hold the slots of one cycle
     joined = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col(name["of_source"])))
     joined = joined.withColumn(name["block"], F.expr(f"{name['rank']} div {block}"))
     w = F.col(name["weight"])
