@@ -47,8 +47,8 @@ def corpus(seed, n):
 
 def test_components_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 20)
-    for width, percent, rows in ((3, 85, 200_000), (5, 80, 0)):
-        monkeypatch.setattr(minhash, "BROADCAST_ROWS", rows)
+    for width, percent, stars in ((3, 85, 3), (5, 80, 1), (5, 80, 0)):
+        monkeypatch.setattr(minhash, "STARS", stars)
         data = corpus(width, 150)
         want = brute(data, width, percent)
         got = minhash.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(3), width, percent).collect()

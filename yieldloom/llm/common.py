@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,12 +16,14 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary folder of
-    this application where that is unset (local mode, tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only in local mode, where they
+    are one process, a temporary folder of this application stands in for it."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _own_folder:
         _own_folder[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _own_folder[sc.applicationId]
@@ -28,10 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read back: its lineage is cut and every
-    later use reads the same rows, also after executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/yieldloom-{uuid.uuid4().hex}"
+    later use reads the same rows, also after executors are lost. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/yieldloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(name: str, taken: Iterable[str]) -> str:

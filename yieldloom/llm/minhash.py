@@ -6,12 +6,14 @@ holds its distinct ``width``-word shingles as 64-bit hashes. Under each of ``PER
 for one evaluation. ``BANDS`` bands of ``ROWS`` values each, half of smallest and half of largest values,
 bring documents together: a pair at similarity 0.85 shares no band with probability (1-0.85^7)^32 = 4e-6.
 
-Documents with equal sets are one vertex from the start. Members of a band's bucket are tied to its
-smallest member, and the components of these ties are clusters of possible links. Clusters are dealt to
-tasks in pairs of blocks of at most ``BLOCK`` documents, so a cluster of any size is spread out; a task
-compares full sets and returns a spanning forest of the confirmed links, never all pairs. The components
-of the confirmed links are the result. Within a cluster every pair is compared, so only a pair that no
-chain of shared bands joins is missed.
+Documents with equal sets are one vertex from the start. What shares a bucket of a band is compared on full
+sets, but not pair by pair: in each of ``STARS`` rounds a document is compared with one hub, the member of its
+buckets with which it shares most bands, and joins its component if they are linked. Only buckets that
+still hold different components then go on: their documents are dealt to tasks in pairs of blocks of at most
+``BLOCK``, by size, and the largest component of such a cluster is compared with the others, not with
+itself. So a family of near copies takes work in proportion to its size, and the square is paid only for
+documents that share buckets without a link. Tasks return ties of a spanning forest, never all pairs. Only
+a pair that shares no bucket is missed.
 
 Cases: null and empty texts and texts without words have an empty set and are linked with nothing; a
 text of fewer words than ``width`` has its whole sequence as its one shingle; rows that share an id are
@@ -21,12 +23,13 @@ result; other columns are ignored (:func:`near_duplicates`) or carried (:func:`d
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +40,8 @@ ROWS, BANDS = 7, 32
 PERMUTATIONS = ROWS * BANDS // 2
 BLOCK = 256
 BLOCK_BYTES = 4 << 20
-#: Clusters of more than one block are broadcast up to this number (12 bytes each).
-BROADCAST_ROWS = 200_000
+#: Rounds in which a document is compared with one hub before blocks are compared.
+STARS = 3
 _PIECE = 1 << 20
 _MOST_WORDS = 1 << 16
 
@@ -168,64 +171,166 @@ def _forest(ids: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
         labels = now
 
 
-def _confirm(width: int, percent: int):
+def _confirm(percent: int):
+    """Links within a block, or across the two blocks of a pair, as ties of a spanning forest."""
+
     def run(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("vertex").to_pylist(), np.int64)
-        blocks = np.array(table.column("block").to_pylist(), np.int64)
-        sets = shingle_sets(utf8(table.column("text").combine_chunks()), width)
-        first = blocks == blocks.min()
+        second = np.array(table.column("second").to_pylist(), bool)
+        sets = _unpacked(table.column("hashes").combine_chunks())
         edges: list[tuple[int, int]] = []
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        if low == high:
+        if not second.any():
             edges = _forest(ids, linked(sets, sets, percent))
-        elif not first.all():
-            a, b = np.flatnonzero(first), np.flatnonzero(~first)
-            across = linked([sets[k] for k in a], [sets[k] for k in b], percent)
+        elif not second.all():
+            a, b = np.flatnonzero(~second), np.flatnonzero(second)
             links = np.zeros((len(ids), len(ids)), bool)
-            links[np.ix_(a, b)] = across
-            links |= links.T
-            edges = _forest(ids, links)
+            links[np.ix_(a, b)] = linked([sets[k] for k in a], [sets[k] for k in b], percent)
+            edges = _forest(ids, links | links.T)
         return pa.table({"src": pa.array([e[0] for e in edges], pa.int64()), "dst": pa.array([e[1] for e in edges], pa.int64())})
 
     return run
 
 
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _bodies(docs: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
+    """vertex, hashes (its sorted set, packed) of the documents of ``vertices``."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                sets = shingle_sets(utf8(batch.column("text")), width)
+                yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array([s.tobytes() for s in sets], pa.binary())], ["vertex", "hashes"])
+
+    # neither side has a size bound, so neither is broadcast
+    found = docs.join(vertices.hint("merge"), F.col("doc_id") == F.col("vertex")).select("vertex", "text")
+    return found.mapInArrow(run, "vertex long, hashes binary")
+
+
+def _named(member: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``member`` with ``label``: the component that its vertex belongs to so far."""
+    if labels is None:
+        return member.withColumn("label", F.col("vertex"))
+    joined = member.join(labels, F.col("vertex") == F.col("id"), "left")
+    return joined.select("vertex", "n", "band", F.coalesce("component", "vertex").alias("label"))
+
+
+def _alike_in_size(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _stars(named: DataFrame, turn: int, percent: int) -> DataFrame:
+    """vertex, hub: for each vertex the one hub with which it shares most bands. A bucket's hub is its
+    smallest vertex at first, later one drawn by a hash; only hubs of other labels count."""
+    order = F.col("vertex") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
+    hub = F.min_by(F.struct("vertex", "n", "label"), order)
+    hubs = named.groupBy(F.col("band").alias("of_band")).agg(hub.alias("hub"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    ties = named.join(hubs, F.col("band") == F.col("of_band")).where("label <> hub.label").select("vertex", "n", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n"))
+    ties = ties.where(_alike_in_size("n", "hub_n", percent)).groupBy("vertex", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    return ties.groupBy("vertex").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
+
+
+def _linked_stars(ties: DataFrame, body: DataFrame, percent: int) -> DataFrame:
+    """The ties (src, dst) whose full sets are linked. A hub may have any share of the ties: it is the
+    hot key of a join that Spark splits, and its set goes to each part once."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2)), _unpacked(batch.column(3)), strict=True)
+            found = []
+            for vertex, hub, a, b in rows:
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * common >= percent * (len(a) + len(b) - common):
+                    found.append((vertex, hub))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["src", "dst"])
+
+    near = ties.withColumnRenamed("vertex", "src").join(body.hint("merge"), F.col("src") == F.col("vertex")).select("src", "hub", "hashes")
+    far = body.select(F.col("vertex").alias("of_hub"), F.col("hashes").alias("hub_hashes"))
+    pairs = near.join(far.hint("merge"), F.col("hub") == F.col("of_hub")).select("src", "hub", "hashes", "hub_hashes")
+    return pairs.mapInArrow(run, "src long, dst long")
+
+
+def _across_labels(named: DataFrame, body: DataFrame, percent: int) -> DataFrame | None:
+    """Links (src, dst) between documents that share a bucket and have different labels; None if there are
+    no such buckets. Documents are dealt by cluster (component of those buckets) and size level, as sets whose
+    sizes differ by more than a level can't be linked. Of a cluster's label with most documents no two
+    are compared; the others meet each other and it, block by block."""
+    buckets = named.groupBy(F.col("band").alias("of_band")).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("vertex").alias("hub")).where("a <> b")
+    rest = materialize(named.join(buckets, F.col("band") == F.col("of_band")).select("vertex", "n", "label", "hub").distinct())
+    if not rest.limit(1).count():
+        return None
+    clusters = connected_components(rest.select(F.col("vertex").alias("src"), F.col("hub").alias("dst")))
+    step = max(math.log(100 / max(1, min(percent, 100))), 1e-9) * 1.0001
+    level = F.floor(F.log("n") / step)
+    rows = rest.select("vertex", "n", "label").distinct().join(clusters, F.col("vertex") == F.col("id"))
+    rows = rows.select("vertex", "n", "label", "component", F.explode(F.array(level - 1, level)).alias("low"), level.alias("level"))
+    rows = materialize(rows)
+
+    weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(8 * F.col("n")) / BLOCK_BYTES)
+    by_label = rows.groupBy("component", "low", "label").agg(weight.alias("w"), F.max((F.col("level") == F.col("low")).cast("int")).alias("own"))
+    shares = by_label.groupBy(F.col("component").alias("of"), F.col("low").alias("of_low")).agg(
+        F.max_by("label", F.struct("w", -F.col("label"))).alias("most"), F.max("w").alias("w_most"), F.sum("w").alias("w_all"), F.max("own").alias("own"), F.count(F.lit(1)).alias("k")
+    )
+    parts = shares.where("k > 1 and own = 1").select("of", "of_low", "most", F.ceil("w_most").cast("int").alias("wide"), F.ceil(F.col("w_all") - F.col("w_most")).cast("int").alias("deep"))
+    dealt = rows.join(parts, (F.col("component") == F.col("of")) & (F.col("low") == F.col("of_low")))
+    is_most = F.col("label") == F.col("most")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vertex"), F.greatest(F.lit(1), F.when(is_most, F.col("wide")).otherwise(F.col("deep")))).cast("int"))
+
+    def numbers(n: str) -> Column:
+        return F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+
+    block = F.col("block")
+    as_most = F.transform(numbers("deep"), lambda j: F.struct(F.lit(1).alias("kind"), block.alias("i"), j.alias("j"), F.lit(False).alias("second")))
+    with_most = F.transform(numbers("wide"), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), block.alias("j"), F.lit(True).alias("second")))
+    with_rest = F.transform(numbers("deep"), lambda k: F.struct(F.lit(0).alias("kind"), F.least(block, k).alias("i"), F.greatest(block, k).alias("j"), (block > k).alias("second")))
+    dealt = dealt.select("component", "low", "vertex", F.explode(F.when(is_most, as_most).otherwise(F.concat(with_most, with_rest))).alias("to")).select("component", "low", "to.*", F.col("vertex").alias("of_vertex"))
+    full = dealt.join(body.hint("merge"), F.col("of_vertex") == F.col("vertex")).select("component", "low", "kind", "i", "j", "second", "vertex", "hashes")
+    return full.groupBy("component", "low", "kind", "i", "j").applyInArrow(_confirm(percent), "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least ``percent``
     percent similarity, itself included), kept (doc_id = component_id): one row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = materialize(signatures(docs, width))
     known = sigs.where("digest is not null and doc_id is not null")
-    groups = known.groupBy("digest").agg(F.min("doc_id").alias("vertex"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    groups = known.groupBy("digest").agg(F.min("doc_id").alias("vertex"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     groups = materialize(groups)
 
-    member = groups.select("vertex", F.explode("bands").alias("band"))
-    bucket = member.groupBy("band").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("last")).where("hub <> last").select(F.col("band").alias("of_band"), "hub")
-    ties = member.join(bucket, F.col("band") == F.col("of_band")).where("vertex <> hub").select(F.col("vertex").alias("src"), F.col("hub").alias("dst")).distinct()
-    clusters = connected_components(ties)
-
-    # neither side has a size bound, so neither is broadcast
-    body = docs.join(clusters.hint("merge"), F.col("doc_id") == F.col("id")).select(F.col("id").alias("vertex"), "component", "text")
-    body = materialize(body)
-    weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)
-    large = materialize(body.groupBy(F.col("component").alias("of")).agg(F.ceil(weight).cast("int").alias("blocks")).where("blocks > 1"))
-    # a cluster may hold any share of the rows, so rows are dealt by cluster only if the large ones are many
-    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    dealt = body.join(F.broadcast(large) if few else large, F.col("component") == F.col("of"), "left")
-    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vertex", "text")
-    edges = dealt.groupBy("component", "low", "high").applyInArrow(_confirm(width, percent), "src long, dst long")
-    confirmed = connected_components(edges)
-
-    named = groups.join(confirmed, F.col("vertex") == F.col("id"), "left").select("digest", "n", "vertex", F.coalesce("component", "vertex").alias("component_id"))
-    named = named.where("n > 1 or component_id <> vertex").select(F.col("digest").alias("of_digest"), "component_id")
+    member = groups.select("vertex", "n", F.explode("bands").alias("band"))
+    shared = member.groupBy("band").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b").select(F.col("band").alias("of_band"))
+    member = materialize(member.join(shared, F.col("band") == F.col("of_band")).select("vertex", "n", "band"))
+    body = materialize(_bodies(docs, member.select("vertex").distinct(), width))
+
+    labels = None
+    for turn in range(STARS):
+        ties = materialize(_stars(_named(member, labels), turn, percent))
+        if not ties.limit(1).count():
+            break
+        links = _linked_stars(ties, body, percent)
+        labels = _merged(links, labels)
+    links = _across_labels(_named(member, labels), body, percent)
+    if links is not None:
+        labels = _merged(links, labels)
+    if labels is None:
+        labels = member.select(F.col("vertex").alias("id"), F.col("vertex").alias("component")).limit(0)
+
+    named = groups.join(labels, F.col("vertex") == F.col("id"), "left").select("digest", "copies", "vertex", F.coalesce("component", "vertex").alias("component_id"))
+    named = named.where("copies > 1 or component_id <> vertex").select(F.col("digest").alias("of_digest"), "component_id")
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("of_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _merged(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """id, component over ``links`` and what ``labels`` joined before."""
+    if labels is not None:
+        links = links.union(labels.select("id", "component"))
+    return materialize(connected_components(links))
+
+
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its component. Columns as before."""
     gone = fresh("gone_id", docs.columns)
