@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
-Patterns are matched leftmost, without overlap within a kind, over the whole text. Beyond them, runs of
-key characters of at least ``MIN_RUN`` that mix letters and digits are encoded with a tiktoken
-vocabulary: text that the vocabulary knows takes several characters a token, random strings take few, so
-a run with at most ``MOST_RATIO`` characters a token is reported as ``random``. Digests of known lengths,
-UUIDs, runs of digits, and identifiers made of words are excluded, as is what overlaps a pattern's span.
+Patterns are matched leftmost, without overlap within a kind, over the whole text. Beyond them, runs of at
+least ``MIN_RUN`` key characters, less what a pattern's span covers, are encoded with a tiktoken vocabulary:
+text that the vocabulary knows takes several characters a token, random strings take few, so a run with at
+most ``MOST_RATIO`` characters a token is reported as ``random``. Long compounds of natural languages come
+down to 1.6, so letters of one case (but for the first) must stay below ``PLAIN_RATIO``. Digests of known
+lengths, UUIDs, runs of digits, and identifiers of several words are excluded.
 
 Cases: null text counts as empty; empty texts have no spans; repeated rows are scanned alike; an empty
 table gives an empty result; other columns are ignored.
@@ -29,12 +30,18 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The matches of [0-9a-f]+ that have 32 characters and more.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-MIN_RUN, MOST_RATIO = 20, 2.0
+MIN_RUN, MOST_RATIO, PLAIN_RATIO = 16, 2.0, 1.5
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-#: Words or numbers joined by separators or by capitals, such as order_line_2024 or readFileUtf8.
-_NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]+|[A-Z])(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]+))*[-_/+=]*\Z")
+_LETTER = re.compile(r"[A-Za-z]")
+#: Letters of one case, with or without a capital in front.
+_PLAIN = re.compile(r"[A-Za-z]?(?:[a-z]+|[A-Z]+)\Z")
+#: A word or a number of an identifier such as order_line_2024 or readFileUtf8.
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[A-Z]")
+_VOWEL = re.compile(r"[aeiouyAEIOUY]")
+#: Runs are encoded in parts of this length; a token's end more or less doesn't move a long run's ratio.
+_PART = 1 << 12
 
 
 @lru_cache(maxsize=2)
@@ -53,25 +60,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_name(run: str) -> bool:
-    """Words joined into an identifier: few pieces for its length."""
-    if not _NAME.match(run):
-        return False
-    pieces = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)
-    return len(run) / max(1, len(pieces)) >= 3.5
+    """Several words or numbers joined into an identifier: words of 3 letters and more with a vowel, and at
+    least 3.5 characters a piece."""
+    pieces = _PIECE.findall(run)
+    words = [p for p in pieces if not p.isdigit()]
+    return len(pieces) > 1 and bool(words) and all(len(w) > 2 and _VOWEL.search(w) for w in words) and 2 * sum(map(len, pieces)) >= 7 * len(pieces)
+
+
+def _uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of start:end that no span of ``base`` (sorted by start) covers."""
+    out = []
+    for s, _, e in base:
+        if s < end and start < e:
+            out.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in (*out, (start, end)) if e - s >= MIN_RUN]
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], tokens: tiktoken.Encoding) -> list[tuple[int, int, int]]:
     out = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run):
-            continue
-        if _DIGEST.match(run) or _UUID.match(run) or is_name(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if len(run) <= MOST_RATIO * len(tokens.encode_ordinary(run)):
-            out.append((m.start(), 3, m.end()))
+        for start, end in _uncovered(m.start(), m.end(), base):
+            run = text[start:end]
+            if not _LETTER.search(run) or _DIGEST.match(run) or _UUID.match(run) or is_name(run):
+                continue
+            n = sum(len(tokens.encode_ordinary(run[k : k + _PART])) for k in range(0, len(run), _PART))
+            if len(run) <= (PLAIN_RATIO if _PLAIN.match(run) else MOST_RATIO) * n:
+                out.append((start, 3, end))
     return out
 
 
