@@ -4,10 +4,11 @@ For each language a tree of byte contexts of up to three bytes is counted over l
 frozen. A byte that a context has seen costs -log2(count / (total + distinct)); otherwise the escape,
 -log2(distinct / (total + distinct)), is paid and the next shorter context asked, down to a uniform
 order -1 (method C). A text's code length under each language gives the posterior, under equal priors.
-ASCII letters are lower-cased; bytes outside the 63 most frequent share one symbol.
+ASCII letters are lower-cased; all 256 bytes are symbols, whatever the script.
 
-As the trees are frozen, the exact cost of each seen run of four bytes, escapes included, is worked out
-once and looked up.
+As the trees are frozen, the exact cost of each seen run of three or four bytes, escapes included, is worked
+out once and looked up: tables have a row for each run seen in the sample, in any language, not for each
+possible one.
 
 Labels are taken from a sample of about ``sample_docs`` documents a language (a documented bound for the
 classifier); every text is predicted, whole. Cases: null texts and texts without a letter are ``und``
@@ -28,7 +29,6 @@ from yieldloom.llm.common import fresh, slices, utf8
 SAMPLE_DOCS = 800
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
-_K = 64
 _STEP = 1 << 18
 
 
@@ -58,69 +58,94 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class _Rows:
+    """Places of numbers in a sorted array, -1 for those it lacks: a small table of the frequent ones,
+    addressed by a hash, and binary search for the rest."""
+
+    def __init__(self, numbers: np.ndarray, weight: np.ndarray):
+        self.numbers = numbers
+        self.bits = max(8, int(2 * len(numbers)).bit_length())
+        self.table = np.zeros(1 << self.bits, np.int32)
+        order = np.argsort(weight, kind="stable")  # the last one to write a slot is the most frequent
+        self.table[self._slot(numbers[order])] = order
+
+    def _slot(self, wanted: np.ndarray) -> np.ndarray:
+        return ((wanted.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.numbers):
+            return np.full(len(wanted), -1, np.int32)
+        at = self.table[self._slot(wanted)]
+        other = np.flatnonzero(self.numbers[at] != wanted)
+        if len(other):
+            sought = wanted[other]
+            place = np.minimum(np.searchsorted(self.numbers, sought), len(self.numbers) - 1).astype(np.int32)
+            at[other] = np.where(self.numbers[place] == sought, place, -1)
+        return at
+
+
 class ContextTrees:
-    """Frozen statistics of all languages: symbols, costs of seen runs, and what lower orders cost."""
+    """Frozen statistics of all languages: seen runs of four and of three bytes, their costs, and what
+    escapes cost (a row each, a column for each language)."""
 
     def __init__(self, langs: list[str], of: np.ndarray, grams: np.ndarray, counts: np.ndarray):
         self.langs = langs
-        seen = np.bincount(grams & 255, weights=counts, minlength=256)
-        frequent = [b for b in np.argsort(-seen, kind="stable")[: _K - 1] if seen[b]]
-        self.symbol = np.zeros(256, np.uint8)
-        self.symbol[frequent] = np.arange(1, len(frequent) + 1)
-        coded = sum(self.symbol[grams >> 8 * k & 255].astype(np.int64) * _K**k for k in range(4))
-        self.runs = np.unique(coded)
+        runs4, runs3 = np.unique(grams), np.unique(np.append(grams >> 8, grams & 0xFFFFFF))
         size = len(langs)
-        self.cost3 = np.zeros((len(self.runs), size), np.float32)
-        self.cost2 = np.zeros((_K**3, size), np.float32)
-        self.escape3 = np.zeros((_K**3, size), np.float32)
+        self.cost4 = np.zeros((len(runs4), size), np.float32)
+        self.cost3 = np.zeros((len(runs3), size), np.float32)
+        self.escape3 = np.zeros((len(runs3), size), np.float32)  # of contexts of three bytes
+        self.cost2 = np.zeros((1 << 16, size), np.float32)
+        self.escape2 = np.zeros((1 << 16, size), np.float32)
+        weight4, weight3 = np.zeros(len(runs4)), np.zeros(len(runs3))
         for k in range(size):
-            c4 = np.bincount(np.searchsorted(self.runs, coded[of == k]), weights=counts[of == k], minlength=len(self.runs))
-            c3 = np.bincount(self.runs % _K**3, weights=c4, minlength=_K**3)
-            c2 = c3.reshape(_K, _K**2).sum(0)
-            c1 = c2.reshape(_K, _K).sum(0)
-            base = np.full(_K, 8.0)
-            base[0] = -np.log2((256 - len(frequent)) / 256)
-            lower = self._order(c1[None, :], base[None, :], np.zeros(_K, int))[0].ravel()
-            lower = self._order(c2.reshape(_K, _K), lower[None, :], np.zeros(_K, int))[0].ravel()
-            lower = self._order(c3.reshape(_K**2, _K), lower.reshape(_K, _K), np.arange(_K**2) % _K)[0].ravel()
-            self.cost2[:, k] = lower
-            context = self.runs // _K
-            total = np.bincount(context, weights=c4, minlength=_K**3)
-            distinct = np.bincount(context[c4 > 0], minlength=_K**3)
-            some = total > 0
-            self.escape3[some, k] = -np.log2(distinct[some] / (total[some] + distinct[some]))
-            with np.errstate(divide="ignore"):
-                own = -np.log2(c4 / np.maximum(1, (total + distinct)[context]))
-            self.cost3[:, k] = np.where(c4 > 0, own, self.escape3[context, k] + lower[self.runs % _K**3])
-        self.place: np.ndarray | None = None
+            c4 = np.bincount(np.searchsorted(runs4, grams[of == k]), weights=counts[of == k], minlength=len(runs4))
+            c3 = np.bincount(np.searchsorted(runs3, runs4 & 0xFFFFFF), weights=c4, minlength=len(runs3))
+            c2 = np.bincount(runs3 & 0xFFFF, weights=c3, minlength=1 << 16)
+            c1 = c2.reshape(256, 256).sum(0)
+            cost1, _ = self._order(c1, np.zeros(256, int), np.full(256, 8.0), 1)
+            cost2, _ = self._order(c2, np.arange(1 << 16) >> 8, np.tile(cost1, 256), 256)
+            cost3, escape2 = self._order(c3, runs3 >> 8, cost2[runs3 & 0xFFFF], 1 << 16)
+            context = np.searchsorted(runs3, runs4 >> 8)
+            cost4, escape3 = self._order(c4, context, cost3[np.searchsorted(runs3, runs4 & 0xFFFFFF)], len(runs3))
+            self.cost2[:, k], self.escape2[:, k] = cost2, escape2
+            self.cost3[:, k], self.escape3[:, k], self.cost4[:, k] = cost3, escape3, cost4
+            weight4, weight3 = weight4 + c4, weight3 + c3
+        self.rows4, self.rows3 = _Rows(runs4, weight4), _Rows(runs3, weight3)
 
     @staticmethod
-    def _order(counts: np.ndarray, lower: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray]:
-        """Costs (contexts x symbols) of one order, given those of the next lower."""
-        total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+    def _order(counts: np.ndarray, context: np.ndarray, lower: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Costs of the runs of one order, and what an escape costs in each of its contexts (nothing in
+        one that was never seen), given what the runs cost in the next lower order."""
+        total = np.bincount(context, weights=counts, minlength=contexts)
+        distinct = np.bincount(context[counts > 0], minlength=contexts)
         with np.errstate(divide="ignore", invalid="ignore"):
-            own = -np.log2(counts / (total + distinct))
+            own = -np.log2(counts / (total + distinct)[context])
             escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-        below = lower[shorter[: len(counts)]] if len(lower) > 1 else lower
-        return (np.where(counts > 0, own, escape + below),)
+        return np.where(counts > 0, own, escape[context] + lower), escape
+
+    def _costs(self, run: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run of four bytes after the three before it."""
+        at = self.rows4.find(run)
+        cost = self.cost4[at]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            run = run[new]
+            at = self.rows3.find(run & 0xFFFFFF)
+            cost[new] = np.where((at >= 0)[:, None], self.cost3[at], self.escape2[run >> 8 & 0xFFFF] + self.cost2[run & 0xFFFF])
+            context = self.rows3.find(run >> 8)
+            cost[new] += np.where((context >= 0)[:, None], self.escape3[context], 0)
+        return cost
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
-        if self.place is None:
-            self.place = np.full(_K**4, -1, np.int32)
-            self.place[self.runs] = np.arange(len(self.runs), dtype=np.int32)
         data, starts = _joined(texts)
-        symbols = self.symbol[data]
         bits = np.zeros((len(texts), len(self.langs)))
         owner_end = np.append(starts[1:], len(data))
         for low in range(3, len(data), _STEP):
             high = min(len(data), low + _STEP)
-            s = symbols[low - 3 : high].astype(np.int32)
-            run = ((s[:-3] * _K + s[1:-2]) * _K + s[2:-1]) * _K + s[3:]
-            at = self.place[run]
-            cost = self.cost3[at]
-            new = np.flatnonzero(at < 0)
-            cost[new] = self.escape3[run[new] // _K] + self.cost2[run[new] % _K**3]
+            s = data[low - 3 : high].astype(np.int64)
+            cost = self._costs(s[:-3] << 24 | s[1:-2] << 16 | s[2:-1] << 8 | s[3:])
             first = np.searchsorted(owner_end, low, side="right")
             last = np.searchsorted(starts, high, side="left")
             begins = np.maximum(starts[first:last], low)
@@ -184,6 +209,5 @@ def detect(docs: DataFrame, trees: ContextTrees | None, prediction: str = "lang_
                 langs = [own.langs[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
                 kept = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != letter]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(np.where(ok, posterior, 0.0), pa.float64())], schema.names)
-        own.place = None  # the worker lives on, for other tasks and queries
 
     return docs.withColumn(letter, has_letter(F.col("text"))).mapInArrow(run, schema)
