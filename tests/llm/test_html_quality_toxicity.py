@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -147,12 +148,42 @@ def test_decision_list_covers_and_prunes():
     assert quality.decision_list(values, np.zeros(900, bool)) == []
 
 
-def test_toxicity_query_held_out(spark):
+def slow_score(model, text):
+    """Noisy-or over sentences, each scored by its distinct features."""
+    clean = 1.0
+    for sentence in re.findall(r"[^.!?\n]+", text or "") or [""]:
+        found = {f for w in re.findall(r"[^\W\d_]+", sentence.lower()) for f in toxicity.features(w)}
+        clean *= 1 - 1 / (1 + np.exp(-model.bias - sum(model.weights.get(f, 0.0) for f in found)))
+    return 1 - clean
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """The whole query: features, training in memory and scores, by plain Python."""
     got = {r.doc_id: r for r in queries.op10_toxicity(spark, SF).collect()}
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
-    held = [(got[i].predicted, t) for i, t in labels.items() if got[i].held_out]
-    assert np.mean([p == t for p, t in held]) >= 0.9
-    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    assert set(got) == set(docs)
+    train = sorted(i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 5)
+    model = toxicity.fit([docs[i] or "" for i in train], np.array([labels[i] == 1 for i in train]))
+    for i, text in docs.items():
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert abs(got[i].score - slow_score(model, text)) < 1e-6
+        assert got[i].predicted == (got[i].score >= 0.5)
+
+
+def test_toxicity_held_out(spark):
+    big = "/root/testdata/sf0.1"
+    got = queries.op10_toxicity(spark, big).where("held_out").select("doc_id", "predicted")
+    rows = got.join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    caught = sum(r.predicted and r.toxic for r in rows)
+    assert len(rows) > 500 and caught >= 0.9 * sum(r.toxic for r in rows)
+    assert caught >= 0.9 * sum(r.predicted for r in rows)
+
+
+def test_repeats_of_a_word_in_a_sentence_count_once():
+    model = toxicity.SentenceModel({"bad": 2.0}, -7.0)
+    assert model.score("bad")[0] == model.score("bad Bad bad bad bad")[0] < 0.01
+    assert model.score("bad. bad")[0] > 1.9 * model.score("bad")[0]
 
 
 def test_toxicity_learns_sentences(spark):
@@ -171,7 +202,7 @@ def test_toxicity_learns_sentences(spark):
     assert model.score("wab wac. wad")[0] < 0.1
     slow = 1.0
     for s in ("wab wac wad", " you vilethings wab", " wzz"):
-        z = model.bias + sum(model.weights.get(f, 0) for w in re.findall(r"[^\W\d_]+", s) for f in toxicity.features(w))
+        z = model.bias + sum(model.weights.get(f, 0) for f in {f for w in re.findall(r"[^\W\d_]+", s) for f in toxicity.features(w)})
         slow *= 1 - 1 / (1 + np.exp(-z))
     assert abs(score - (1 - slow)) < 1e-9
     data = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "vilethings " * 50_000, "en", "s", 0), (3, "wab", "en", "s", 0)]

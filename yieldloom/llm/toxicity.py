@@ -1,11 +1,11 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences; a sentence is toxic with probability s(bias + sum of its features'
-weights), s the logistic function, and a document unless all of its sentences are clean (noisy-or):
-score = 1 - prod(1 - s). Only document labels train it, by gradient steps on the noisy-or likelihood, and
-the trained sentence scores then point at the offending sentences. Features are the lower-cased words
+A document is a bag of sentences; a sentence is toxic with probability s(bias + sum of the weights of its
+distinct features), s the logistic function, and a document unless all of its sentences are clean
+(noisy-or): score = 1 - prod(1 - s). Only document labels train it, by gradient steps on the noisy-or likelihood with
+weights that start at, and are held near, their features' log odds; and the trained sentence scores then point at the offending sentences. Features are the lower-cased words
 and their beginnings of 4 to 7 letters (forms of one stem share those); a likelihood-ratio test over
-labelled documents chooses them.
+labelled documents chooses them, each that passes (the sample bounds their number).
 
 Labels are taken from about ``sample_docs`` documents (a documented bound for the classifier); every text
 is scored, whole. Cases: null texts are empty, and empty texts have one empty sentence, so a score;
@@ -22,15 +22,14 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from yieldloom.llm.common import slices, texts
 
 SAMPLE_DOCS = 8_000
-MOST_FEATURES = 2_000
-LEAST_DOCS, LEAST_RATIO = 4, 16.0
+LEAST_DOCS, LEAST_RATIO, ODDS_SHARE = 4, 16.0, 0.7
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _MOST_WORDS = 1 << 18
@@ -51,33 +50,46 @@ def likelihood_ratio(a: int, b: int, toxic: int, clean: int) -> float:
     return 2 * (part(a, toxic, a / toxic) + part(b, clean, b / clean) - part(a, toxic, p) - part(b, clean, p)) if 0 < p < 1 else 0.0
 
 
+def likelihood_ratio_column(a: Column, b: Column, toxic: int, clean: int) -> Column:
+    """:func:`likelihood_ratio` of columns."""
+
+    def part(k: Column, n: int, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
+
+    p = (a + b) / (toxic + clean)
+    ratio = 2 * (part(a, toxic, a / toxic) + part(b, clean, b / clean) - part(a, toxic, p) - part(b, clean, p))
+    return F.when((p > 0) & (p < 1), ratio).otherwise(0.0)
+
+
 class SentenceModel:
     """Weights of features and a bias; scores sentences and documents."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.words: dict[str, float] = {}
+        self.words: dict[str, tuple[str, ...]] = {}
 
-    def word(self, word: str) -> float:
-        value = self.words.get(word)
-        if value is None:
-            if len(self.words) >= _MOST_WORDS:
-                self.words.clear()
-            value = self.words[word] = sum(self.weights.get(f, 0.0) for f in features(word))
-        return value
+    def hits(self, word: str) -> tuple[str, ...]:
+        """Features of a lower-cased word that have a weight; kept for a bounded number of words."""
+        if len(self.words) >= _MOST_WORDS:
+            self.words.clear()
+        self.words[word] = found = tuple(f for f in features(word) if f in self.weights)
+        return found
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score, and (start, end, score) of sentences of 0.5 and more."""
         total, sentences, found = 0.0, 0, []
-        known, word = self.words, self.word
+        known, hits = self.words, self.hits
         for m in _SENTENCE.finditer(text):
             sentences += 1
-            z = 0.0
+            of: set[str] = set()
             for w in _WORD.findall(m[0].lower()):
-                value = known.get(w)
-                z += word(w) if value is None else value
-            if z:
-                z += self.bias
+                own = known.get(w)
+                if own is None:
+                    own = hits(w)
+                if own:
+                    of.update(own)
+            if of:
+                z = self.bias + math.fsum(self.weights[f] for f in of)
                 total += np.logaddexp(0.0, z)
                 if z >= 0:
                     found.append((m.start(), m.end(), float(1 / (1 + math.exp(-z)))))
@@ -92,13 +104,15 @@ def document_features(text: str) -> set[str]:
     return {f for w in set(_WORD.findall(text.lower())) for f in features(w)}
 
 
-def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
-    """Features that stand out in toxic documents, from (feature, toxic documents, clean documents)."""
-    ratios = {}
-    for f, a, b in counts:
-        if a >= LEAST_DOCS and a * clean > b * toxic and (r := likelihood_ratio(a, b, toxic, clean)) >= LEAST_RATIO:
-            ratios[f] = r
-    return sorted(ratios, key=lambda f: (-ratios[f], f))[:MOST_FEATURES]
+def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Features that stand out in toxic documents, with their log odds, from (feature, toxic documents,
+    clean documents)."""
+    stands_out = ((f, a, b) for f, a, b in counts if a >= LEAST_DOCS and a * clean > b * toxic and likelihood_ratio(a, b, toxic, clean) >= LEAST_RATIO)
+    return {f: log_odds(a, b, toxic, clean) for f, a, b in sorted(stands_out)}
+
+
+def log_odds(a: int, b: int, toxic: int, clean: int) -> float:
+    return math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
 
 
 def bag(text: str, number: dict[str, int]) -> tuple[int, list[list[int]]]:
@@ -119,15 +133,16 @@ def prior(share: float) -> SentenceModel:
     return SentenceModel({}, math.log(p / (1 - p)) if p else -700.0)
 
 
-def fit_bags(chosen: list[str], bags: list[tuple[int, list[list[int]]]], toxic: np.ndarray, rounds: int = 300, rate: float = 0.2, decay: float = 0.002) -> SentenceModel:
-    """Weights by Adam steps on the noisy-or likelihood of the documents' labels."""
+def fit_bags(chosen: dict[str, float], bags: list[tuple[int, list[list[int]]]], toxic: np.ndarray, rounds: int = 300, rate: float = 0.2, decay: float = 0.2) -> SentenceModel:
+    """Weights by Adam steps on the noisy-or likelihood of the documents' labels; ``decay`` pulls them to
+    ODDS_SHARE of the features' log odds (``chosen``)."""
     plain = np.array([b[0] for b in bags], float)
     docs = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
     sentences = [s for b in bags for s in b[1]]
     sent = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences]).astype(int)
     feat = np.array([f for s in sentences for f in s], int)
-    x = np.ones(len(chosen) + 1)
-    x[-1] = -7.0
+    middle = ODDS_SHARE * np.array(list(chosen.values()))
+    x = np.append(middle, -7.0)
     m, v = np.zeros_like(x), np.zeros_like(x)
     y = toxic.astype(float)
     for t in range(1, rounds + 1):
@@ -137,7 +152,7 @@ def fit_bags(chosen: list[str], bags: list[tuple[int, list[list[int]]]], toxic:
         da = (1 - y) - y * clean / np.maximum(1e-9, 1 - clean)
         dz = da[docs] / (1 + np.exp(-z))
         g = np.append(np.bincount(feat, weights=dz[sent], minlength=len(chosen)), dz.sum() + (da * plain).sum() / (1 + math.exp(-x[-1])))
-        g = g / len(y) + decay * np.append(x[:-1], 0.0) / max(1, len(chosen))
+        g = g / len(y) + decay * np.append(x[:-1] - middle, 0.0) / max(1, len(chosen))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return SentenceModel(dict(zip(chosen, x[:-1].tolist(), strict=True)), float(x[-1]))
@@ -168,8 +183,8 @@ def _counted(batches):
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SentenceModel:
     """A model from about ``sample_docs`` rows of ``labels`` (doc_id, toxic), chosen by a hash of the id.
-    Features are counted and sentences reduced to chosen features in Spark; the driver gets at most
-    MOST_FEATURES candidates and the reduced sentences of the sample."""
+    Features are counted and tested, and sentences reduced to those that pass, in Spark; the driver gets
+    these features and the reduced sentences of the sample."""
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("of"), (F.col("toxic") == 1).cast("int").alias("label"))
     n = known.count()
     if not n:
@@ -183,9 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     if not n1 or not n0:
         return prior(n1 / (n1 + n0) if n1 + n0 else 0.0)
     counted = rows.mapInArrow(_counted, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counted = counted.where((F.col("a") >= LEAST_DOCS) & (F.col("a") * n0 > F.col("b") * n1))
-    lead = counted.orderBy(F.desc(F.col("a") / n1 - F.col("b") / n0), "feature").limit(4 * MOST_FEATURES)
-    chosen = choose([(r["feature"], r["a"], r["b"]) for r in lead.collect()], n1, n0)
+    ratio = likelihood_ratio_column(F.col("a"), F.col("b"), n1, n0)
+    counted = counted.where((F.col("a") >= LEAST_DOCS) & (F.col("a") * n0 > F.col("b") * n1) & (ratio >= LEAST_RATIO))
+    chosen = {r["feature"]: log_odds(r["a"], r["b"], n1, n0) for r in sorted(counted.collect())}
     number = {f: k for k, f in enumerate(chosen)}
 
     def reduced(batches):
