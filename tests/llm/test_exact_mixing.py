@@ -50,6 +50,22 @@ def test_grace_recursion_equals_one_table(rows, table_bytes):
     assert xxhash.xxh3_64_intdigest(b"a", seed=1) != xxhash.xxh3_64_intdigest(b"a", seed=2)
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=150), st.sampled_from([1, 600, 2000, 1 << 20]))
+def test_combined_keeps_rows_and_meets_hot_texts_once(texts, most_bytes):
+    rows = [x for t in texts for x in (t, 99)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [f"text {t}" * 9], "n": [1]}) for i, t in enumerate(rows)]
+    got = [r for b in exact_dedup.combined(batches, "text", "doc_id", "n", most_bytes) for r in b.to_pylist()]
+    count, best = Counter(), {}
+    for r in got:
+        count[r["text"]] += r["n"]
+        best[r["text"]] = max(r["doc_id"], best.get(r["text"], -1))
+    assert count == Counter(f"text {t}" * 9 for t in rows)
+    assert best == {f"text {t}" * 9: i for i, t in enumerate(rows)}
+    if most_bytes >= 2000 and len(set(texts)) < 12:
+        assert sum(r["text"] == "text 99" * 9 for r in got) <= 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.integers(1, 40), min_size=1, max_size=8))
 def test_cycle_deviates_by_less_than_one_block(weights):

@@ -1,8 +1,8 @@
 """Exact deduplication by Grace hashing.
 
-Texts are equal when identical after lower-casing A-Z only. Equal texts are first combined inside
-each Arrow batch, so a text that fills a third of the corpus reaches the shuffle once for each batch.
-Spark's hash shuffle then makes the first partitions; a partition that doesn't fit ``table_bytes`` is
+Texts are equal when identical after lower-casing A-Z only. Equal texts are first combined inside each task,
+with at most ``TASK_BYTES`` in memory: texts met once go on when the table is full, repeated ones stay, so a
+text that fills a third of the corpus reaches the shuffle once for each task. Spark's hash shuffle then makes the first partitions; a partition that doesn't fit ``table_bytes`` is
 split again, recursively, into spill files by a freshly seeded hash, until each bucket fits one
 open-addressing table (a ``dict`` keyed by the complete text, so complete contents are compared).
 
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from yieldloom.llm.common import fresh, utf8
 
 TABLE_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 FANOUT = 16
 
 
@@ -54,6 +55,29 @@ def _one_batch(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
+def combined(batches: Iterable[pa.RecordBatch], text: str, order: str, n: str, most_bytes: int = TASK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`_combine` over a task's ``batches``, where memory allows; a text may come again
+    only if it was met once, or if repeated texts alone fill half of ``most_bytes``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(_combine(batch, text, order, n))
+        size += held[-1].nbytes
+        if size > most_bytes:
+            table = _combine(_one_batch(held), text, order, n)
+            again = pc.greater(table.column(n), 1)
+            yield table.filter(pc.invert(again))
+            held = [table.filter(again)]
+            size = held[0].nbytes
+            if size > most_bytes // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield _combine(_one_batch(held), text, order, n)
+
+
 def grace(
     batches: Iterable[pa.RecordBatch], text: str, order: str, n: str, table_bytes: int = TABLE_BYTES, depth: int = 0
 ) -> Iterator[pa.RecordBatch]:
@@ -105,12 +129,10 @@ def survivors(docs: DataFrame, text: str = "text", order: str = "doc_id", table_
     n, key = fresh("group_size", docs.columns), fresh("content_key", docs.columns)
 
     def partial(batches):
-        for batch in batches:
-            if batch.num_rows:
-                batch = batch.append_column(n, pa.array([1] * batch.num_rows, pa.int64()))
-                batch = _combine(batch, text, order, n)
-                keys = [xxhash.xxh3_64_intdigest(c.lower()) - (1 << 63) for c in utf8(batch.column(text))]
-                yield batch.append_column(key, pa.array(keys, pa.int64()))
+        counted = (b.append_column(n, pa.array([1] * b.num_rows, pa.int64())) for b in batches)
+        for batch in combined(counted, text, order, n):
+            keys = [xxhash.xxh3_64_intdigest(c.lower()) - (1 << 63) for c in utf8(batch.column(text))]
+            yield batch.append_column(key, pa.array(keys, pa.int64()))
 
     def bucket(batches):
         yield from grace(batches, text, order, n, table_bytes)
