@@ -1,7 +1,7 @@
 import pytest
 
 from compare import assert_equal, tables
-from yieldloom.plans import catalog
+from yieldloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,6 +11,6 @@ def duck():
     return tables(SF)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_sql(spark, duck, name):
-    assert_equal(catalog.queries()[name](spark, SF), duck, catalog.oracle_sql()[name])
+    assert_equal(registry.queries()[name](spark, SF), duck, registry.oracle_sql()[name])

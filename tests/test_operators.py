@@ -162,7 +162,7 @@ def test_summaries(spark):
     assert facts.line_versions(s).first().rows == 2
     moved = facts.compact_groups(log).where("status = 'GOOD'").withColumn("to_machine", F.lit("1號機"))
     assert {(r.machine, r.quantity) for r in retention.reclassify(facts.compact_groups(log), moved).where("status = 'GOOD'").collect()} == {("1號機", 1)}
-    assert [len(r.records) for r in facts.file_details(log, "DAF").collect()] == [3]
+    assert [(r.file_name, r.place, r.id) for r in facts.file_details(log, "DAF").orderBy("place").collect()] == [("F", k, k) for k in (1, 2, 3)]
 
 
 def schedules(spark):

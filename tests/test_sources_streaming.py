@@ -1,3 +1,4 @@
+import datetime as dt
 import time
 
 import pytest
@@ -78,18 +79,19 @@ def test_stream_publishes_each_file_once(spark, tmp_path):
 
 
 def test_stream_dedup_equals_batch(spark, tmp_path):
-    log = bindings.plog(spark, "/root/testdata/sf0.001").where("id < 600").select("line", "dedup_key", "id", "dedup_time")
+    log = bindings.plog(spark, "/root/testdata/sf0.001").where("id < 600").select("line", F.expr("if(id % 34 = 0, '', dedup_key)").alias("dedup_key"), "id", "dedup_time")
     for k in (1, 0):
         log.where(F.col("id") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {}
 
     def keep(rows, _):
-        got.update({(r.line, r.dedup_key): r.id for r in rows.collect()})
+        got.update({(r.line, r.dedup_key or r.id): r.id for r in rows.collect()})
 
     _drain(streams.stream_dedup(source).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
-    want = election.first_by(log.where("dedup_key is not null"), ["line", "dedup_key"], [F.col("dedup_time").asc_nulls_last(), F.asc("id")])
-    assert got == {(r.line, r.dedup_key): r.id for r in want.collect()}
+    want = election.elect_winners(log.withColumn("created_at", F.lit(0)))
+    assert got == {(r.line, r.dedup_key or r.id): r.id for r in want.collect()}
+    assert sum(r.dedup_key in (None, "") for r in want.collect()) > 30
 
 
 def test_stream_counts_and_machine_join(spark, tmp_path):
@@ -105,5 +107,29 @@ def test_stream_counts_and_machine_join(spark, tmp_path):
     out = joined.writeStream.outputMode("append").format("memory").queryName("machines").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     _drain(out)
     keys = {r.dedup_key for r in refs.collect()}
-    assert {r.dedup_key for r in spark.table("machines").where("machine_by_reference = '1號機'").collect()} <= keys
-    assert spark.table("machines").where("machine_by_reference = '1號機'").count() == rows.where(F.col("dedup_key").isin(*keys)).count()
+    found = spark.table("machines").where("machine_by_reference = '1號機'")
+    assert {r.dedup_key for r in found.collect()} <= keys
+    assert found.count() == found.select("id").distinct().count() == rows.where(F.col("dedup_key").isin(*keys)).count()
+
+
+def test_machine_references_leave_once_matched(spark, tmp_path):
+    logs, refs = "dedup_key string, id long, ts timestamp", "dedup_key string, machine string, ts timestamp"
+    day = [dt.datetime(2026, 1, 1) + dt.timedelta(days=n) for n in range(200)]
+    batches = [
+        ([("a", 1, day[0]), ("", 2, day[0]), (None, 3, day[0]), ("c", 4, day[0]), ("d", 5, day[0])], [("a", "1號機", day[0]), ("a", "1號機", day[0]), ("b", "2號機", day[0]), ("d", "1號機", day[0]), ("d", "2號機", day[0])]),
+        ([("a", 6, day[1]), ("b", 7, day[1]), ("b", 8, day[1])], [("c", "2號機", day[1])]),
+        ([("z", 9, day[90])], [("y", "1號機", day[90])]),
+        ([("x", 10, day[180])], [("y", "1號機", day[180])]),
+        ([("w", 11, day[199])], [("y", "1號機", day[199])]),
+    ]
+    for log, ref in batches:
+        spark.createDataFrame(log, logs).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        spark.createDataFrame(ref, refs).coalesce(1).write.mode("append").parquet(str(tmp_path / "ref"))
+        a = spark.readStream.schema(logs).parquet(str(tmp_path / "log"))
+        b = spark.readStream.schema(refs).parquet(str(tmp_path / "ref"))
+        joined = streams.stream_machine_join(a, b, 30)
+        _drain(joined.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    got = sorted((r.id, r.machine_by_reference) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    none = "未分類機台"
+    assert [g for g in got if g[0] < 9] == [(1, "1號機"), (2, none), (3, none), (4, "2號機"), (5, none), (6, none), (7, "2號機"), (8, "2號機")]
+    assert (9, none) in got

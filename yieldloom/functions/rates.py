@@ -3,6 +3,9 @@ every engine gives the same digits."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,20 @@ def with_rank(df: DataFrame, part: list[str], order: list[Column], name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
 
 
+def with_bucketed_rank(df: DataFrame, part: list[str], bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
+    """As :func:`with_rank`, where rows of a smaller ``bucket`` come first. Rows are numbered within
+    (part, bucket), and a table of one row for each of those holds how many come before, so one ``part`` may
+    hold any share of the rows."""
+    numbered = df.withColumn("_bucket", bucket)
+    own = Window.partitionBy(*part, "_bucket").orderBy(*order)
+    earlier = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in [*part, "_bucket"]], F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*part, "_bucket"]]
+    ranked = numbered.withColumn(name, F.row_number().over(own)).join(before, reduce(and_, same))
+    return ranked.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+
+
 def carry_floor(value: Column, divisor: Column, part: list[str], order: list[str]) -> Column:
     """What each row gets of floor(running sum / divisor): remainders are carried to later rows."""
     window = Window.partitionBy(*part).orderBy(*order)

@@ -16,6 +16,17 @@ def explode_records(df: DataFrame, col: str, schema: str, name: str = "record",
     return df.select(*others, F.posexplode(F.from_json(col, f"array<struct<{schema}>>")).alias(ordinal, name))
 
 
+def explode_metadata(df: DataFrame, col: str, schema: str) -> DataFrame:
+    """``df`` with the fields of each object of a JSON array as columns; a row without any has none."""
+    others = [c for c in df.columns if c != col]
+    return df.select(*others, F.explode(F.from_json(col, f"array<struct<{schema}>>")).alias("_m")).select(*others, "_m.*")
+
+
+def with_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``bounds``, an aggregate of one row, which is broadcast."""
+    return df.crossJoin(F.broadcast(bounds))
+
+
 def explode_buckets(df: DataFrame, col: str, key: str = "bucket", inner: str = "name", value: str = "qty") -> DataFrame:
     """One row for each entry of a JSON object of objects of numbers; other shapes give none."""
     others = [c for c in df.columns if c != col]

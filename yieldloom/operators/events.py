@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.functions import rates, text
+from yieldloom.functions import rates, records, text
 
 NO_MODEL = "無機種區分"
 
@@ -56,9 +56,9 @@ def divide_success(hours: DataFrame, divisor: str = "success_divisor") -> DataFr
 
 
 def pair_slot(events: DataFrame, divisor: str = "success_divisor", order: tuple[str, ...] = ("time", "id")) -> DataFrame:
-    """Success events of a file and day of which only every divisor-th counts (the others drop out)."""
-    window = Window.partitionBy("file_name", "date").orderBy(*order)
-    hit = events.where(F.col("type") == text.SUCCESS).withColumn("_n", F.row_number().over(window))
+    """Success events of a file and day of which only every divisor-th counts (the others drop out). They
+    are numbered within minutes, by the first five characters of the first of ``order``."""
+    hit = rates.with_bucketed_rank(events.where(F.col("type") == text.SUCCESS), ["file_name", "date"], F.substring(order[0], 1, 5), [F.col(c) for c in order], "_n")
     kept = hit.where(F.col("_n") % F.col(divisor) == 0).drop("_n")
     return kept.unionByName(events.where(F.col("type") != text.SUCCESS))
 
@@ -147,10 +147,16 @@ def hour_detail(causes: DataFrame, date: str, hour: str) -> DataFrame:
     return out.select("category", "qty", rates.ratio1(F.col("qty"), F.col("total")).alias("share"))
 
 
-def hour_profile(success: DataFrame, ng: DataFrame, active_days: int | Column) -> DataFrame:
-    """24 rows: hour, production, ng (means over the active days), success_rate, downtime_rate."""
-    days = F.greatest(F.lit(1), F.lit(active_days) if isinstance(active_days, int) else active_days)
-    hours = success.sparkSession.range(24).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("hour"))
+def active_days(classified: DataFrame) -> DataFrame:
+    """One row: days with successes or stops."""
+    return classified.where(F.col("type").isin(text.SUCCESS, text.NG)).agg(F.count_distinct("date").alias("days"))
+
+
+def hour_profile(success: DataFrame, ng: DataFrame, active: DataFrame) -> DataFrame:
+    """24 rows: hour, production, ng (means over the days of :func:`active_days`), success_rate,
+    downtime_rate."""
+    hours = records.with_bounds(success.sparkSession.range(24).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("hour")), active)
+    days = F.greatest(F.lit(1), F.col("days"))
     s = success.groupBy("hour").agg(F.sum("qty").alias("_s"))
     n = ng.groupBy("hour").agg(F.sum("qty").alias("_n"))
     out = hours.join(s, "hour", "left").join(n, "hour", "left")

@@ -307,11 +307,15 @@ def line_versions(summaries: DataFrame) -> DataFrame:
 
 
 def file_details(winners: DataFrame, line: str, start: str = "", end: str = "") -> DataFrame:
-    """file_name and its records in order (time, missing last; upload; id), as JSON texts."""
+    """file_name, place, id, record: the records of each file as JSON texts, with their place (from 1) in the
+    order of time (missing last), upload and id. A sink that writes a file's records in one text sorts by
+    (file_name, place); a file may hold any share of the rows."""
     rows = dates.date_range(winners.where(F.col("line") == line), start, end)
-    order = [F.coalesce("dedup_time", F.lit(2**63 - 1)).alias("t"), F.col("created_at").alias("c"), F.col("id").alias("i")]
-    record = F.to_json(F.struct("dedup_key", "dedup_time", "report_date", "work_order", "model_name", "status", "defect", "machine")).alias("record")
-    return rows.groupBy("file_name").agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, record))), lambda r: r["record"]).alias("records"))
+    record = F.to_json(F.struct("dedup_key", "dedup_time", "report_date", "work_order", "model_name", "status", "defect", "machine"))
+    order = [F.col("dedup_time").asc_nulls_last(), F.col("created_at").asc_nulls_last(), F.col("id")]
+    hour = F.coalesce(F.floor(F.col("dedup_time") / 3_600_000), F.lit(2**62))
+    ranked = rates.with_bucketed_rank(rows, ["file_name"], hour, order, "place")
+    return ranked.select("file_name", "place", "id", record.alias("record"))
 
 
 def unknown_products(units: DataFrame) -> DataFrame:

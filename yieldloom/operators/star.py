@@ -211,10 +211,9 @@ def validate_report_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def publish_report(production: DataFrame, defects: DataFrame, rows: DataFrame, row_defects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A production row for each report row (source_row, wo_id, production_date, input_qty), its defects
     (source_row, defect_type_id, location_id, quantity), and the manifest (source_row, production_id)."""
-    # the rows of one uploaded report, a small file, are numbered together
     top = production.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    number = F.row_number().over(Window.orderBy("source_row"))
-    given = rows.withColumn("_n", number).crossJoin(top).withColumn("production_id", (F.col("_top") + F.col("_n")).cast("long"))
+    numbered = rates.with_bucketed_rank(rows, [], F.floor(F.col("source_row") / 10_000), [F.col("source_row")], "_n")
+    given = records.with_bounds(numbered, top).withColumn("production_id", (F.col("_top") + F.col("_n")).cast("long"))
     made = given.select(F.col("production_id").alias("id"), "wo_id", "production_date", F.col("input_qty").alias("input_quantity"))
     manifest = given.select("source_row", "production_id")
     own = row_defects.join(manifest, "source_row").select("production_id", "defect_type_id", "location_id", "quantity")

@@ -7,7 +7,6 @@ names. Queries run over whole tables; limits stand only where the operator is a
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,44 +14,12 @@ from pyspark.sql import functions as F
 from yieldloom.functions import dates, rates, records, text
 from yieldloom.operators import cross, election, equipment, events, facts, qr, retention, star
 from yieldloom.plans import bindings as b
+from yieldloom.plans.registry import big as _big
+from yieldloom.plans.registry import n as _n
+from yieldloom.plans.registry import pct as _pct
+from yieldloom.plans.registry import query as _query
 from yieldloom.sources.readers import parse_events
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def _pct(part: str, base: str, digits: int = 2) -> str:
-    scale = 10**digits
-    return f"CASE WHEN ({base}) > 0 THEN CAST(((CAST({part} AS BIGINT)) * {200 * scale} + CAST({base} AS BIGINT)) // (2 * CAST({base} AS BIGINT)) AS DOUBLE) / {scale} ELSE 0.0 END"
-
-
-def _big(expression: str) -> str:
-    return f"CAST({expression} AS BIGINT)"
-
-
-def _n(condition: str) -> str:
-    return f"CAST(count(*) FILTER (WHERE {condition}) AS BIGINT)"
-
-
 # ---------------------------------------------------------------- test processes
 
 _W = f"WITH {b.PLOG}, {b.WINNERS}"
@@ -232,17 +199,23 @@ def apply_machine(spark, d):
     return election.apply_machine(log, election.machine_references(rows)).select("id", "machine")
 
 
-@_query(f"{_W}, g AS (SELECT {_DIMS}, count(*) AS quantity FROM winners GROUP BY ALL) SELECT line, {_big('sum(quantity)')} AS quantity, {_big('count(*)')} AS group_count FROM g GROUP BY line")
+_CONTENT = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in facts.DIMENSIONS)
+
+
+@_query(f"""{_W}, g AS (SELECT {_DIMS}, count(*) AS quantity FROM winners GROUP BY ALL),
+h AS (SELECT line, quantity, CAST('0x' || substr(md5(concat_ws(chr(31), {_CONTENT}, CAST(quantity AS VARCHAR))), 1, 8) AS BIGINT) AS head FROM g)
+SELECT line, CAST(sum(head) AS VARCHAR) AS digest, {_big('sum(quantity)')} AS quantity, {_big('count(*)')} AS group_count FROM h GROUP BY line""")
 def dashboard_digest(spark, d):
-    groups = facts.compact_groups(election.elect_winners(b.plog(spark, d)))
-    return facts.dashboard_digest(groups, groups).drop("digest").select("line", F.col("quantity").cast("long").alias("quantity"), "group_count")
+    winners = election.elect_winners(b.plog(spark, d))
+    return facts.dashboard_digest(facts.fact_view(winners), facts.compact_groups(winners)).withColumn("quantity", F.col("quantity").cast("long"))
 
 
-@_query(f"""{_W} SELECT line, id, row_number() OVER (PARTITION BY line, file_name ORDER BY dedup_time, created_at, id) AS place, file_name FROM winners""")
+@_query(f"""{_W} SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY dedup_time, created_at, id) AS place, id, dedup_key, dedup_time, report_date, status, defect
+FROM winners WHERE line = 'FT1' AND report_date >= '2024-01-05'""")
 def file_details(spark, d):
-    rows = election.elect_winners(b.plog(spark, d))
-    order = [F.col(c).asc_nulls_last() for c in election.ORDER]
-    return rates.with_rank(rows, ["line", "file_name"], order, "place").select("line", "id", "place", "file_name")
+    rows = facts.file_details(election.elect_winners(b.plog(spark, d)), "FT1", "2024-01-05")
+    fields = F.from_json("record", "dedup_key string, dedup_time long, report_date string, status string, defect string")
+    return rows.select("file_name", "place", "id", fields.alias("r")).select("file_name", "place", "id", "r.*")
 
 
 @_query(f"{_W}, s AS (SELECT DISTINCT line, {_LABEL} AS name FROM winners WHERE line = 'FT2' UNION SELECT 'FT2', {_LABEL} FROM plog WHERE line = 'FT2') SELECT DISTINCT name FROM s")
@@ -283,12 +256,17 @@ def compact_history(spark, d):
     return groups.select(F.lit("group").alias("store"), *facts.DIMENSIONS, "quantity").unionByName(units.select(F.lit("unit").alias("store"), *facts.DIMENSIONS, "quantity"))
 
 
-@_query(f"{_W} SELECT {_DIMS}, {_big('count(*)')} AS quantity FROM winners WHERE false GROUP BY ALL")
+@_query(f"""{_W}, g AS (SELECT {_DIMS}, count(*) AS quantity, count(*) - count(*) FILTER (WHERE id % 7 = 0) AS left_over FROM winners GROUP BY ALL)
+SELECT {_DIMS}, {_big("quantity")} AS quantity FROM g WHERE left_over <> quantity UNION ALL SELECT {_DIMS}, {_big("left_over")} FROM g WHERE left_over <> quantity AND left_over > 0""")
 def verify_compaction(spark, d):
-    """What compaction changed in the weighted content: nothing."""
+    """What differs in the weighted content when compaction had lost every seventh unit: only their groups,
+    as before and after; nothing differs without that loss."""
     winners = election.elect_winners(b.plog(spark, d))
-    stay, groups, _ = retention.compact(winners, facts.compact_groups(winners.limit(0)), dt.date(2024, 1, 18))
-    return retention.verify_compaction(facts.fact_view(winners), facts.fact_view(stay, None, groups))
+    stay, groups, _ = retention.compact(winners.where("id % 7 <> 0"), facts.compact_groups(winners.limit(0)), dt.date(2024, 1, 18))
+    whole, whole_groups, _ = retention.compact(winners, facts.compact_groups(winners.limit(0)), dt.date(2024, 1, 18))
+    before = facts.fact_view(winners)
+    unchanged = retention.verify_compaction(before, facts.fact_view(whole, None, whole_groups))
+    return retention.verify_compaction(before, facts.fact_view(stay, None, groups)).unionByName(unchanged)
 
 
 @_query(f"""{_W}, g AS (SELECT {_DIMS.replace('machine', "CASE WHEN model_name = 'M1' AND machine = '1號機' THEN '2號機' ELSE machine END AS machine")}, {_big("count(*)")} AS quantity FROM winners GROUP BY ALL)
@@ -633,9 +611,8 @@ q AS (SELECT *, CAST(round(production * 100) AS BIGINT) AS success, CAST(round(n
 SELECT hour, production, ng, CASE WHEN success + stops > 0 THEN {_pct('success', 'success + stops')} ELSE 100.0 END AS success_rate, {_pct('stops', 'success')} AS downtime_rate FROM q""")
 def hour_profile(spark, d):
     rows = _classified(spark, d)
-    active = rows.where(F.col("type").isin(text.SUCCESS, text.NG)).agg(F.count_distinct("date").alias("n")).first()["n"]
     ng = rows.where(F.col("type") == text.NG).groupBy(text.hour_key(F.col("time")).alias("hour")).agg(F.count(F.lit(1)).alias("qty"))
-    return events.hour_profile(events.hourly_success(rows), ng, active)
+    return events.hour_profile(events.hourly_success(rows), ng, events.active_days(rows))
 
 
 # ---------------------------------------------------------------- codes and equipment

@@ -17,7 +17,7 @@ OLD = {"work_order": 2, "product": 4, "dedup_key": 5, "time": 6, "defect": 8, "s
 def _csv(spark: SparkSession, path: str, columns: int, encoding: str) -> DataFrame:
     schema = ", ".join(f"_c{k} string" for k in range(columns))
     rows = spark.read.schema(schema).options(multiLine=True, escape='"', encoding=encoding, mode="PERMISSIVE").csv(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("row_id"))
+    return rows.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("row_id"))
 
 
 def _blank(columns: list[str]):
@@ -25,10 +25,10 @@ def _blank(columns: list[str]):
 
 
 def read_process_log(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Rows of test-process logs (header and blank rows dropped) as raw texts _c0 to _c9, with file_name
-    and row_id, which grows within a file. A file whose header has fewer than nine
+    """Rows of test-process logs (header and blank rows dropped) as raw texts _c0 to _c9, with file_name,
+    file_path and row_id, which grows within a file. A file whose header has fewer than nine
     columns is refused."""
-    own = Window.partitionBy("file_name")
+    own = Window.partitionBy("file_path")
     rows = _csv(spark, path, 10, encoding).withColumns({"_first": F.min("row_id").over(own), "_ninth": F.min_by("_c8", "row_id").over(own)})
     wide = records.require(F.col("_ninth").isNotNull(), F.concat(F.lit("fewer than 9 columns in "), F.col("file_name")))
     rows = rows.where(wide & (F.col("row_id") > F.col("_first"))).drop("_first", "_ninth")
@@ -74,7 +74,7 @@ def status_flags(df: DataFrame, status: str = "status") -> DataFrame:
 
 
 def read_qr_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """qr and time texts of code scans, with file_name: the rows after the first whose second column reads
+    """qr and time texts of code scans, with file_name and file_path: the rows after the first whose second column reads
     qrcode and sixth time, whatever stands above. Files without such a row are refused."""
     rows = _csv(spark, path, 7, encoding)
 
@@ -82,11 +82,11 @@ def read_qr_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
         return F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\s﻿]+", ""))
 
     is_header = (header("_c1") == "qrcode") & (header("_c5") == "time")
-    own = Window.partitionBy("file_name")
+    own = Window.partitionBy("file_path")
     rows = rows.withColumn("_header", F.min(F.when(is_header, F.col("row_id"))).over(own))
     missing = F.raise_error(F.concat(F.lit("no header row in "), F.col("file_name"))).cast("long")
     rows = rows.where(F.col("row_id") > F.coalesce("_header", missing))
-    return rows.select("file_name", "row_id", F.trim(F.coalesce("_c1", F.lit(""))).alias("qr"), F.col("_c5").alias("time"))
+    return rows.select("file_name", "file_path", "row_id", F.trim(F.coalesce("_c1", F.lit(""))).alias("qr"), F.col("_c5").alias("time"))
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:

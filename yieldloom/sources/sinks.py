@@ -3,14 +3,18 @@ to a new place, or merges it where the catalog can."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def export_sections(sections: dict[str, DataFrame], path: str, fmt: str = "csv") -> None:
     """One folder for each section of a report."""
     for name, df in sections.items():
-        df.write.mode("errorifexists").options(header=True).format(fmt).save(f"{path}/{name}")
+        df.write.mode("errorifexists").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).format(fmt).save(f"{path}/{name}")
 
 
 def export_event_sections(sections: dict[str, DataFrame], path: str, fmt: str = "csv") -> None:
@@ -26,3 +30,15 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 def replace_file(target: DataFrame, file: str, rows: DataFrame, column: str = "file_name") -> DataFrame:
     """``target`` with all rows of one file replaced."""
     return target.where(~F.col(column).eqNullSafe(F.lit(file))).unionByName(rows.select(*target.columns))
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``), or, in local mode
+    only, in a temporary one."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared}/scratch-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from yieldloom.functions import text
+from yieldloom.operators.election import blank
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", per_trigger: int = 100) -> DataFrame:
@@ -47,38 +48,78 @@ def upload_sessions(activity: DataFrame, gap: str = "24 hours", ts: str = "ts")
     return grouped.select("job_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "parts")
 
 
-def stream_machine_join(log: DataFrame, references: DataFrame, days: int = 30, ts: str = "ts") -> DataFrame:
-    """Log rows with the machine of a reference of their key at most ``days`` away; a fixed name where the
-    log's watermark has passed without one. Both streams carry ``ts``."""
-    late = f"{days} days"
-    a = log.withWatermark(ts, late).alias("a")
-    b = references.select("dedup_key", F.col("machine").alias("ref_machine"), F.col(ts).alias("ref_ts")).withWatermark("ref_ts", late).alias("b")
-    gap = F.expr(f"INTERVAL {days} DAYS")
-    near = (F.col(f"a.{ts}") >= F.col("ref_ts") - gap) & (F.col(f"a.{ts}") <= F.col("ref_ts") + gap)
-    joined = a.join(b, (F.col("a.dedup_key") == F.col("b.dedup_key")) & near, "left")
-    return joined.select("a.*", F.coalesce("ref_machine", F.lit(text.UNKNOWN_MACHINE)).alias("machine_by_reference"))
+def stream_machine_join(log: DataFrame, references: DataFrame, days: int = 30, ts: str = "ts", late: str = "1 day") -> DataFrame:
+    """Each log row once, with ``machine_by_reference``: the machine of the reference of its key. A reference
+    serves the rows that wait for it or come with it, and is gone once it has matched. Rows wait ``days``
+    for a reference and references as long for rows, by the watermark (``late``); rows that waited in vain,
+    and rows without a key, get a fixed name. References of one key that contradict each other match
+    nothing. Both streams carry ``ts``."""
+    kind = "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in log.schema) + ">"
+    rows = log.select("dedup_key", F.col(ts).alias("_at"), F.to_json(F.struct(*log.columns)).alias("_row"), F.lit(None).cast("string").alias("_machine"))
+    refs = references.select("dedup_key", F.col(ts).alias("_at"), F.lit(None).cast("string").alias("_row"), F.col("machine").alias("_machine"))
+    keyed = rows.unionByName(refs).where(~blank()).withWatermark("_at", late).withColumn("_ms", F.unix_millis(F.col("_at").cast("timestamp"))).groupBy("dedup_key")
+
+    keep = days * 86_400_000
+
+    def match(_: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, waiting, machine, said = (list(x) if isinstance(x, (list, tuple)) else x for x in (state.get if state.exists else ([], [], None, 0)))
+        for part in parts:
+            own = part["_row"].notna()
+            times += part.loc[own, "_ms"].tolist()
+            waiting += part.loc[own, "_row"].tolist()
+            for at, m in part.loc[~own, ["_ms", "_machine"]].itertuples(index=False):
+                machine, said = (m if machine in (None, m) else ""), max(said, int(at))
+        over = state.getCurrentWatermarkMs() - keep
+        matched = bool(waiting and machine)
+        out = [k for k, at in enumerate(times) if matched or at <= over]
+        if out:
+            yield pd.DataFrame({"_row": [waiting[k] for k in out], "_machine": machine if matched else text.UNKNOWN_MACHINE})
+        gone = set(out)
+        stay = [k for k in range(len(times)) if k not in gone]
+        known = machine is not None and not matched and said > over
+        if stay or known:
+            state.update(([int(times[k]) for k in stay], [waiting[k] for k in stay], machine if known else None, said if known else 0))
+            first = min([*(int(times[k]) for k in stay), *([said] if known else [])])
+            state.setTimeoutTimestamp(max(first + keep, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+
+    matched = keyed.applyInPandasWithState(match, "_row string, _machine string", "times array<long>, waiting array<string>, machine string, said long", "append", GroupStateTimeout.EventTimeTimeout)
+    loose = log.where(blank()).select("*", F.lit(text.UNKNOWN_MACHINE).alias("machine_by_reference"))
+    found = matched.select(F.from_json("_row", kind).alias("_row"), F.col("_machine").alias("machine_by_reference")).select("_row.*", "machine_by_reference")
+    return found.unionByName(loose)
 
 
 WINNER = "line string, dedup_key string, id long, dedup_time long"
-
-
-def _earliest(key: tuple[str, str], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = state.get if state.exists else None
-    before = best
-    for part in rows:
-        for at, row_id in zip(part["dedup_time"], part["id"], strict=True):
-            rank = (2**63 - 1 if pd.isna(at) else int(at), int(row_id))
-            if best is None or rank < tuple(best):
-                best = rank
-    if best != before:
+_LAST = 2**63 - 1
+
+
+def stream_dedup(rows: DataFrame, days: int = 30) -> DataFrame:
+    """The winner so far of each (line, key), again whenever an earlier row arrives (update mode); rows
+    without a key, null or empty, all pass, as they never compete. A key's state goes when no row of it has
+    come for ``days`` (processing time); a sink that keeps the earlier of its own and a new winner is
+    right for ever."""
+    keep = days * 86_400_000
+
+    def earliest(key: tuple[str, str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = best = state.get if state.exists else None
+        for part in parts:
+            for at, row_id in zip(part["dedup_time"], part["id"], strict=True):
+                rank = (_LAST if pd.isna(at) else int(at), int(row_id))
+                if best is None or rank < tuple(best):
+                    best = rank
         state.update(best)
-        yield pd.DataFrame({"line": [key[0]], "dedup_key": [key[1]], "id": [best[1]], "dedup_time": pd.array([None if best[0] == 2**63 - 1 else best[0]], dtype="Int64")})
-
-
-def stream_dedup(rows: DataFrame) -> DataFrame:
-    """The winner so far of each (line, key), again whenever an earlier row arrives (update mode)."""
-    keyed = rows.where("dedup_key is not null").select("line", "dedup_key", "id", "dedup_time").groupBy("line", "dedup_key")
-    return keyed.applyInPandasWithState(_earliest, WINNER, "dedup_time long, id long", "update", GroupStateTimeout.NoTimeout)
+        state.setTimeoutDuration(keep)
+        if best != before:
+            yield pd.DataFrame({"line": [key[0]], "dedup_key": [key[1]], "id": [best[1]], "dedup_time": pd.array([None if best[0] == _LAST else best[0]], dtype="Int64")})
+
+    fields = rows.select("line", "dedup_key", F.col("id").cast("long").alias("id"), F.col("dedup_time").cast("long").alias("dedup_time"))
+    keyed = fields.where(~blank()).groupBy("line", "dedup_key")
+    winners = keyed.applyInPandasWithState(earliest, WINNER, "dedup_time long, id long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return winners.unionByName(fields.where(blank()))
 
 
 def within_days(day: Column, cutoff: str) -> Column:
