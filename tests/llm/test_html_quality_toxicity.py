@@ -94,6 +94,13 @@ def test_importance_decides_in_and_outside_of_articles(spark):
     assert html_extract.main_text("<div class='sidebar'>x<main>in</main></div><article class='ad-slot'>y</article>") == "in"
 
 
+def test_very_long_and_deep_pages(spark):
+    rows = [(1, "http://h.example/1", "<article>" + "<p>word</p>" * 60_000 + "</article>"), (2, "http://h.example/2", "<div>" * 5_000 + "deep"), (3, "http://h.example/3", "<" * 100_000 + "x"), (4, None, "<p>" + "w " * 300_000)]
+    text = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert text[1] == "\n".join(["word"] * 60_000) and text[2] == "deep"
+    assert text[3] == "<" * 100_000 + "x" and text[4] == " ".join(["w"] * 300_000)
+
+
 def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -1,49 +1,122 @@
+"""The pipeline's stages, each held against plain Python on what its predecessor kept."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
+from test_exact_mixing import fold
+from test_minhash import brute
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from yieldloom.llm import mixing
-from yieldloom.llm.language import UNKNOWN
+from yieldloom.llm import language, mixing
+from yieldloom.llm.queries import VOCABULARY
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_stages_in_order(spark):
+def documents(spark):
+    """The given documents, copies in capitals, near copies, texts without letters, nulls and a repeated row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.where("doc_id < 6")
+    upper = some.select(F.lit(10**6) + F.col("doc_id"), F.upper("text"), "lang", "source", "n_chars").toDF(*COLUMNS)
+    near = docs.where("length(text) > 900").limit(20).select(F.lit(2 * 10**6) + F.col("doc_id"), F.concat("text", F.lit(" closing words")), "lang", "source", "n_chars").toDF(*COLUMNS)
+    junk = spark.createDataFrame([(3 * 10**6, "123 456", "en", "src1", 7), (3 * 10**6 + 1, None, None, None, None), (3 * 10**6 + 2, "", "en", None, 0), (None, "words without an id " * 9, "en", None, 0)], docs.schema)
+    return docs.unionByName(upper).unionByName(near).unionByName(junk).unionByName(some.limit(1))
+
+
+def has_letter(text):
+    return any(c.isalpha() for c in text or "")
+
+
+def plain_slots(rows, block=16, alpha=0.7):
+    """Slot of each row by earliest-deadline-first over the tempered weights, found by a scan of all sources."""
+    counts = Counter(r.source for r in rows)
+    whole = mixing.fine_weights(mixing.tempered(counts, alpha), {s: -(-k // block) for s, k in counts.items()})
+    total, done = sum(whole.values()), Counter()
+    names = sorted(whole, key=lambda s: (s is not None, s or ""))
+    at = defaultdict(list)
+    for slot in range(total):
+        open_ = [s for s in names if done[s] * total // whole[s] <= slot and done[s] < whole[s]]
+        best = min(open_, key=lambda s: (-(-(done[s] + 1) * total // whole[s]), names.index(s)))
+        at[best].append(slot)
+        done[best] += 1
+    out = {}
+    for s in names:
+        own = sorted((r for r in rows if r.source == s), key=lambda r: ((r.doc_id or 0) % 4096, r.doc_id is not None, r.doc_id or 0))
+        for i, r in enumerate(own):
+            k = i // block
+            out[r.doc_id] = k // whole[s] * total + at[s][k % whole[s]]
+    return out
+
+
+def test_stages_against_brute_force(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "pack"]
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = docs.where("doc_id < 3").select(F.lit(10**6) + F.col("doc_id"), F.upper("text"), "lang", "source", "n_chars").toDF(*COLUMNS)
-    junk = spark.createDataFrame([(2 * 10**6, "123 456", "en", "src1", 7), (2 * 10**6 + 1, None, None, None, None)], docs.schema)
-    docs = docs.unionByName(extra).unionByName(junk)
-    seen = {}
+    docs = documents(spark)
+    kept = {"documents": docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF).cache()
-        seen[name] = docs
+        docs = stage(spark, docs, SF)
         if name != "pack":
             assert docs.columns == COLUMNS
-    by = {n: {r.doc_id for r in d.select("doc_id").collect()} for n, d in seen.items()}
-    assert 2 * 10**6 not in by["language_id"] and 2 * 10**6 + 1 not in by["language_id"]
-    assert len(by["language_id"]) >= 200
-    texts = [r.text for r in seen["exact_dedup"].collect()]
-    assert len(texts) == len({"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in texts})
-    assert by["near_dedup"] <= by["exact_dedup"] and by["mix_sources"] <= by["near_dedup"]
-    rows = mixing.schedule(seen["near_dedup"]).where("in_mix").select("doc_id").collect()
-    assert by["mix_sources"] == {r.doc_id for r in rows}
-    assert by["pack"] == by["mix_sources"]
-    assert UNKNOWN == "und"
+        rows = docs.collect()
+        kept[name] = rows
+        if name != "pack":
+            docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+
+    def ids(name):
+        return Counter(r.doc_id for r in kept[name])
+
+    trees = language.learn(documents(spark))
+    texts = [(r.text or "").encode() for r in kept["documents"]]
+    _, posterior = trees.predict(texts)
+    assert ids("language_id") == Counter(r.doc_id for r, p in zip(kept["documents"], posterior, strict=True) if has_letter(r.text) and p >= 0.5)
+
+    best = {}
+    for r in kept["language_id"]:
+        key = fold(r.text)
+        best[key] = max(best.get(key, -1), -1 if r.doc_id is None else r.doc_id)
+    assert ids("exact_dedup") == Counter(None if i == -1 else i for i in best.values())
+
+    known = [tuple(r) for r in kept["exact_dedup"] if r.doc_id is not None]
+    component = brute(known, 5, 80)
+    gone = {i for i, (_, c) in component.items() if c != i}
+    assert len(gone) >= 15
+    assert ids("near_dedup") == Counter(r.doc_id for r in kept["exact_dedup"] if r.doc_id not in gone)
+
+    assert Counter(kept["mix_sources"]) == Counter(kept["near_dedup"])
+    slots = plain_slots(kept["near_dedup"])
+    assert [slots[r.doc_id] for r in kept["mix_sources"]] == sorted(slots.values())
+
+    whole = Tokenizer.from_file(VOCABULARY)
+    tokens = {r.doc_id: np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in kept["mix_sources"]}
+    places, spans = defaultdict(list), defaultdict(list)
+    for p in kept["pack"]:
+        own = tokens[p.doc_id]
+        assert p.doc_tokens == len(own) and p.ids_crc32 == zlib.crc32(own[p.start : p.start + p.length].tobytes())
+        places[p.sequence_id].append((p.offset, p.length))
+        spans[p.doc_id].append((p.start, p.length))
+    assert set(spans) == set(tokens)
+    for of, full in ((spans, {i: len(t) for i, t in tokens.items()}), (places, None)):
+        for key, pieces in of.items():
+            at = 0
+            for start, length in sorted(pieces):
+                assert start == at
+                at += length
+            assert at == full[key] if full else at <= 2048
 
 
 def test_run_equals_stages(spark):
-    rows = corpus_pipeline.run(spark, SF).collect()
-    by_doc = {}
-    for r in rows:
-        by_doc.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
-    known = {r["doc_id"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
-    assert set(by_doc) <= known
-    for pieces in by_doc.values():
-        at = 0
-        for start, length, _ in sorted(pieces):
-            assert start == at
-            at += length
-        assert all(at == n for *_, n in pieces)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+
+    def pieces(df):
+        return Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
+
+    got = pieces(corpus_pipeline.run(spark, SF))
+    assert got == pieces(docs)
+    assert {k[0] for k in got} <= {r["doc_id"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}

@@ -1,4 +1,7 @@
-"""Connected components of an edge table, by contraction, minimum labels and pointer jumping."""
+"""Connected components of an edge table, by contraction, minimum labels and pointer jumping.
+
+Cases: an edge with a null end is none; loops and repeated edges change nothing; an empty table gives an
+empty result; other columns are ignored."""
 
 from __future__ import annotations
 

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from yieldloom.llm.common import fresh, utf8
 
 TABLE_BYTES = 64 << 20
-TASK_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
 FANOUT = 16
 
 
