@@ -53,7 +53,7 @@ def test_qr_csv_and_event_log(spark, tmp_path):
 
 
 def _drain(query):
-    query.awaitTermination(120)
+    assert query.awaitTermination(120), "the stream doesn't end"
     assert query.exception() is None
 
 

@@ -170,17 +170,25 @@ def attach_model(events: DataFrame, schedules: DataFrame) -> DataFrame:
     """``events`` with the model whose schedule (date, start_time, end_time, model, priority) holds their
     minute; the schedule of the highest priority where several do; a fixed name where none does.
 
-    The join is an equi join on the date, cut down to distinct minutes first, so a day's events meet its
-    few schedules once for each minute.
+    A day's schedules are first cut into spans that don't overlap, each with its model, so that an event
+    is read once and meets at most one span of its day.
     """
-    minute = text.minute_of_day(F.col("time"))
-    s = schedules.select(F.col("date").alias("_date"), text.minute_of_day(F.col("start_time")).alias("_from"), text.minute_of_day(F.col("end_time"), True).alias("_to"), F.col("model").alias("_model"), "priority")
-    rows = events.withColumn("_minute", minute)
-    minutes = rows.select(F.col("date").alias("_d"), F.col("_minute").alias("_at")).where("_at is not null").distinct()
-    inside = minutes.join(s, (F.col("_d") == F.col("_date")) & (F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to")))
-    best = inside.groupBy("_d", "_at").agg(F.max_by("_model", F.struct("priority", "_model")).alias("_best"))
-    joined = rows.join(best, (F.col("date") == F.col("_d")) & (F.col("_minute") == F.col("_at")), "left")
-    return joined.select(*events.columns, F.coalesce("_best", F.lit(NO_MODEL)).alias("model"))
+    rows = events.withColumn("_minute", text.minute_of_day(F.col("time")))
+    spans = schedule_spans(schedules)
+    inside = (F.col("date") == F.col("_date")) & (F.col("_from") <= F.col("_minute")) & (F.col("_minute") < F.col("_to"))
+    return rows.join(spans, inside, "left").select(*events.columns, F.coalesce("_model", F.lit(NO_MODEL)).alias("model"))
+
+
+def schedule_spans(schedules: DataFrame) -> DataFrame:
+    """_date, _from, _to (minutes, the end left out), _model: the spans between any two neighbouring ends of
+    a day's schedules that some schedule covers, with the model of the one of highest priority."""
+    s = schedules.select(F.col("date").alias("_date"), text.minute_of_day(F.col("start_time")).alias("_from"), text.minute_of_day(F.col("end_time"), True).alias("_to"), F.struct("priority", "model").alias("_best"))
+    s = s.where("_from < _to")
+    ends = s.select("_date", F.explode(F.array("_from", "_to")).alias("_at")).distinct()
+    spans = ends.select(F.col("_date").alias("_day"), F.col("_at").alias("_a"), F.lead("_at").over(Window.partitionBy("_date").orderBy("_at")).alias("_b")).where("_b is not null")
+    covered = spans.join(s, (F.col("_day") == F.col("_date")) & (F.col("_from") <= F.col("_a")) & (F.col("_b") <= F.col("_to")))
+    best = covered.groupBy("_day", "_a", "_b").agg(F.max("_best").alias("_best"))
+    return best.select(F.col("_day").alias("_date"), F.col("_a").alias("_from"), F.col("_b").alias("_to"), F.col("_best.model").alias("_model"))
 
 
 def schedule_overlaps(schedules: DataFrame) -> DataFrame:

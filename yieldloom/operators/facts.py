@@ -39,10 +39,12 @@ def compact_groups(units: DataFrame, groups: DataFrame | None = None) -> DataFra
 
 def attach_group(facts: DataFrame, groups: DataFrame) -> DataFrame:
     """Facts with the group_id of the group that has the same dimensions."""
-    a, b = weighted(facts).drop("quantity"), groups.select(*DIMENSIONS, "group_id")
-    keep = facts.select(*[c for c in facts.columns if c not in DIMENSIONS], *a.columns)
-    cond = reduce(lambda x, y: x & y, (F.coalesce(keep[c].cast("string"), F.lit("")) == F.coalesce(b[c].cast("string"), F.lit("")) for c in DIMENSIONS))
-    return keep.join(b, cond, "left").select(*[keep[c] for c in keep.columns], "group_id")
+    others = [c for c in facts.columns if c not in DIMENSIONS]
+    texts = ("work_order", "product_code", "model_name", "status", "defect", "machine", "source_format")
+    keep = facts.select(*others, *[F.coalesce(c, F.lit("")).alias(c) if c in texts else F.col(c) for c in DIMENSIONS])
+    b = groups.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_of_{c}") for c in DIMENSIONS], "group_id")
+    cond = reduce(lambda x, y: x & y, (F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"_of_{c}") for c in DIMENSIONS))
+    return keep.join(b, cond, "left").select(*keep.columns, "group_id")
 
 
 def _sum(condition: Column | None = None, value: str = "quantity") -> Column:

@@ -96,29 +96,29 @@ _LAST = 2**63 - 1
 
 def stream_dedup(rows: DataFrame, days: int = 30) -> DataFrame:
     """The winner so far of each (line, key), again whenever an earlier row arrives (update mode); rows
-    without a key, null or empty, all pass, as they never compete. A key's state goes when no row of it has
-    come for ``days`` (processing time); a sink that keeps the earlier of its own and a new winner is
-    right for ever."""
+    without a key, null or empty, all pass, as they never compete. Rows with a key that are ``days`` older
+    than the newest row are late and left out, as the batch policy refuses them; a key's state goes when
+    it is as old, and a sink keeps the earlier of its own and a new winner."""
     keep = days * 86_400_000
 
     def earliest(key: tuple[str, str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        before = best = state.get if state.exists else None
+        before = best = tuple(state.get) if state.exists else None
         for part in parts:
             for at, row_id in zip(part["dedup_time"], part["id"], strict=True):
                 rank = (_LAST if pd.isna(at) else int(at), int(row_id))
-                if best is None or rank < tuple(best):
-                    best = rank
+                best = rank if best is None else min(best, rank)
+        now = state.getCurrentWatermarkMs()
         state.update(best)
-        state.setTimeoutDuration(keep)
+        state.setTimeoutTimestamp(max((now if best[0] == _LAST else best[0]) + keep, now + 1))
         if best != before:
             yield pd.DataFrame({"line": [key[0]], "dedup_key": [key[1]], "id": [best[1]], "dedup_time": pd.array([None if best[0] == _LAST else best[0]], dtype="Int64")})
 
     fields = rows.select("line", "dedup_key", F.col("id").cast("long").alias("id"), F.col("dedup_time").cast("long").alias("dedup_time"))
-    keyed = fields.where(~blank()).groupBy("line", "dedup_key")
-    winners = keyed.applyInPandasWithState(earliest, WINNER, "dedup_time long, id long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = fields.where(~blank()).withColumn("_at", F.timestamp_millis("dedup_time")).withWatermark("_at", f"{days} days")
+    winners = timed.groupBy("line", "dedup_key").applyInPandasWithState(earliest, WINNER, "dedup_time long, id long", "update", GroupStateTimeout.EventTimeTimeout)
     return winners.unionByName(fields.where(blank()))
 
 
