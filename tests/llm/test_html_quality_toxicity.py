@@ -94,6 +94,13 @@ def test_importance_decides_in_and_outside_of_articles(spark):
     assert html_extract.main_text("<div class='sidebar'>x<main>in</main></div><article class='ad-slot'>y</article>") == "in"
 
 
+def test_a_name_alone_empties_no_page():
+    assert html_extract.main_text('<article class="post no-sidebar"><p>Whole story here.</p></article>') == "Whole story here."
+    assert html_extract.main_text('<nav>menu</nav><div class="entry share-count-3"><p>Story.</p><aside>more</aside></div><div class="ad">Buy</div><footer>f</footer>') == "Story."
+    assert html_extract.main_text('<div class="ad">Buy this now</div><article></article>') == ""
+    assert html_extract.main_text('<nav>menu</nav><footer>f</footer>') == ""
+
+
 def test_very_long_and_deep_pages(spark):
     rows = [(1, "http://h.example/1", "<article>" + "<p>word</p>" * 60_000 + "</article>"), (2, "http://h.example/2", "<div>" * 5_000 + "deep"), (3, "http://h.example/3", "<" * 100_000 + "x"), (4, None, "<p>" + "w " * 300_000)]
     text = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
