@@ -124,7 +124,10 @@ def publish(winners: DataFrame, candidates: DataFrame, heads: DataFrame, incomin
     heads_now = heads.join(files, ["line", "file_name"], "left_anti").unionByName(head.select(*heads.columns))
     everything = candidates.unionByName(incoming.select(*candidates.columns))
     touched = candidates.join(files, ["line", "file_name"], "left_semi").unionByName(incoming.select(*candidates.columns)).where(~blank()).select(*KEY).distinct()
-    stay = winners.where(~blank()).join(touched, KEY, "left_anti").unionByName(winners.where(blank()).join(files, ["line", "file_name"], "left_anti"))
+    keys = touched.select(F.col("line").alias("_line"), F.col("dedup_key").alias("_key"))
+    names = files.select(F.col("line").alias("_line"), F.col("file_name").alias("_file"))
+    other_key = winners.join(keys, (F.col("line") == F.col("_line")) & (F.col("dedup_key") == F.col("_key")), "left_anti")
+    stay = other_key.join(names, blank() & (F.col("line") == F.col("_line")) & (F.col("file_name") == F.col("_file")), "left_anti")
     own_blank = active_candidates(everything.join(files, ["line", "file_name"], "left_semi").where(blank()), heads_now)
     now = stay.select(*candidates.columns).unionByName(reelect(touched, everything, heads_now)).unionByName(own_blank)
     accepted = now.join(head, ["line", "file_name", "job_id"], "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("accepted"))

@@ -96,8 +96,8 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_events(lines: DataFrame, fallback: str) -> DataFrame:
     """date, time and message of machine log lines that have a message; other columns are kept."""
-    parsed = lines.withColumn("_event", text.parse_event_line(F.col("line"), F.lit(fallback)))
-    out = parsed.select(*[c for c in lines.columns if c != "line"], "_event.date", "_event.time", "_event.message")
+    # as a generator's rows, a line is parsed once, whatever is asked of its parts later
+    out = lines.select(*[c for c in lines.columns if c != "line"], F.inline(F.array(text.parse_event_line(F.col("line"), F.lit(fallback)))))
     return out.where(F.coalesce(F.col("message"), F.lit("")) != "")
 
 
