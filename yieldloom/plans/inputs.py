@@ -334,3 +334,55 @@ def carried_remainders(spark, d):
     rows = events.classify(readers.parse_events(b.event_lines(spark, d), "1970-01-01"), b.mapping(spark, d), b.ELOG_RULES)
     hours = rows.groupBy("file_name", "date", text.hour_key(F.col("time")).alias("hour")).agg(F.count_if(F.col("type") == text.SUCCESS).alias("qty"), F.max("success_divisor").alias("v"))
     return hours.withColumn("made", rates.carry_floor(F.col("qty"), F.col("v"), ["file_name", "date"], ["hour"])).drop("qty", "v")
+
+
+@query(f"WITH {b.STAR} SELECT type, location, {big('sum(qty)')} AS qty FROM prod WHERE qty IS NOT NULL GROUP BY ALL")
+def defect_matrix_file(spark, d):
+    """The matrix of defects written as CSV and read again."""
+    from yieldloom.operators import star
+
+    scan = star.scan_production(b.scan(spark, d)).where("qty is not null")
+    wide = scan.groupBy(F.col("type").alias("瑕疵項目")).pivot("location", [f"L{k}" for k in range(1, 8)]).agg(F.sum("qty"))
+    path = sinks.scratch_path(spark)
+    sinks.export_sections({"matrix": wide}, path)
+    return readers.read_defect_matrix(spark, f"{path}/matrix")
+
+
+@query(f"""WITH {b.PLOG} SELECT user_id, array_to_string(list_sort(list(DISTINCT work_order || '/' || line)), ',') AS names, {big("count(DISTINCT line)")} AS lines,
+bool_or(line = 'DAF') AS has_daf, array_to_string(list_sort(list(DISTINCT line) FILTER (WHERE line <> 'DAF')), ',') AS others FROM plog GROUP BY user_id""")
+def array_functions(spark, d):
+    """Distinct arrays, their size, membership, filtering and joining."""
+    lines = F.collect_set("line")
+    out = b.plog(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_set(F.concat_ws("/", "work_order", "line"))).alias("names"), lines.alias("all_lines"))
+    others = F.array_sort(F.filter("all_lines", lambda x: x != "DAF"))
+    return out.select("user_id", F.array_join("names", ",").alias("names"), F.size("all_lines").cast("long").alias("lines"), F.array_contains("all_lines", "DAF").alias("has_daf"), F.array_join(others, ",").alias("others"))
+
+
+@query("""SELECT p_partkey, upper(trim('  ' || p_name || ' ')) AS loud, strpos(p_type, ' ') AS first_space, substr(p_type, 2, 4) AS part, replace(p_brand, '#', '-') AS brand, split_part(p_type, ' ', 1) AS head,
+regexp_replace(p_name, '[0-9]+', 'N', 'g') AS masked, regexp_extract(p_brand, '([0-9]+)', 1) AS number, concat_ws('|', p_name, NULL, p_brand) AS joined FROM part""")
+def string_functions(spark, d):
+    """Case, trimming, search, cutting, replacement, splitting and patterns of texts."""
+    return b.table(spark, d, "part").select(
+        "p_partkey", F.upper(F.trim(F.concat(F.lit("  "), "p_name", F.lit(" ")))).alias("loud"), F.locate(" ", F.col("p_type")).alias("first_space"), F.substring("p_type", 2, 4).alias("part"),
+        F.replace("p_brand", F.lit("#"), F.lit("-")).alias("brand"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("head"), F.regexp_replace("p_name", "[0-9]+", "N").alias("masked"),
+        F.regexp_extract("p_brand", "([0-9]+)", 1).alias("number"), F.concat_ws("|", "p_name", F.lit(None), "p_brand").alias("joined"),
+    )
+
+
+@query("""SELECT s_suppkey, coalesce(nullif(s_nationkey % 4, 0), -1) AS nation, greatest(s_acctbal, 0) AS credit, least(s_acctbal, 0) AS debt, CASE WHEN s_acctbal < 0 THEN 'owes' WHEN s_acctbal > 0 THEN 'has' ELSE 'none' END AS state,
+s_nationkey IS DISTINCT FROM nullif(s_nationkey, 3) AS differs FROM supplier""")
+def null_functions(spark, d):
+    """Defaults, nulls for values, extremes, cases and null-safe comparison."""
+    balance, nation = F.col("s_acctbal"), F.col("s_nationkey")
+    return b.table(spark, d, "supplier").select(
+        "s_suppkey", F.coalesce(F.nullif(nation % 4, F.lit(0)), F.lit(-1)).alias("nation"), F.greatest(balance, F.lit(0)).alias("credit"), F.least(balance, F.lit(0)).alias("debt"),
+        F.when(balance < 0, "owes").when(balance > 0, "has").otherwise("none").alias("state"), (~nation.eqNullSafe(F.nullif(nation, F.lit(3)))).alias("differs"),
+    )
+
+
+@query(f"WITH {b.PLOG} SELECT id, 'b' || k AS k, CASE WHEN id % 2 = 0 THEN 'x' END AS extra, CAST(NULL AS VARCHAR) AS gone FROM plog")
+def json_functions(spark, d):
+    """Two JSON objects merged, a key dropped, values read."""
+    rows = b.plog(spark, d).select("id", F.expr("concat('{\"k\":\"a\",\"gone\":\"', id, '\"}')").alias("a"), F.expr("concat('{\"k\":\"b', k, '\"', if(id % 2 = 0, ',\"extra\":\"x\"', ''), '}')").alias("b"))
+    merged = records.json_without(records.json_merge(F.col("a"), F.col("b")), ["gone"])
+    return rows.select("id", *[records.json_text(merged, k).alias(k) for k in ("k", "extra", "gone")])

@@ -240,3 +240,12 @@ def lines_with_facts(spark, d):
     third = facts.compact_groups(winners.where("id % 3 = 0"))
     every = facts.fact_view(winners.where("id % 3 = 1"), winners.where("id % 3 = 2"), third)
     return facts.per_line(spark, every.groupBy("line").agg(F.sum("quantity").alias("quantity")), {"quantity": 0})
+
+
+@query(f"""{_E}, m AS ({_NOTES}), j AS (SELECT hour, CASE WHEN count(*) > 1 THEN string_agg(date || '：' || note, chr(10) ORDER BY date, note) ELSE max(note) END AS note FROM m GROUP BY hour)
+SELECT h.hour, coalesce(note, '') AS note FROM (SELECT DISTINCT hour FROM elog) h LEFT JOIN j ON j.hour = h.hour""")
+def hour_notes(spark, d):
+    rows = _classified(spark, d).select("date", text.hour_key(F.col("time")).alias("hour"))
+    noted = F.expr("cast(right(date, 2) AS int) % 10 = 3") & (F.col("hour") < "12") | F.expr("cast(right(date, 2) AS int) = 4") & (F.col("hour") < "06")
+    notes = rows.where(noted).select("date", "hour", F.concat(F.lit("note "), "hour").alias("note")).distinct()
+    return events.attach_notes(rows.select("hour").distinct(), notes)

@@ -538,3 +538,11 @@ def export_sections(spark, d):
         part = spark.read.option("header", True).csv(f"{path}/{name}").agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(f"{_W} SELECT id FROM winners WHERE dedup_key IS NOT NULL AND report_date >= '2024-01-02'")
+def accepted_upload(spark, d):
+    """An upload of rows as old as the archived ones of their keys and not before the cutoff: nothing is refused."""
+    archive = _winners(spark, d).where(~election.blank())
+    incoming = archive.where("report_date >= '2024-01-02'")
+    return election.reject_archived_dates(election.reject_earlier(incoming, archive), "2024-01-02").select("id")
