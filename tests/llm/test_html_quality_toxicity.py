@@ -140,6 +140,22 @@ def test_quality_query(spark):
     assert np.mean([k for k, q in judged if q == 1]) >= 0.99 and np.mean([k for k, q in judged if q == 0]) <= 0.05
 
 
+def test_quality_verdicts_against_plain_rules(spark):
+    """The query's verdicts equal the learned rules, applied one by one to statistics in plain Python."""
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    rules = quality.learn(docs, labels)
+    assert rules
+    got = {r.doc_id: r for r in queries.op8_quality_rules(spark, SF).collect()}
+    for d in docs.select("doc_id", "text").collect():
+        values = dict(zip((*quality.COUNTS, *quality.SHARES), quality.text_statistics((d.text or "").encode()), strict=True))
+        first = 0
+        for k, rule in enumerate(rules, 1):
+            if not first and all(values[n] >= t if sign == ">=" else values[n] <= t for n, sign, t in rule.conditions):
+                first = k
+        r = got[d.doc_id]
+        assert r["rule"] == first and r.kept == (first == 0 and not r.base_failed)
+
+
 def test_quality_cases(spark):
     data = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "w " * 300_000, "en", "s", 0), (4, " ".join(f"w{i}" for i in range(80)), "en", "s", 0), (4, " ".join(f"w{i}" for i in range(80)), "en", "s", 0)]
     docs = spark.createDataFrame(data, DOCS)
