@@ -104,3 +104,29 @@ def test_signature_estimates_similarity():
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     for side in ("low", "high"):
         assert abs(shared[side] / minhash.PERMUTATIONS - true) < 0.15
+
+
+def test_a_large_family_is_joined_by_its_hub(spark, monkeypatch):
+    """Copies with up to three changed words of 150 are linked to the document in the middle, not to each
+    other: one round joins them, and only what isn't linked is compared in blocks."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+
+    def copy(edits):
+        words = list(base)
+        for _ in range(edits):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**7)}"
+        return " ".join(words)
+
+    data = [(i, copy(rng.choice((0, 1, 2, 3, 3))), "en", "s", 1) for i in range(1500)] + [(5000 + i, copy(9), "en", "s", 1) for i in range(30)]
+    left = []
+
+    def across(named, body, percent, own=minhash._across_labels):
+        left.append(named.groupBy("label").agg({"vertex": "count"}).count())
+        return own(named, body, percent)
+
+    monkeypatch.setattr(minhash, "_across_labels", across)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert {got[i] for i in range(1500)} == {0}
+    assert all(got[5000 + i] == 5000 + i for i in range(30))
+    assert left == [1] or left[0] <= 31

@@ -7,13 +7,14 @@ for one evaluation. ``BANDS`` bands of ``ROWS`` values each, half of smallest an
 bring documents together: a pair at similarity 0.85 shares no band with probability (1-0.85^7)^32 = 4e-6.
 
 Documents with equal sets are one vertex from the start. What shares a bucket of a band is compared on full
-sets, but not pair by pair: in each of ``STARS`` rounds a document is compared with one hub, the member of its
-buckets with which it shares most bands, and joins its component if they are linked. Only buckets that
-still hold different components then go on: their documents are dealt to tasks in pairs of blocks of at most
-``BLOCK``, by size, and the largest component of such a cluster is compared with the others, not with
-itself. So a family of near copies takes work in proportion to its size, and the square is paid only for
-documents that share buckets without a link. Tasks return ties of a spanning forest, never all pairs. Only
-a pair that shares no bucket is missed.
+sets, but not pair by pair: in each of ``STARS`` rounds a document is compared with one hub and joins its
+component if they are linked. Hubs are documents that share buckets with many others, at first the one
+that shares most, which lies in the middle of a family of copies. Only buckets that still hold different
+components then go on: their documents are dealt to tasks in pairs of blocks of at most ``BLOCK``, by
+size, and the largest component of such a cluster is compared with the others, not with itself. So a
+family of near copies takes work in proportion to its size, and the square is paid only for documents
+that share buckets without a link. Tasks return ties of a spanning forest, never all pairs. Only a pair
+that shares no bucket is missed.
 
 Cases: null and empty texts and texts without words have an empty set and are linked with nothing; a
 text of fewer words than ``width`` has its whole sequence as its one shingle; rows that share an id are
@@ -29,7 +30,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,7 +215,7 @@ def _named(member: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return member.withColumn("label", F.col("vertex"))
     joined = member.join(labels, F.col("vertex") == F.col("id"), "left")
-    return joined.select("vertex", "n", "band", F.coalesce("component", "vertex").alias("label"))
+    return joined.select("vertex", "n", "weight", "band", F.coalesce("component", "vertex").alias("label"))
 
 
 def _alike_in_size(a: str, b: str, percent: int) -> Column:
@@ -222,10 +223,12 @@ def _alike_in_size(a: str, b: str, percent: int) -> Column:
 
 
 def _stars(named: DataFrame, turn: int, percent: int) -> DataFrame:
-    """vertex, hub: for each vertex the one hub with which it shares most bands. A bucket's hub is its
-    smallest vertex at first, later one drawn by a hash; only hubs of other labels count."""
-    order = F.col("vertex") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
-    hub = F.min_by(F.struct("vertex", "n", "label"), order)
+    """vertex, hub: for each vertex the one hub with which it shares most bands. A bucket's hub is at first its
+    vertex with most ``weight``, which lies in the middle of a family of copies; later one is drawn by a
+    hash, with odds in proportion to the weight. Only hubs of other labels count."""
+    drawn = F.log((F.pmod(F.xxhash64("vertex", F.lit(turn)), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))) / F.col("weight")
+    order = F.struct(F.col("weight") if turn == 0 else drawn, -F.col("vertex"))
+    hub = F.max_by(F.struct("vertex", "n", "label"), order)
     hubs = named.groupBy(F.col("band").alias("of_band")).agg(hub.alias("hub"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
     ties = named.join(hubs, F.col("band") == F.col("of_band")).where("label <> hub.label").select("vertex", "n", F.col("hub.vertex").alias("hub"), F.col("hub.n").alias("hub_n"))
     ties = ties.where(_alike_in_size("n", "hub_n", percent)).groupBy("vertex", "hub").agg(F.count(F.lit(1)).alias("shared"))
@@ -300,8 +303,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     groups = materialize(groups)
 
     member = groups.select("vertex", "n", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b").select(F.col("band").alias("of_band"))
-    member = materialize(member.join(shared, F.col("band") == F.col("of_band")).select("vertex", "n", "band"))
+    shared = member.groupBy(F.col("band").alias("of_band")).agg(F.min("vertex").alias("a"), F.max("vertex").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
+    member = member.join(shared, F.col("band") == F.col("of_band")).select("vertex", "n", "band", "size")
+    # how many documents a document meets in its at most BANDS buckets
+    member = materialize(member.select("vertex", "n", "band", F.sum("size").over(Window.partitionBy("vertex")).alias("weight")))
     body = materialize(_bodies(docs, member.select("vertex").distinct(), width))
 
     labels = None
