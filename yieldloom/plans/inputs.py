@@ -254,7 +254,7 @@ def aoi_excluded(spark, d):
 
 
 @query("""SELECT CASE l_linenumber % 3 WHEN 0 THEN '2024-01-09' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS production_date, 'WO' || l_orderkey AS wo_number, 'M_TOP' AS model,
-CASE WHEN l_linenumber % 2 = 0 THEN 100 - 100 * l_tax END AS spi_rate, CASE WHEN l_linenumber % 4 < 3 THEN 98.5 END AS aoi_rate FROM lineitem WHERE l_linenumber % 2 = 0 OR l_linenumber % 4 < 3""")
+CASE WHEN l_linenumber % 2 = 0 THEN 100 - 100 * l_tax END AS spi_rate, CASE WHEN l_linenumber % 4 < 3 THEN CAST(98.5 AS DOUBLE) END AS aoi_rate FROM lineitem WHERE l_linenumber % 2 = 0 OR l_linenumber % 4 < 3""")
 def fpy_table(spark, d):
     """A first-pass-yield table; rows without any rate are left out."""
     day = "CASE l_linenumber % 3 WHEN 0 THEN '45300' WHEN 1 THEN date_format(l_shipdate, 'yyyy/M/d') ELSE date_format(l_shipdate, 'yyyy.MM.dd') END"
@@ -277,7 +277,7 @@ def explode_metadata(spark, d):
     return records.explode_metadata(rows, "metadata", "name string, qty int")
 
 
-@query(f"WITH {b.PLOG} SELECT id, '09' AS bucket, 'a' AS name, k + 0.5 AS qty FROM plog UNION ALL SELECT id, '10', 'b', 7 FROM plog WHERE id % 2 = 0")
+@query(f"WITH {b.PLOG} SELECT id, '09' AS bucket, 'a' AS name, CAST(k + 0.5 AS DOUBLE) AS qty FROM plog UNION ALL SELECT id, '10', 'b', 7 FROM plog WHERE id % 2 = 0")
 def explode_buckets(spark, d):
     """Entries of objects of objects of numbers; other shapes and numbers that aren't positive drop out."""
     k = F.get_json_object("props", "$.k")
