@@ -34,11 +34,16 @@ def replace_file(target: DataFrame, file: str, rows: DataFrame, column: str = "f
 
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``), or, in local mode
-    only, in a temporary one."""
+    only, in a temporary one. What is written there goes when the driver ends."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared}/scratch-{uuid.uuid4().hex}"
+    folder = f"{shared}/scratch-{uuid.uuid4().hex}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{folder}/data"
