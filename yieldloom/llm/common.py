@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,6 +71,19 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         yield batch.slice(begin)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, giving freed Arrow memory back after each batch: two workers share an executor
+    with the JVM, and live on for other tasks."""
+
+    def wrapped(batches):
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, mod 5: 0 marks the held-out rows."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldloom.llm.common import fresh, utf8
+from yieldloom.llm.common import fresh, tidy, utf8
 
 TABLE_BYTES = 64 << 20
 TASK_BYTES = 16 << 20
@@ -138,8 +138,8 @@ def survivors(docs: DataFrame, text: str = "text", order: str = "doc_id", table_
         yield from grace(batches, text, order, n, table_bytes)
 
     schema = _with_fields(docs.schema, (n, T.LongType()), (key, T.LongType()))
-    dealt = docs.mapInArrow(partial, schema).repartition(F.col(key))
-    return dealt.mapInArrow(bucket, schema).drop(key), n
+    dealt = docs.mapInArrow(tidy(partial), schema).repartition(F.col(key))
+    return dealt.mapInArrow(tidy(bucket), schema).drop(key), n
 
 
 def deduplicate(docs: DataFrame, text: str = "text", order: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -168,7 +168,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text", order: str = "doc_id",
         .select("doc_id", "text", n)
         .mapInArrow(_group_digests(n), T.StructType([T.StructField("keep_id", sha[0].dataType), T.StructField("sha_of", T.BinaryType()), T.StructField("n", T.LongType())]))
     )
-    members = narrow.mapInArrow(digests, sha)
+    members = narrow.mapInArrow(tidy(digests), sha)
     joined = members.join(groups, F.col("sha") == F.col("sha_of"), "left")
     keep = F.when(F.col("sha_of").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
     return joined.select(

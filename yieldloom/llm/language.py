@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldloom.llm.common import fresh, slices, utf8
+from yieldloom.llm.common import fresh, slices, tidy, utf8
 
 SAMPLE_DOCS = 800
 MAX_LANGUAGES = 500
@@ -210,4 +210,4 @@ def detect(docs: DataFrame, trees: ContextTrees | None, prediction: str = "lang_
                 kept = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != letter]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(np.where(ok, posterior, 0.0), pa.float64())], schema.names)
 
-    return docs.withColumn(letter, has_letter(F.col("text"))).mapInArrow(run, schema)
+    return docs.withColumn(letter, has_letter(F.col("text"))).mapInArrow(tidy(run), schema)

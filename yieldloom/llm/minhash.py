@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldloom.llm.common import fresh, materialize, slices, utf8
+from yieldloom.llm.common import fresh, materialize, slices, tidy, utf8
 from yieldloom.llm.components import connected_components
 
 ROWS, BANDS = 7, 32
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     schema.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -207,7 +207,7 @@ def _bodies(docs: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
 
     # neither side has a size bound, so neither is broadcast
     found = docs.join(vertices.hint("merge"), F.col("doc_id") == F.col("vertex")).select("vertex", "text")
-    return found.mapInArrow(run, "vertex long, hashes binary")
+    return found.mapInArrow(tidy(run), "vertex long, hashes binary")
 
 
 def _named(member: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -252,7 +252,7 @@ def _linked_stars(ties: DataFrame, body: DataFrame, percent: int) -> DataFrame:
     near = ties.withColumnRenamed("vertex", "src").join(body.hint("merge"), F.col("src") == F.col("vertex")).select("src", "hub", "hashes")
     far = body.select(F.col("vertex").alias("of_hub"), F.col("hashes").alias("hub_hashes"))
     pairs = near.join(far.hint("merge"), F.col("hub") == F.col("of_hub")).select("src", "hub", "hashes", "hub_hashes")
-    return pairs.mapInArrow(run, "src long, dst long")
+    return pairs.mapInArrow(tidy(run), "src long, dst long")
 
 
 def _across_labels(named: DataFrame, body: DataFrame, percent: int) -> DataFrame | None:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldloom.llm.common import bucket_ranks, materialize, slices, texts
+from yieldloom.llm.common import bucket_ranks, materialize, slices, texts, tidy
 from yieldloom.llm.tokens import tokenizer
 
 WINDOW = 2048
@@ -72,7 +72,7 @@ def measured(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int
                     schema.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def powers(n: int) -> list[int]:
