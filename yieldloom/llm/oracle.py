@@ -55,6 +55,66 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b
 FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+WITH q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 75 + (25 * CAST(len(w) AS BIGINT) * docs) // total AS m FROM d, s WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+x AS (SELECT q.item_id, p.r, CAST(sum(q.c * f.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * m.m))) AS BIGINT) AS score
+      FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY q.item_id, p.r),
+y AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM x JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM y WHERE rank <= 20
+"""
+
+_FIELDS = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_TEXT = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+
+OP11 = f"""
+WITH RECURSIVE l AS (
+  SELECT row_number() OVER () AS r, doc_id, source, sha256({_FIELDS} || {_TEXT.format('text')}) AS leaf, {_FIELDS} AS fields, text,
+         xor({_CRC}, 4294967295) % 2 = 0 AS hit FROM documents),
+o AS (SELECT r, doc_id, source, leaf,
+             CASE WHEN hit THEN sha256(fields || {_TEXT.format("replace(text, chr(10), '')")}) ELSE leaf END AS changed,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS width FROM l),
+n(lev, source, pos, digest, width) AS (
+  SELECT 0, source, pos, leaf, width FROM o
+  UNION ALL
+  SELECT lev + 1, source, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (width + 2) // 3 FROM n WHERE width > 1 GROUP BY lev, source, pos // 3, width),
+sub AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS width FROM n WHERE width = 1),
+t(lev, pos, digest, width) AS (
+  SELECT 0, pos, subroot, width FROM sub
+  UNION ALL
+  SELECT lev + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (width + 2) // 3 FROM t WHERE width > 1 GROUP BY lev, pos // 3, width),
+a AS (SELECT lev, source, pos // 3 AS run, list(digest ORDER BY pos) AS sides FROM n WHERE width > 1 GROUP BY lev, source, pos // 3),
+b AS (SELECT lev, pos // 3 AS run, list(digest ORDER BY pos) AS sides FROM t WHERE width > 1 GROUP BY lev, pos // 3),
+u(r, lev, pos, source, proof, fold) AS (
+  SELECT r, 0, pos, source, '', changed FROM o
+  UNION ALL
+  SELECT u.r, u.lev + 1, u.pos // 3, u.source,
+         u.proof || array_to_string(list_filter(a.sides, lambda x, i: i <> u.pos % 3 + 1), ''),
+         sha256(array_to_string(list_transform(a.sides, lambda x, i: CASE WHEN i = u.pos % 3 + 1 THEN u.fold ELSE x END), ''))
+  FROM u JOIN a ON a.lev = u.lev AND a.source IS NOT DISTINCT FROM u.source AND a.run = u.pos // 3),
+g AS (SELECT u.r, u.proof, u.fold, sub.pos, sub.subroot FROM u JOIN sub ON sub.source IS NOT DISTINCT FROM u.source
+      WHERE u.lev = (SELECT max(lev) FROM n WHERE n.source IS NOT DISTINCT FROM u.source)),
+v(r, lev, pos, subroot, proof, fold) AS (
+  SELECT r, 0, pos, subroot, proof, fold FROM g
+  UNION ALL
+  SELECT v.r, v.lev + 1, v.pos // 3, v.subroot,
+         v.proof || array_to_string(list_filter(b.sides, lambda x, i: i <> v.pos % 3 + 1), ''),
+         sha256(array_to_string(list_transform(b.sides, lambda x, i: CASE WHEN i = v.pos % 3 + 1 THEN v.fold ELSE x END), ''))
+  FROM v JOIN b ON b.lev = v.lev AND b.run = v.pos // 3),
+h AS (SELECT digest AS root, lev FROM t WHERE width = 1)
+SELECT o.doc_id, o.leaf, v.subroot, h.root, sha256(v.proof) AS proof_sha256, v.fold AS folded_root, v.fold = h.root AS verified
+FROM v JOIN h ON v.lev = h.lev JOIN o ON o.r = v.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1, "op2_mix_sources": OP2, "op3_exact_dedup": OP3}
+    return {"op1_minhash_near_dedup": OP1, "op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op11_merkle_manifest": OP11, "op12_lexical_search": OP12}
