@@ -20,10 +20,6 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
-def _order() -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in ORDER]
-
-
 def blank(column: str = "dedup_key") -> Column:
     return F.coalesce(F.col(column), F.lit("")) == ""
 
@@ -45,10 +41,18 @@ def active_candidates(candidates: DataFrame, heads: DataFrame) -> DataFrame:
     return candidates.join(heads.select("line", "file_name", "job_id"), ["line", "file_name", "job_id"], "left_semi").select(*candidates.columns)
 
 
+def earliest(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The first row of each key by time (missing last), upload and id. Only keys and order go through the
+    aggregation, which sums up within tasks; whole rows (known by id) are picked by a hash of the ids, not sorted."""
+    order = F.struct(*[x for c in ORDER for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))])
+    first = df.groupBy(*(keys or KEY)).agg(F.min(order).alias("_first")).select(F.col("_first.id").alias("_id"))
+    return df.join(first.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left_semi").select(*df.columns)
+
+
 def elect_winners(candidates: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """The winner of each (line, key) by time (missing last), upload and id; all rows without a key."""
     live = candidates if heads is None else active_candidates(candidates, heads)
-    return first_by(live.withColumn("_key", _own_key("id")), ["line", "_key"], _order()).drop("_key")
+    return live.where(blank()).unionByName(earliest(live.where(~blank())))
 
 
 def winner_rows(winners: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def winner_rows(winners: DataFrame, candidates: DataFrame) -> DataFrame:
 def reelect(keys: DataFrame, candidates: DataFrame, heads: DataFrame) -> DataFrame:
     """Winners of some keys only: the keys restrict the candidates before they are ranked."""
     of_keys = candidates.where(~blank()).join(keys.select(*KEY).distinct(), KEY, "left_semi").select(*candidates.columns)
-    return first_by(active_candidates(of_keys, heads), KEY, _order())
+    return earliest(active_candidates(of_keys, heads))
 
 
 def merge_batches(old: DataFrame, new: DataFrame, unknown: str = "未分類機台") -> DataFrame:
@@ -92,7 +96,9 @@ def superseded(candidates: DataFrame, winners: DataFrame, heads: DataFrame) -> D
 def earlier_than_archive(incoming: DataFrame, archive: DataFrame) -> DataFrame:
     """Incoming rows earlier than the archived row of their key: an upload with any is to be refused."""
     old = archive.select("line", "dedup_key", F.col("dedup_time").alias("archived_time"))
-    return incoming.join(old, KEY).where(F.col("dedup_time") < F.col("archived_time")).select(*incoming.columns, "archived_time")
+    # a missing time comes last on both sides
+    before = F.coalesce(F.col("dedup_time") < F.col("archived_time"), F.col("dedup_time").isNotNull() & F.col("archived_time").isNull())
+    return incoming.join(old, KEY).where(before).select(*incoming.columns, "archived_time")
 
 
 def reject_earlier(incoming: DataFrame, archive: DataFrame) -> DataFrame:
@@ -115,33 +121,20 @@ def reject_archived_dates(incoming: DataFrame, cutoff: str | None) -> DataFrame:
 
 
 def publish(winners: DataFrame, candidates: DataFrame, heads: DataFrame, incoming: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Makes ``head`` (line, file_name, job_id) count, with its rows ``incoming``: new winners, new heads,
-    and for each line the rows accepted and the duplicates of other files.
-
-    Only the keys of the files' old and new rows are ranked again; other winners stay as they are.
-    """
-    files = head.select("line", "file_name")
-    heads_now = heads.join(files, ["line", "file_name"], "left_anti").unionByName(head.select(*heads.columns))
-    everything = candidates.unionByName(incoming.select(*candidates.columns))
-    touched = candidates.join(files, ["line", "file_name"], "left_semi").unionByName(incoming.select(*candidates.columns)).where(~blank()).select(*KEY).distinct()
-    keys = touched.select(F.col("line").alias("_line"), F.col("dedup_key").alias("_key"))
-    names = files.select(F.col("line").alias("_line"), F.col("file_name").alias("_file"))
-    other_key = winners.join(keys, (F.col("line") == F.col("_line")) & (F.col("dedup_key") == F.col("_key")), "left_anti")
-    stay = other_key.join(names, blank() & (F.col("line") == F.col("_line")) & (F.col("file_name") == F.col("_file")), "left_anti")
-    own_blank = active_candidates(everything.join(files, ["line", "file_name"], "left_semi").where(blank()), heads_now)
-    now = stay.select(*candidates.columns).unionByName(reelect(touched, everything, heads_now)).unionByName(own_blank)
-    accepted = now.join(head, ["line", "file_name", "job_id"], "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("accepted"))
-    counts = accepted.join(count_duplicates(incoming, winners), "line", "full")
-    counts = counts.select("line", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"))
-    return now, heads_now, counts
+    """:func:`archive.publish` where nothing is archived: new winners, new heads, and for each line the rows
+    accepted and the duplicates of other files."""
+    from yieldloom.operators import archive
+
+    done = archive.publish(winners, candidates, heads, incoming, head)
+    return done.winners, done.heads, done.counts.select("line", "accepted", "duplicates")
 
 
 def delete_file(winners: DataFrame, candidates: DataFrame, heads: DataFrame, line: str, file: str) -> tuple[DataFrame, DataFrame]:
-    """Winners and heads without one file; the next earliest candidate of each freed key is promoted."""
-    gone = (F.col("line") == line) & (F.col("file_name") == file)
-    heads_now = heads.where(~gone)
-    freed = winners.where(gone & ~blank()).select(*KEY)
-    return winners.where(~gone).unionByName(reelect(freed, candidates, heads_now).select(*winners.columns)), heads_now
+    """:func:`archive.delete_file` where nothing is archived: winners and heads without one file."""
+    from yieldloom.operators import archive
+
+    done = archive.delete_file(winners, candidates, heads, line, file)
+    return done.winners, done.heads
 
 
 def file_exists(heads: DataFrame, summaries: DataFrame, line: str, file: str) -> bool:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from yieldloom.functions import records
-from yieldloom.operators import cross, election, facts, qr, retention, star
+from yieldloom.operators import archive, cross, election, facts, qr, retention, star
 from yieldloom.plans import bindings as b
 from yieldloom.plans.registry import big, n, query
 from yieldloom.sources import sinks
@@ -155,6 +155,64 @@ def delete_one_file(spark, d):
     return election.delete_file(election.elect_winners(log), log, heads, "FT1", "F7")[0].select("id", "line", "file_name")
 
 
+_DAY = "2024-01-10"
+#: State after a compaction at _DAY without file F7, and an upload of F7's later rows over it.
+_OVER = f"""WITH {b.PLOG}, others AS (SELECT * FROM plog WHERE file_name <> 'F7'), inc AS (SELECT * FROM plog WHERE file_name = 'F7' AND report_date >= '{_DAY}'),
+w0 AS (SELECT * FROM (SELECT *, {_RANK} AS r FROM others WHERE dedup_key IS NOT NULL) WHERE r = 1), arch AS (SELECT * FROM w0 WHERE report_date < '{_DAY}'),
+pool AS (SELECT * FROM others UNION ALL SELECT * FROM inc), live AS (SELECT * FROM pool WHERE dedup_key IS NOT NULL AND (line, dedup_key) NOT IN (SELECT (line, dedup_key) FROM arch)),
+now AS (SELECT * EXCLUDE (r) FROM (SELECT *, {_RANK} AS r FROM live) WHERE r = 1 UNION ALL SELECT * FROM pool WHERE dedup_key IS NULL AND report_date >= '{_DAY}'),
+moved AS (SELECT * EXCLUDE (r) FROM arch UNION ALL SELECT * FROM others WHERE dedup_key IS NULL AND report_date < '{_DAY}')"""
+
+
+def _compacted(spark, d):
+    """Winners, candidates, heads, groups and archive after a compaction, without file F7; F7's rows and head."""
+    log, heads = b.plog(spark, d), b.heads(spark, d)
+    others = log.where("file_name <> 'F7'")
+    stay, groups, keys = retention.compact(election.elect_winners(others), facts.compact_groups(others.limit(0)), dt.date.fromisoformat(_DAY))
+    state = stay, others, heads.where("file_name <> 'F7'"), sinks.staged(groups), archive.Archive.create(keys, buckets=16)
+    return *state, log.where(f"file_name = 'F7' and report_date >= '{_DAY}'"), heads.where("file_name = 'F7'")
+
+
+def _published(spark, d):
+    stay, others, heads, groups, keys, incoming, head = _compacted(spark, d)
+    return archive.publish(stay, others, heads, incoming, head, keys, groups, _DAY), others.unionByName(incoming), groups, keys
+
+
+@query(f"{_OVER} SELECT id, line, file_name FROM now")
+def publish_archived(spark, d):
+    """File F7 is published over an archive: archived units don't win again."""
+    return _published(spark, d)[0].winners.select("id", "line", "file_name")
+
+
+@query(f"""{_OVER}, a AS (SELECT line, count(*) AS accepted FROM now WHERE file_name = 'F7' GROUP BY 1), u AS (SELECT * FROM w0 WHERE report_date >= '{_DAY}'),
+k AS (SELECT i.line, {n("(i.line, i.dedup_key) IN (SELECT (line, dedup_key) FROM u)")} AS duplicates, {n("(i.line, i.dedup_key) IN (SELECT (line, dedup_key) FROM arch)")} AS archived_duplicates FROM inc i WHERE i.dedup_key IS NOT NULL GROUP BY 1)
+SELECT coalesce(a.line, k.line) AS line, coalesce(accepted, 0) AS accepted, coalesce(duplicates, 0) AS duplicates, coalesce(archived_duplicates, 0) AS archived_duplicates FROM a FULL JOIN k ON a.line = k.line WHERE accepted > 0 OR duplicates > 0 OR archived_duplicates > 0""")
+def publish_archived_counts(spark, d):
+    """Rows of F7 that count, those whose unit wins in another file, and those whose unit is archived."""
+    return _published(spark, d)[0].counts
+
+
+@query(f"""{_OVER}, f AS (SELECT line, file_name, status, input_included FROM now UNION ALL SELECT line, file_name, status, input_included FROM moved)
+SELECT line, file_name, count(*) AS row_count, {n("input_included")} AS input_count, {n("input_included AND status = 'GOOD'")} AS good_count, {n("input_included AND status = 'FAIL'")} AS fail_count FROM f GROUP BY ALL""")
+def publish_archived_summaries(spark, d):
+    """File summaries after that: those of touched files are made anew, from units and groups, others stay."""
+    stay, others, heads, groups, keys, incoming, head = _compacted(spark, d)
+    none = F.lit(None).cast("string")
+    blank_details = dict.fromkeys(("model_name", "product_code", "work_order", "report_date", "date_start", "date_end"), none)
+    stored = sinks.staged(facts.refresh_summaries(facts.fact_view(stay, None, groups), heads.withColumns(blank_details).drop("job_id")))
+    done = archive.publish(stay, others, heads, incoming, head, keys, groups, _DAY)
+    after = done.summaries(stored, done.heads.withColumns(blank_details).drop("job_id"), groups)
+    return after.select("line", "file_name", "row_count", "input_count", "good_count", "fail_count")
+
+
+@query(f"""{_OVER}, left_ AS (SELECT * FROM live WHERE NOT (file_name = 'F7' AND line = 'FT1')) SELECT id, line, file_name FROM (SELECT *, {_RANK} AS r FROM left_) WHERE r = 1
+UNION ALL SELECT id, line, file_name FROM now WHERE dedup_key IS NULL AND NOT (file_name = 'F7' AND line = 'FT1')""")
+def delete_promotes(spark, d):
+    """F7 is taken back on one line: the next earliest candidate of each freed unit that isn't archived is promoted."""
+    done, candidates, groups, keys = _published(spark, d)
+    return archive.delete_file(done.winners, candidates, done.heads, "FT1", "F7", keys, groups).winners.select("id", "line", "file_name")
+
+
 @query(f"{_W} SELECT DISTINCT line, file_name FROM plog WHERE file_name IN ('F1', 'F2', 'F3') AND (line, file_name) IN (SELECT (line, file_name) FROM winners WHERE report_date < '2024-01-03')")
 def archived_files(spark, d):
     """Files that have archived rows and may not be replaced."""

@@ -47,3 +47,11 @@ def scratch_path(spark: SparkSession) -> str:
     files.mkdirs(at)
     files.deleteOnExit(at)
     return f"{folder}/data"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the scratch folder once and read back: later uses see the same rows and don't work them out
+    again, also after executors are lost."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
