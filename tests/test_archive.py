@@ -86,7 +86,3 @@ def test_an_empty_archive_and_upload(spark, store):
     done = archive.publish(winners, log, heads, incoming.limit(0), head, keys)
     assert ids(done.winners) == [3, 5] and done.counts.count() == 0
 
-
-def test_election_sorts_no_rows(spark, store):
-    plan = election.elect_winners(store[1])._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan

@@ -119,7 +119,8 @@ def publish(
     Refused (ValueError), with nothing changed: a file with archived rows (of ``groups``) in place, dates before the
     ``cutoff``, and rows earlier than the archived ones of their keys. Keys that win in another file, or are archived
     from one, count as duplicates. Keys of the files' old winners and of the new rows are ranked again, unless they
-    are archived; other winners stay. Candidates are read once."""
+    are archived; other winners stay. Only the upload's own keys, and what the archive says of them, are written down
+    before the result is asked for."""
     names = head.select("file_name").distinct()
     replaced = heads.join(names, "file_name", "left_semi")
     _refuse_archived(groups, replaced.select("line", "file_name"), "replaced")
@@ -127,35 +128,34 @@ def publish(
     heads_now = heads.join(names, "file_name", "left_anti").select(*head.columns).unionByName(head)
 
     own = incoming.where(~blank())
+    own = own.select(*candidates.columns)
     if archive is None:
-        asked = own.withColumns({"archived": F.lit(False), "archived_time": F.lit(None).cast("long"), "archived_file": F.lit(None).cast("string")})
+        beside = own.select(*KEY, "id", "file_name", F.lit(False).alias("archived"), F.lit(None).cast("string").alias("archived_file"))
     else:
         asked = archive.beside(own.select(*KEY, "id", "file_name", "dedup_time"))
-    refused = F.col("archived") & earlier()
-    beside = staged(asked.select(*KEY, "id", "file_name", "archived", "archived_file", refused.alias("refused")))
-    if not beside.where("refused").isEmpty():
-        raise ValueError("the upload holds records earlier than archived ones")
-
-    freed = winners.join(names, "file_name", "left_semi").where(~blank()).select(*KEY)
-    touched = staged(beside.select(*KEY, "archived").unionByName(freed.withColumn("archived", F.lit(False))).groupBy(*KEY).agg(F.max("archived").alias("archived")))
-    gone = winners.join(names, "file_name", "left_semi").select("id", *KEY, "file_name")
-    removed = staged(gone.unionByName(winners.where(~blank()).join(touched, KEY, "left_semi").select("id", *KEY, "file_name")).distinct())
+        beside = staged(asked.select(*KEY, "id", "file_name", "archived", "archived_file", (F.col("archived") & earlier()).alias("refused")))
+        if not beside.where("refused").isEmpty():
+            raise ValueError("the upload holds records earlier than archived ones")
 
+    # keys of the files' stored rows (their old winners among them) and of the new ones
+    stored = candidates.where(~blank()).join(names, "file_name", "left_semi").select(*KEY)
+    touched = stored.withColumn("archived", F.lit(False)).unionByName(beside.select(*KEY, "archived")).groupBy(*KEY).agg(F.max("archived").alias("archived"))
     live = touched.where("not archived").select(*KEY)
     pool = candidates.where(~blank()).join(live, KEY, "left_semi").select(*candidates.columns)
-    pool = staged(election.active_candidates(pool, heads_now).unionByName(own.join(live, KEY, "left_semi").select(*candidates.columns)))
-    elected = staged(election.earliest(pool))
+    pool = election.active_candidates(pool, heads_now).unionByName(own.join(live, KEY, "left_semi").select(*candidates.columns))
+    elected = election.first_by(pool, KEY, election.order())
     loose = election.active_candidates(incoming.where(blank()), head)
 
-    stay = winners.join(removed.select("id"), "id", "left_anti").select(*candidates.columns)
+    kept = winners.join(touched.select(*KEY), KEY, "left_anti").select(*candidates.columns)
+    stay = kept.join(names.withColumnRenamed("file_name", "of_file"), blank() & (F.col("file_name") == F.col("of_file")), "left_anti")
     now = stay.unionByName(elected).unionByName(loose)
     accepted = election.active_candidates(elected, head).unionByName(loose).groupBy("line").agg(F.count(F.lit(1)).alias("accepted"))
-    other = removed.select("line", "dedup_key", F.col("file_name").alias("winner_file"))
-    elsewhere = beside.join(other, KEY).where("winner_file <> file_name").select("id", "line").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("duplicates"))
+    hit = winners.where(~blank()).join(touched.select(*KEY), KEY, "left_semi").select(*KEY, F.col("file_name").alias("winner_file"))
+    elsewhere = beside.join(hit, KEY).where("winner_file <> file_name").select("id", "line").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("duplicates"))
     before = beside.where("archived and archived_file <> file_name").groupBy("line").agg(F.count(F.lit(1)).alias("archived_duplicates"))
     counts = accepted.join(elsewhere, "line", "full").join(before, "line", "full").fillna(0).select("line", "accepted", "duplicates", "archived_duplicates")
-    pairs = [df.select("line", "file_name") for df in (replaced, head, removed, elected)]
-    return Publication(now, heads_now, counts, pairs[0].union(pairs[1]).union(pairs[2]).union(pairs[3]).distinct())
+    files = [df.select("line", "file_name") for df in (replaced, head, hit.withColumnRenamed("winner_file", "file_name"), elected)]
+    return Publication(now, heads_now, counts, files[0].union(files[1]).union(files[2]).union(files[3]).distinct())
 
 
 def delete_file(winners: DataFrame, candidates: DataFrame, heads: DataFrame, line: str, file: str, archive: Archive | None = None, groups: DataFrame | None = None) -> Publication:
@@ -167,9 +167,9 @@ def delete_file(winners: DataFrame, candidates: DataFrame, heads: DataFrame, lin
     freed = winners.where(gone & ~blank()).select(*KEY)
     if archive is not None:
         freed = archive.without(freed)
-    freed = staged(freed.distinct())
+    freed = freed.distinct()
     pool = candidates.where(~blank()).join(freed, KEY, "left_semi").select(*candidates.columns)
-    promoted = staged(election.earliest(staged(election.active_candidates(pool, heads_now))))
+    promoted = election.first_by(election.active_candidates(pool, heads_now), KEY, election.order())
     now = winners.where(~gone).unionByName(promoted.select(*winners.columns))
     pairs = promoted.select("line", "file_name").union(heads.where(gone).select("line", "file_name")).distinct()
     counts = promoted.groupBy("line").agg(F.count(F.lit(1)).alias("accepted")).select("line", "accepted", F.lit(0).cast("long").alias("duplicates"), F.lit(0).cast("long").alias("archived_duplicates"))

@@ -14,12 +14,16 @@ KEY = ["line", "dedup_key"]
 ORDER = ("dedup_time", "created_at", "id")
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key by ``order``."""
-    window = Window.partitionBy(*keys).orderBy(*order)
+def first_by(df: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
+    """The first row of each key by the order ``by``. Spark keeps each task's first rows only, before it shuffles."""
+    window = Window.partitionBy(*keys).orderBy(*by)
     return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
+def order() -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in ORDER]
+
+
 def blank(column: str = "dedup_key") -> Column:
     return F.coalesce(F.col(column), F.lit("")) == ""
 
@@ -41,18 +45,10 @@ def active_candidates(candidates: DataFrame, heads: DataFrame) -> DataFrame:
     return candidates.join(heads.select("line", "file_name", "job_id"), ["line", "file_name", "job_id"], "left_semi").select(*candidates.columns)
 
 
-def earliest(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The first row of each key by time (missing last), upload and id. Only keys and order go through the
-    aggregation, which sums up within tasks; whole rows (known by id) are picked by a hash of the ids, not sorted."""
-    order = F.struct(*[x for c in ORDER for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))])
-    first = df.groupBy(*(keys or KEY)).agg(F.min(order).alias("_first")).select(F.col("_first.id").alias("_id"))
-    return df.join(first.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left_semi").select(*df.columns)
-
-
 def elect_winners(candidates: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """The winner of each (line, key) by time (missing last), upload and id; all rows without a key."""
     live = candidates if heads is None else active_candidates(candidates, heads)
-    return live.where(blank()).unionByName(earliest(live.where(~blank())))
+    return first_by(live.withColumn("_key", _own_key("id")), ["line", "_key"], order()).drop("_key")
 
 
 def winner_rows(winners: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -63,7 +59,7 @@ def winner_rows(winners: DataFrame, candidates: DataFrame) -> DataFrame:
 def reelect(keys: DataFrame, candidates: DataFrame, heads: DataFrame) -> DataFrame:
     """Winners of some keys only: the keys restrict the candidates before they are ranked."""
     of_keys = candidates.where(~blank()).join(keys.select(*KEY).distinct(), KEY, "left_semi").select(*candidates.columns)
-    return earliest(active_candidates(of_keys, heads))
+    return first_by(active_candidates(of_keys, heads), KEY, order())
 
 
 def merge_batches(old: DataFrame, new: DataFrame, unknown: str = "未分類機台") -> DataFrame:
