@@ -1,9 +1,10 @@
 """Publication and deletion over archived units, on small stores."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import UNIT, ids, unit
 
-from yieldloom.operators import archive, election, facts
+from yieldloom.operators import archive, election, facts, retention
 
 KEYS = "line string, dedup_key string, dedup_time long, file_name string"
 HEAD = "line string, file_name string, job_id string"
@@ -86,3 +87,42 @@ def test_an_empty_archive_and_upload(spark, store):
     done = archive.publish(winners, log, heads, incoming.limit(0), head, keys)
     assert ids(done.winners) == [3, 5] and done.counts.count() == 0
 
+
+
+def test_digests_follow_changes(spark, store):
+    """Fingerprints by deltas equal those by a scan after publication, deletion and reclassification."""
+    winners, log, heads, keys, groups = store
+    incoming, head = upload(spark, unit(12, "F9", "C", 1), unit(13, "F9", "E", 1, date="2026-10-28"), unit(14, "F9", None, 1))
+
+    def scan(rows):
+        return sorted(map(tuple, facts.day_digests(rows).collect()))
+
+    stored = facts.day_digests(facts.weighted(winners))
+    done = archive.publish(winners, log, heads, incoming, head, keys, groups)
+    published = done.digests(stored)
+    assert sorted(map(tuple, published.collect())) == scan(facts.weighted(done.winners)) != scan(facts.weighted(winners))
+    back = archive.delete_file(done.winners, log.unionByName(incoming), done.heads, "DAF", "F9", keys)
+    assert sorted(map(tuple, back.digests(published).collect())) == scan(facts.weighted(winners))
+    moves = groups.where("model_name = 'M'").withColumn("to_machine", F.lit("2號機"))
+    moved = retention.reclassify(groups, moves)
+    by_delta = facts.change_digests(facts.day_digests(groups), moves.withColumn("machine", F.col("to_machine")), moves)
+    assert sorted(map(tuple, by_delta.collect())) == scan(moved) != scan(groups)
+    assert facts.change_digests(stored, None, facts.weighted(winners)).count() == 0
+    doubled = facts.change_digests(stored, facts.weighted(winners))
+    assert sorted(map(tuple, doubled.collect())) == scan(facts.weighted(winners).unionByName(facts.weighted(winners)))
+
+
+def test_rules_by_index(spark):
+    """Rules shorter than a run of the index, of its length, and longer; repeated rules; no nested loop."""
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "ab", "abc", "xabcx", "zzabczz", "", None, "ABC-123 rev", "日本", "b"])], "id int, product_text string")
+    rules = [("contains", "a", "M1"), ("contains", "bc", "M1"), ("contains", "abc", "M1"), ("contains", "abc-123", "M2"), ("contains", "本", "M3"), ("exact", "b", "M4"), ("exact", "B", "M4"), ("contains", "zzabczz", "M5"), ("contains", "nowhere", "M6")]
+    table = spark.createDataFrame([(f"r{k}", *r) for k, r in enumerate(rules)], "id string, match_type string, match_text string, model string")
+    out = facts.match_rules(texts, table)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+    got = {r.id: (r.model, r.conflict) for r in out.collect()}
+    for r in texts.collect():
+        value = (r.product_text or "").upper()
+        models = {m for kind, t, m in rules if value and (value == t.upper() if kind == "exact" else t.upper() in value)}
+        assert got[r.id] == (next(iter(models)) if len(models) == 1 else None, len(models) > 1)

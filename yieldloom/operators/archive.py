@@ -84,12 +84,19 @@ def earlier(time: str = "dedup_time", archived: str = "archived_time") -> Column
 
 class Publication(NamedTuple):
     """winners and heads as they are now; counts (line, accepted, duplicates, archived_duplicates); pairs (line, file_name)
-    of the files whose content may have changed."""
+    of the files whose content may have changed; the unit rows that count now (added) or no longer (removed), of touched units
+    only: a row may be in both."""
 
     winners: DataFrame
     heads: DataFrame
     counts: DataFrame
     pairs: DataFrame
+    added: DataFrame
+    removed: DataFrame
+
+    def digests(self, stored: DataFrame) -> DataFrame:
+        """Stored :func:`facts.day_digests` after the change, from the touched units alone."""
+        return facts.change_digests(stored, facts.weighted(self.added), facts.weighted(self.removed))
 
     def summaries(self, stored: DataFrame, details: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         """Stored summaries with those of the touched files made anew (``details``: heads with their fallback columns);
@@ -149,13 +156,15 @@ def publish(
     kept = winners.join(touched.select(*KEY), KEY, "left_anti").select(*candidates.columns)
     stay = kept.join(names.withColumnRenamed("file_name", "of_file"), blank() & (F.col("file_name") == F.col("of_file")), "left_anti")
     now = stay.unionByName(elected).unionByName(loose)
+    lost = winners.where(blank()).join(names, "file_name", "left_semi").select(*candidates.columns)
+    lost = lost.unionByName(winners.join(touched.select(*KEY), KEY, "left_semi").select(*candidates.columns))
     accepted = election.active_candidates(elected, head).unionByName(loose).groupBy("line").agg(F.count(F.lit(1)).alias("accepted"))
     hit = winners.where(~blank()).join(touched.select(*KEY), KEY, "left_semi").select(*KEY, F.col("file_name").alias("winner_file"))
     elsewhere = beside.join(hit, KEY).where("winner_file <> file_name").select("id", "line").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("duplicates"))
     before = beside.where("archived and archived_file <> file_name").groupBy("line").agg(F.count(F.lit(1)).alias("archived_duplicates"))
     counts = accepted.join(elsewhere, "line", "full").join(before, "line", "full").fillna(0).select("line", "accepted", "duplicates", "archived_duplicates")
     files = [df.select("line", "file_name") for df in (replaced, head, hit.withColumnRenamed("winner_file", "file_name"), elected)]
-    return Publication(now, heads_now, counts, files[0].union(files[1]).union(files[2]).union(files[3]).distinct())
+    return Publication(now, heads_now, counts, files[0].union(files[1]).union(files[2]).union(files[3]).distinct(), elected.unionByName(loose), lost)
 
 
 def delete_file(winners: DataFrame, candidates: DataFrame, heads: DataFrame, line: str, file: str, archive: Archive | None = None, groups: DataFrame | None = None) -> Publication:
@@ -173,4 +182,4 @@ def delete_file(winners: DataFrame, candidates: DataFrame, heads: DataFrame, lin
     now = winners.where(~gone).unionByName(promoted.select(*winners.columns))
     pairs = promoted.select("line", "file_name").union(heads.where(gone).select("line", "file_name")).distinct()
     counts = promoted.groupBy("line").agg(F.count(F.lit(1)).alias("accepted")).select("line", "accepted", F.lit(0).cast("long").alias("duplicates"), F.lit(0).cast("long").alias("archived_duplicates"))
-    return Publication(now, heads_now, counts, pairs)
+    return Publication(now, heads_now, counts, pairs, promoted, winners.where(gone))

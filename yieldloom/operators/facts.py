@@ -279,20 +279,63 @@ def defect_options(line: str, stores: list[DataFrame], column: str = "defect") -
     return rows.distinct()
 
 
-def dashboard_digest(facts: DataFrame, groups: DataFrame, cutoff: str | None = None) -> DataFrame:
-    """line, digest, quantity, group_count for every line: a fingerprint of the weighted content that is
-    the same before and after unit rows are compacted into groups. The digest is a sum of hashes, so it
-    needs no order."""
+LANES = ["low", "high"]
+_MODULUS = "cast('18446744073709551616' AS decimal(20,0))"
+
+
+def _lanes(columns: list[str], missing: str) -> list[Column]:
+    """Two 64-bit numbers from a row's content."""
+    content = F.md5(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns]))
+    return [F.conv(F.substring(content, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17)]
+
+
+def _lane_sums(weights: Column, lanes: list[Column]) -> list[Column]:
+    return [F.sum(weights.cast("decimal(18,0)") * lane).alias(name) for name, lane in zip(LANES, lanes, strict=True)]
+
+
+def _folded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.expr(f"cast(pmod({c}, {_MODULUS}) AS decimal(20,0))") for c in LANES})
+
+
+def day_digests(facts: DataFrame) -> DataFrame:
+    """line, report_date, low, high, quantity: a fingerprint of the weighted content of each line and day. Each unit adds the
+    hash of its dimensions, modulo 2^64, so neither order nor grouping matters, and content can be added to a
+    fingerprint and taken from it again."""
+    sums = facts.groupBy("line", "report_date").agg(*_lane_sums(F.col("quantity"), _lanes(DIMENSIONS, "\u0000")), F.sum("quantity").alias("quantity"))
+    return _folded(sums)
+
+
+def change_digests(digests: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """Stored :func:`day_digests` after facts were added and removed: only those facts are read. Days without content
+    drop out."""
+    every = digests
+    if added is not None:
+        every = every.unionByName(day_digests(added))
+    if removed is not None:
+        negative = {c: (-F.col(c)).alias(c) for c in (*LANES, "quantity")}
+        every = every.unionByName(day_digests(removed).select("line", "report_date", *negative.values()))
+    sums = every.groupBy("line", "report_date").agg(*[F.sum(c).alias(c) for c in (*LANES, "quantity")])
+    return _folded(sums).where("quantity <> 0 or low <> 0 or high <> 0")
 
-    def old(df: DataFrame) -> DataFrame:
-        return df if cutoff is None else df.where(dates.is_valid_iso_date(F.col("report_date")) & (F.col("report_date") < cutoff))
 
-    grouped = old(facts).groupBy(*DIMENSIONS).agg(F.sum("quantity").alias("quantity"))
-    content = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in [*DIMENSIONS, "quantity"]])
-    head = F.conv(F.substring(F.md5(content), 1, 8), 16, 10).cast("decimal(20,0)")
-    digests = grouped.groupBy("line").agg(F.sum(head).cast("decimal(38,0)").cast("string").alias("digest"), F.sum("quantity").alias("quantity"))
-    n = old(groups).groupBy("line").agg(F.count(F.lit(1)).alias("group_count"))
-    return per_line(facts.sparkSession, digests.join(n, "line", "full"), {"digest": "0", "quantity": 0, "group_count": 0})
+def line_digests(digests: DataFrame, cutoff: str | None = None) -> DataFrame:
+    """line, digest, quantity from :func:`day_digests`, of the days before ``cutoff`` if there is one."""
+    days = digests if cutoff is None else digests.where(dates.is_valid_iso_date(F.col("report_date")) & (F.col("report_date") < cutoff))
+    sums = _folded(days.groupBy("line").agg(*[F.sum(c).alias(c) for c in LANES], F.sum("quantity").alias("quantity")))
+    return sums.select("line", _printed().alias("digest"), "quantity")
+
+
+def _printed() -> Column:
+    return F.concat_ws("-", *[F.lpad(F.conv(F.col(c).cast("string"), 10, 16), 16, "0") for c in LANES])
+
+
+def dashboard_digest(facts: DataFrame, groups: DataFrame, cutoff: str | None = None) -> DataFrame:
+    """line, digest, quantity, group_count for every line: the fingerprint of its weighted content, the
+    same before and after unit rows are compacted into groups."""
+    old = groups if cutoff is None else groups.where(dates.is_valid_iso_date(F.col("report_date")) & (F.col("report_date") < cutoff))
+    n = old.groupBy("line").agg(F.count(F.lit(1)).alias("group_count"))
+    joined = line_digests(day_digests(facts), cutoff).join(n, "line", "full")
+    return per_line(facts.sparkSession, joined, {"digest": "0" * 16 + "-" + "0" * 16, "quantity": 0, "group_count": 0})
 
 
 def per_line(spark, df: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -302,10 +345,11 @@ def per_line(spark, df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 
 def line_versions(summaries: DataFrame) -> DataFrame:
-    """line, rows and a fingerprint of its summary rows, whatever their order."""
-    content = F.md5(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(summaries.columns)]))
-    head = F.conv(F.substring(content, 1, 8), 16, 10).cast("decimal(20,0)")
-    return summaries.groupBy("line").agg(F.count(F.lit(1)).alias("rows"), F.sum(head).cast("string").alias("version"))
+    """line, rows and a fingerprint of its summary rows, whatever their order: hashes of rows added up in two lanes
+    modulo 2^64."""
+    one = F.lit(1)
+    sums = summaries.groupBy("line").agg(F.count(one).alias("rows"), *_lane_sums(one, _lanes(sorted(summaries.columns), "")))
+    return _folded(sums).select("line", "rows", _printed().alias("version"))
 
 
 def file_details(winners: DataFrame, line: str, start: str = "", end: str = "") -> DataFrame:
@@ -340,18 +384,47 @@ def resolve_model(df: DataFrame, memory: DataFrame, column: str = "product_code"
     return joined.withColumn("model_name", F.coalesce(text.known_model(F.col(column)), "_model", F.lit(text.NO_MODEL_NAME))).drop("_code", "_model")
 
 
+GRAM = 3
+
+
+def _grams(value: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters, none of a shorter text."""
+    places = F.sequence(F.lit(1), F.length(value) - (size - 1))
+    runs = F.array_distinct(F.transform(places, lambda i: F.substring(value, i, F.lit(size))))
+    return F.when(F.length(value) >= size, runs)
+
+
+def _containing(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """_text and _model of each text that contains a rule's text, by an inverted index: a rule is looked up under the rarest of its
+    runs of ``GRAM`` characters, a shorter one under its whole text, and what is found is verified."""
+    gram = F.explode(_grams(F.col("_rule"), GRAM)).alias("_gram")
+    of_rules = rules.where(F.length("_rule") >= GRAM).select("_rule", "_model", gram)
+    of_texts = texts.select("_text", F.explode(_grams(F.col("_text"), GRAM)).alias("_gram"))
+    asked = of_rules.select("_gram").distinct()
+    often = of_texts.join(asked, "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a run that no text has keeps the rule from being found at all
+    counted = of_rules.join(often, "_gram", "left").groupBy("_rule", "_model").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), F.col("_gram"))).alias("_gram"))
+    out = of_texts.join(counted, "_gram").where(F.contains("_text", "_rule")).select("_text", "_model")
+    for size in range(1, GRAM):
+        short = rules.where(F.length("_rule") == size).select(F.col("_rule").alias("_gram"), "_model")
+        runs = texts.select("_text", F.explode(_grams(F.col("_text"), size)).alias("_gram"))
+        out = out.unionByName(runs.join(short, "_gram").select("_text", "_model"))
+    return out
+
+
 def match_rules(df: DataFrame, rules: DataFrame, column: str = "product_text", key: str = "id") -> DataFrame:
     """key, model, conflict: the model on which all matching rules (match_type exact or contains,
-    match_text, model) agree, null and a conflict if they don't. Distinct texts are matched once; rules
-    are a small table that Spark broadcasts by its size."""
-    value = text.match_text(F.col(column)).alias("_text")
-    keyed = df.select(key, value)
+    match_text, model) agree, null and a conflict if they don't. Distinct texts are matched once, by equality
+    joins only: exact rules by their text, others by :func:`_containing`."""
+    keyed = df.select(key, text.match_text(F.col(column)).alias("_text"))
     r = rules.select("match_type", text.match_text(F.col("match_text")).alias("_rule"), F.upper(F.trim("model")).alias("_model")).where("_rule <> '' and _model <> ''")
-    hit = F.when(F.col("match_type") == "exact", F.col("_text") == F.col("_rule")).otherwise(F.contains("_text", "_rule"))
-    found = keyed.select("_text").where("_text <> ''").distinct().join(r, hit).groupBy("_text").agg(F.collect_set("_model").alias("_models"))
+    texts = keyed.select("_text").where("_text <> ''").distinct()
+    exact = texts.join(r.where("match_type = 'exact'").select(F.col("_rule").alias("_text"), "_model"), "_text")
+    hits = exact.unionByName(_containing(texts, r.where("match_type = 'contains'").select("_rule", "_model").distinct()))
+    found = hits.groupBy("_text").agg(F.min("_model").alias("_least"), F.max("_model").alias("_most"))
     out = keyed.join(found, "_text", "left")
-    n = F.coalesce(F.size("_models"), F.lit(0))
-    return out.select(key, F.when(n == 1, F.col("_models")[0]).alias("model"), (n > 1).alias("conflict"))
+    agreed = F.coalesce(F.col("_least") == F.col("_most"), F.lit(True))
+    return out.select(key, F.when(agreed, F.col("_least")).alias("model"), (~agreed).alias("conflict"))
 
 
 def upsert_rules(rules: DataFrame) -> DataFrame:

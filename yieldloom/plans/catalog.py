@@ -200,11 +200,13 @@ def apply_machine(spark, d):
 
 
 _CONTENT = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in facts.DIMENSIONS)
+_LANES = ", ".join(f"CAST('0x' || substr(md5(concat_ws(chr(31), {_CONTENT})), {at}, 16) AS UBIGINT)::HUGEINT AS l{at}" for at in (1, 17))
+_DIGEST = " || '-' || ".join(f"lpad(to_hex(CAST(sum(l{at} * quantity) % 18446744073709551616 AS UBIGINT)), 16, '0')" for at in (1, 17))
 
 
 @_query(f"""{_W}, g AS (SELECT {_DIMS}, count(*) AS quantity FROM winners GROUP BY ALL),
-h AS (SELECT line, quantity, CAST('0x' || substr(md5(concat_ws(chr(31), {_CONTENT}, CAST(quantity AS VARCHAR))), 1, 8) AS BIGINT) AS head FROM g)
-SELECT line, CAST(sum(head) AS VARCHAR) AS digest, {_big('sum(quantity)')} AS quantity, {_big('count(*)')} AS group_count FROM h GROUP BY line""")
+h AS (SELECT line, quantity, {_LANES} FROM g)
+SELECT line, {_DIGEST} AS digest, {_big('sum(quantity)')} AS quantity, {_big('count(*)')} AS group_count FROM h GROUP BY line""")
 def dashboard_digest(spark, d):
     winners = election.elect_winners(b.plog(spark, d))
     return facts.dashboard_digest(facts.fact_view(winners), facts.compact_groups(winners)).withColumn("quantity", F.col("quantity").cast("long"))

@@ -213,6 +213,24 @@ def delete_promotes(spark, d):
     return archive.delete_file(done.winners, candidates, done.heads, "FT1", "F7", keys, groups).winners.select("id", "line", "file_name")
 
 
+_CONTENT = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in facts.DIMENSIONS)
+_CONTENT_LANES = ", ".join(f"CAST('0x' || substr(md5(concat_ws(chr(31), {_CONTENT})), {at}, 16) AS UBIGINT)::HUGEINT AS l{at}" for at in (1, 17))
+
+
+@query(f"""{_OVER}, f AS (SELECT * FROM now WHERE NOT (file_name = 'F5' AND line = 'DAF') UNION ALL SELECT * EXCLUDE (r) FROM (SELECT *, {_RANK} AS r FROM live WHERE NOT (file_name = 'F5' AND line = 'DAF')
+AND (line, dedup_key) IN (SELECT (line, dedup_key) FROM now WHERE file_name = 'F5' AND line = 'DAF')) WHERE r = 1), h AS (SELECT line, report_date, {_CONTENT_LANES} FROM f)
+SELECT line, report_date, {", ".join(f"CAST(sum(l{at}) % 18446744073709551616 AS UBIGINT)::VARCHAR AS {name}" for at, name in ((1, 'low'), (17, 'high')))}, {big("count(*)")} AS quantity FROM h GROUP BY ALL""")
+def digests_by_changes(spark, d):
+    """Fingerprints of each line and day, carried through a publication and a deletion by their touched units alone,
+    against fingerprints of everything there is afterwards."""
+    stay, others, heads, groups, keys, incoming, head = _compacted(spark, d)
+    stored = sinks.staged(facts.day_digests(facts.weighted(stay)))
+    done = archive.publish(stay, others, heads, incoming, head, keys, groups, _DAY)
+    after = sinks.staged(done.digests(stored))
+    gone = archive.delete_file(done.winners, others.unionByName(incoming), done.heads, "DAF", "F5", keys)
+    return gone.digests(after).withColumns({c: F.col(c).cast("string") for c in facts.LANES})
+
+
 @query(f"{_W} SELECT DISTINCT line, file_name FROM plog WHERE file_name IN ('F1', 'F2', 'F3') AND (line, file_name) IN (SELECT (line, file_name) FROM winners WHERE report_date < '2024-01-03')")
 def archived_files(spark, d):
     """Files that have archived rows and may not be replaced."""
@@ -280,11 +298,15 @@ def summary_day(spark, d):
     return facts.summary_day(_summaries(spark, d), "2024-01-15")
 
 
-@query(f"""{_W}, s AS (SELECT line, file_name, status, CAST(count(*) AS VARCHAR) AS quantity FROM winners GROUP BY ALL), h AS (SELECT line, CAST('0x' || substr(md5(concat_ws(chr(31), file_name, line, quantity, status)), 1, 8) AS BIGINT) AS head FROM s)
-SELECT line, {big("count(*)")} AS rows, CAST(sum(head) AS VARCHAR) AS version FROM h GROUP BY line""")
+_ROW = "md5(concat_ws(chr(31), file_name, line, quantity, status))"
+_SUMMED = " || '-' || ".join(f"lpad(to_hex(CAST(sum(CAST('0x' || substr({_ROW}, {at}, 16) AS UBIGINT)::HUGEINT) % 18446744073709551616 AS UBIGINT)), 16, '0')" for at in (1, 17))
+
+
+@query(f"""{_W}, s AS (SELECT line, file_name, status, CAST(count(*) AS VARCHAR) AS quantity FROM winners GROUP BY ALL)
+SELECT line, {big("count(*)")} AS rows, {_SUMMED} AS version FROM s GROUP BY line""")
 def line_versions(spark, d):
     summaries = _winners(spark, d).groupBy("line", "file_name", "status").agg(F.count(F.lit(1)).alias("quantity"))
-    return facts.per_line(spark, facts.line_versions(summaries), {"rows": 0, "version": "0"})
+    return facts.per_line(spark, facts.line_versions(summaries), {"rows": 0, "version": ""})
 
 
 @query(f"WITH {b.PLOG} SELECT DISTINCT report_date FROM plog WHERE file_name IN ('F1', 'F9')")
@@ -341,11 +363,11 @@ def resolve_model(spark, d):
 
 @query(f"WITH {b.PLOG} SELECT id, CASE WHEN id % 5 = 2 THEN NULL WHEN id % 5 IN (0, 1) THEN 'MODEL-' || (id % 5) END AS model, id % 5 = 2 AS conflict FROM plog")
 def match_rules(spark, d):
-    """Rules from a table: one contains, one is exact, two disagree on one text."""
+    """Rules from a table: one contains, one is exact, two disagree on one text (one of them a single character)."""
     rows = b.plog(spark, d).select("id", F.expr("concat('vendor，abc-', id % 5, ' rev')").alias("product_text"))
     kinds = rows.select(F.expr("id % 5").alias("k")).distinct().where("k < 3")
     rules = kinds.select(F.concat(F.lit("r"), "k").alias("id"), F.expr("if(k = 1, 'exact', 'contains')").alias("match_type"), F.expr("if(k = 1, ' vendor,ABC-1  rev', concat('abc-', k))").alias("match_text"), F.expr("concat('model-', k)").alias("model"))
-    other = kinds.where("k = 2").select(F.lit("x").alias("id"), F.lit("contains").alias("match_type"), F.lit("ABC-2 R").alias("match_text"), F.lit("model-x").alias("model"))
+    other = kinds.where("k = 2").select(F.lit("x").alias("id"), F.lit("contains").alias("match_type"), F.lit("2").alias("match_text"), F.lit("model-x").alias("model"))
     return facts.match_rules(rows, facts.upsert_rules(rules.unionByName(other)))
 
 
