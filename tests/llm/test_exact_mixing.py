@@ -147,3 +147,23 @@ def test_no_drift_from_the_weights_before_rounding(spark):
         assert r.slot == t
         done += r.source == "a"
         assert abs(done - 0.50049 * (t + 1)) < 2
+
+
+def test_cycles_stay_bounded():
+    """At 10^11 rows blocks have grown, so that the driver's cycle has a bound, also beside tiny sources."""
+    for rows in (10**7, 10**9, 10**11):
+        counts = {"hot": rows // 3, None: 1, "tiny": 5} | {f"s{k}": rows * (k + 1) // 84 for k in range(7)}
+        block = mixing.block_size(sum(counts.values()))
+        assert block == mixing.BLOCK or sum(counts.values()) // block <= mixing.MAX_BLOCKS
+        whole = mixing.fine_weights(mixing.tempered(counts, 0.7), {s: -(-n // block) for s, n in counts.items()})
+        assert sum(whole.values()) <= mixing.MAX_CYCLE
+    assert mixing.block_size(1000) == 16 and mixing.block_size(16 * mixing.MAX_BLOCKS + 1) == 32
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(k, "x", "en", f"s{k % 2}", 1, k, k, k) for k in range(50)], SCHEMA + ", __r_source int, mix_slot int, of_source int")
+    found = mixing.with_slots(docs)
+    assert found.columns == [*docs.columns, "_mix_slot"] and mixing.slot_column(found.columns) == "_mix_slot"
+    slot = {r.doc_id: r.slot for r in mixing.schedule(docs).collect()}
+    assert {r.doc_id: r._mix_slot for r in found.collect()} == slot
+    assert mixing.mix(docs).count() == 50

@@ -130,3 +130,17 @@ def test_a_large_family_is_joined_by_its_hub(spark, monkeypatch):
     assert {got[i] for i in range(1500)} == {0}
     assert all(got[5000 + i] == 5000 + i for i in range(30))
     assert left == [1] or left[0] <= 31
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    """Links of all rows of an id count, also where the smallest ids of two sets are the same."""
+    texts = {k: " ".join(f"{k}{j}" for j in range(60)) for k in "abcd"}
+    cases = [
+        ([(3, "a"), (5, "a"), (5, "b"), (7, "b")], {3: 3, 5: 3, 7: 3}),
+        ([(3, "a"), (3, "b"), (4, "b"), (9, "c"), (9, "d"), (8, "d"), (9, "a")], {3: 3, 4: 3, 8: 3, 9: 3}),
+        ([(1, "a"), (1, "b"), (1, "c"), (2, "d")], {1: 1, 2: 2}),
+    ]
+    for rows, want in cases:
+        near = [(i, texts[t] + (" end" if k % 2 else ""), "en", "s", 1) for k, (i, t) in enumerate(rows)]
+        got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(near, SCHEMA)).collect()]
+        assert sorted(got) == sorted((i, want[i], want[i] == i) for i, _ in rows)

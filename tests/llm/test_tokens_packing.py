@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 from collections import defaultdict
 
 import numpy as np
@@ -144,3 +145,36 @@ def test_matrices_round_trip(spark):
         assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_ids <= 2048 and len(r.ids) == 4096
         assert r.position_resets == r.cu_seqlens[:-1]
     assert token_output.token_matrices(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_ordered_packing_covers_every_id_once(spark):
+    """Nulls, ties and repeated rows; clashing names; ranges of few rows; an empty table."""
+    texts = ["a b c", "a b c", None, "", "word " * 3000, "x " * 700, "y " * 1348, "z " * 17] * 6
+    data = [(k if k % 5 else None, t, None if k % 11 == 0 else k // 3, 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, mix_slot long, range int")
+    for range_docs in (7, 1000):
+        got = packing.pack_in_order(docs, "mix_slot", PATH, range_docs=range_docs).collect()
+        tokens = Counter()
+        for i, t, _, _ in data:
+            tokens[i, len(FAST.pack(t or "")) // 4 + 1] += 1
+        found, places = Counter(), {}
+        for r in got:
+            found[r.doc_id, r.doc_tokens] += r.length
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert found == Counter({k: n * k[1] for k, n in tokens.items()})
+        assert sorted(places) == list(range(len(places)))
+        for pieces in places.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= 2048
+    assert packing.pack_in_order(docs.limit(0), "mix_slot", PATH).count() == 0
+
+
+def test_ties_have_one_order(spark):
+    """Different texts of one length under null ids: a second evaluation of the ranks places each piece once."""
+    docs = spark.createDataFrame([(None, f"w{k % 40} tail{k}") for k in range(300)], "doc_id long, text string")
+    got = [sorted(map(tuple, packing.pack(docs.repartition(n), PATH).collect()), key=str) for n in (1, 5)]
+    assert [r[3:] for r in got[0]] == [r[3:] for r in got[1]]
+    assert len({(r[5], r[6]) for r in got[0]}) == len(got[0])

@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -89,27 +91,22 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def bucket_ranks(df: DataFrame, keys: list[str], order: str, bucket: str, rank: str) -> DataFrame:
-    """``df`` with ``rank``: 0-based position within ``keys`` by (``bucket``, ``order``).
+def bucket_ranks(df: DataFrame, keys: list[str], order: str | list[str], bucket: str, rank: str) -> DataFrame:
+    """``df`` with ``rank``: 0-based position within ``keys`` by (``bucket``, ``order``). Rows that are equal in all
+    of ``order`` should be equal altogether, as which of them comes first isn't defined.
 
     A key may hold any share of the rows: row numbers are taken within (keys, bucket), and the rows
     before each bucket come from a table of one row for each (keys, bucket).
     """
+    order = [order] if isinstance(order, str) else order
     keyed = [F.col(k) for k in keys]
     n, before = fresh("n_rows", df.columns), fresh("n_before", df.columns)
     counts = df.groupBy(*keyed, bucket).agg(F.count(F.lit(1)).alias(n))
     earlier = Window.partitionBy(*keyed).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
-    inner = Window.partitionBy(*keyed, bucket).orderBy(F.col(order).asc_nulls_first())
+    inner = Window.partitionBy(*keyed, bucket).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     ranked = df.withColumn(rank, F.row_number().over(inner).cast("long") - 1)
-    names = [*keys, bucket]
-    other = counts.select(*[F.col(c).alias(f"__r_{c}") for c in names], before)
-    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in names]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return (
-        ranked.join(other, cond, "inner")
-        .withColumn(rank, F.col(rank) + F.col(before))
-        .drop(before, *[f"__r_{c}" for c in names])
-    )
+    other = {c: fresh(f"of_{c}", [*ranked.columns, before]) for c in (*keys, bucket)}
+    counts = counts.select(*[F.col(c).alias(x) for c, x in other.items()], before)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(x)) for c, x in other.items()))
+    return ranked.join(counts, same, "inner").withColumn(rank, F.col(rank) + F.col(before)).drop(before, *other.values())

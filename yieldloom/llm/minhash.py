@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldloom.llm.common import fresh, materialize, slices, tidy, utf8
+from yieldloom.llm.common import bucket_ranks, fresh, materialize, slices, tidy, utf8
 from yieldloom.llm.components import connected_components
 
 ROWS, BANDS = 7, 32
@@ -196,17 +196,42 @@ def _unpacked(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
+#: Vertices below this number name no document.
+_MADE_UP = -(1 << 62)
+
+
+def _vertices(known: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``groups`` (one row for each set) with ``vertex``, a number of its own: the smallest id that has the set. Sets
+    of one id are tied from the start: labels (id, component), None if each id has one set."""
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
+    several = materialize(several)
+    if not several.limit(1).count():
+        return groups.withColumn("vertex", F.col("first_id")), None
+    clash = groups.groupBy("first_id").agg(F.min("digest").alias("holder"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select(F.col("first_id").alias("of_id"), "holder")
+    marked = groups.join(clash, F.col("first_id") == F.col("of_id"), "left").drop("of_id")
+    others = marked.where("holder is not null and digest <> holder").select("digest").withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(1024)))
+    numbered = bucket_ranks(others, [], "digest", "bucket", "place").select(F.col("digest").alias("of_digest"), (F.lit(_MADE_UP - 1) - F.col("place")).alias("made_up"))
+    groups = marked.join(numbered, F.col("digest") == F.col("of_digest"), "left").withColumn("vertex", F.coalesce("made_up", "first_id")).drop("holder", "of_digest", "made_up")
+    groups = materialize(groups)
+    rows = known.join(several, "doc_id", "left_semi").select("doc_id", F.col("digest").alias("of_digest"))
+    ends = rows.join(groups.select("digest", "vertex"), F.col("of_digest") == F.col("digest")).select("doc_id", "vertex")
+    hubs = ends.groupBy(F.col("doc_id").alias("of_id")).agg(F.max("vertex").alias("hub"))
+    return groups, _merged(ends.join(hubs, F.col("doc_id") == F.col("of_id")).select(F.col("vertex").alias("src"), F.col("hub").alias("dst")), None)
+
+
 def _bodies(docs: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
-    """vertex, hashes (its sorted set, packed) of the documents of ``vertices``."""
+    """vertex, hashes (its sorted set, packed) of ``vertices`` (vertex, and first_id and digest of a document with the set)."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                sets = shingle_sets(utf8(batch.column("text")), width)
-                yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array([s.tobytes() for s in sets], pa.binary())], ["vertex", "hashes"])
+                sets = [s.tobytes() for s in shingle_sets(utf8(batch.column("text")), width)]
+                # other rows of the id may have other sets
+                own = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("vertex").filter(own), pa.array(sets, pa.binary()).filter(own)], ["vertex", "hashes"])
 
     # neither side has a size bound, so neither is broadcast
-    found = docs.join(vertices.hint("merge"), F.col("doc_id") == F.col("vertex")).select("vertex", "text")
+    found = docs.join(vertices.hint("merge"), F.col("doc_id") == F.col("first_id")).select("vertex", "digest", "text")
     return found.mapInArrow(tidy(run), "vertex long, hashes binary")
 
 
@@ -299,17 +324,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = materialize(signatures(docs, width))
     known = sigs.where("digest is not null and doc_id is not null")
-    groups = known.groupBy("digest").agg(F.min("doc_id").alias("vertex"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    groups = materialize(groups)
+    groups = known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    groups, labels = _vertices(known, materialize(groups))
 
     member = groups.select("vertex", "n", F.explode("bands").alias("band"))
     shared = member.groupBy(F.col("band").alias("of_band")).agg(F.min("vertex").alias("a"), F.max("vertex").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
     member = member.join(shared, F.col("band") == F.col("of_band")).select("vertex", "n", "band", "size")
     # how many documents a document meets in its at most BANDS buckets
     member = materialize(member.select("vertex", "n", "band", F.sum("size").over(Window.partitionBy("vertex")).alias("weight")))
-    body = materialize(_bodies(docs, member.select("vertex").distinct(), width))
+    asked = member.select("vertex").distinct().withColumnRenamed("vertex", "asked")
+    sources = groups.join(asked.hint("merge"), F.col("vertex") == F.col("asked")).select("vertex", "first_id", "digest")
+    body = materialize(_bodies(docs, sources, width))
 
-    labels = None
     for turn in range(STARS):
         ties = materialize(_stars(_named(member, labels), turn, percent))
         if not ties.limit(1).count():
@@ -322,7 +348,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if labels is None:
         labels = member.select(F.col("vertex").alias("id"), F.col("vertex").alias("component")).limit(0)
 
-    named = groups.join(labels, F.col("vertex") == F.col("id"), "left").select("digest", "copies", "vertex", F.coalesce("component", "vertex").alias("component_id"))
+    # vertices of the ids below all others are numbers made up for sets whose smallest id names another set
+    real = groups.where(F.col("vertex") >= _MADE_UP).select("vertex")
+    least = labels.join(real, F.col("id") == F.col("vertex")).groupBy("component").agg(F.min("id").alias("least")).select(F.col("component").alias("of_component"), "least")
+    labels = labels.join(least, F.col("component") == F.col("of_component")).select("id", F.col("least").alias("component"))
+    named = groups.join(labels, F.col("vertex") == F.col("id"), "left").select("digest", "copies", "vertex", F.coalesce("component", "first_id").alias("component_id"))
     named = named.where("copies > 1 or component_id <> vertex").select(F.col("digest").alias("of_digest"), "component_id")
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("of_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source are cut into blocks of ``block`` rows. With integer weights that add up to the
+Documents of a source are cut into blocks of ``block`` rows (16; more beyond 16 million rows). With integer weights that add up to the
 cycle W (thousandths; finer ones if those would drift by a block over the data), block i of a source of weight w may run from slot floor(i*W/w) (its release) and must have run
 before slot ceil((i+1)*W/w) (its deadline). Each slot takes the released block with the earliest
 deadline; ties go to the source that comes first by name. The schedule repeats after W slots, so only
-one cycle is worked out, on the driver: in most cases it has no more slots than the data has blocks. A row's
+one cycle is worked out, on the driver: blocks grow with the corpus, so that it has at most ``MAX_CYCLE`` slots. A row's
 slot then follows from its rank within its source. Until the first source runs out, every prefix of
 slots holds each source's weight with a deviation of less than one block; later on its slots are empty.
 :func:`mix` keeps all rows under tempered weights, and cuts there under weights that a caller gives.
@@ -28,8 +28,21 @@ from yieldloom.llm.common import bucket_ranks, fresh
 BUCKETS = 4096
 RESOLUTION = 1000
 MAX_SOURCES = 10_000
-#: Slots of one cycle that the driver can hold; tempered weights need fewer up to about a billion rows.
-MAX_CYCLE = 1 << 25
+BLOCK = 16
+#: Blocks grow with the corpus, so that there are no more than these, and the driver works out a bounded cycle.
+MAX_BLOCKS = 1 << 20
+#: Slots of one cycle, 16 MB when they are broadcast.
+MAX_CYCLE = 1 << 22
+#: The column in which :func:`with_slots` leaves a row's place.
+SLOT = "mix_slot"
+
+
+def block_size(rows: int) -> int:
+    """Rows of a block: ``BLOCK``, doubled until the corpus has at most ``MAX_BLOCKS`` of them."""
+    size = BLOCK
+    while rows > size * MAX_BLOCKS:
+        size *= 2
+    return size
 
 
 def tempered(counts: dict[str | None, int], alpha: float) -> dict[str | None, float]:
@@ -91,13 +104,14 @@ def cycle(weights: dict[str | None, int]) -> dict[str | None, list[int]]:
     return slots
 
 
-def _plan(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, block: int) -> DataFrame:
+def _plan(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, block: int | None) -> tuple[DataFrame, int]:
     """A row for each source: weight, cycle, slots of one cycle, and the slot from which some source has
-    run out (``horizon``, the same in all rows). Only row counts of sources come to the driver."""
+    run out (``horizon``, the same in all rows); and the rows of a block. Only row counts of sources come to the driver."""
     found = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; give coarser ones")
     counts = {r["source"]: r["n"] for r in found}
+    block = block or block_size(sum(counts.values()))
     wanted = tempered(counts, alpha) if weights is None else {s: weights.get(s, 0.0) for s in counts}
     positive = {s: w for s, w in wanted.items() if w > 0} or {s: 1.0 for s in counts}
     whole = fine_weights(positive, {s: -(-counts[s] // block) for s in positive}) if positive else {}
@@ -109,23 +123,23 @@ def _plan(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float
     horizon = min((slot(s, counts[s] // block) for s in whole), default=0)
     schema = "source string, weight long, cycle long, slots array<int>, horizon long"
     rows = [(s, whole.get(s, 0), total, slots.get(s, []), horizon) for s in _by_name(counts)]
-    return docs.sparkSession.createDataFrame(rows, schema)
+    return docs.sparkSession.createDataFrame(rows, schema), block
 
 
 def _bucket(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(doc_id, F.lit(BUCKETS)), F.lit(0))
 
 
-def _slotted(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, block: int, cut: bool | None) -> tuple[DataFrame, dict[str, str]]:
+def _slotted(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, block: int | None, cut: bool | None) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with further columns, and their names by part: rank (from 0), block, weight, cycle, slot,
     in_mix."""
     cut = weights is not None if cut is None else cut
     name = {n: fresh(n, docs.columns) for n in ("bucket", "rank", "block", "weight", "cycle", "slot", "slots", "horizon", "in_mix", "of_source")}
     rows = docs.withColumn(name["bucket"], _bucket(F.col("doc_id")))
     ranked = bucket_ranks(rows, ["source"], "doc_id", name["bucket"], name["rank"])
-    plan = _plan(docs, weights, alpha, block)
+    plan, block = _plan(docs, weights, alpha, block)
     plan = plan.select(F.col("source").alias(name["of_source"]), *[F.col(n).alias(name[n]) for n in ("weight", "cycle", "slots", "horizon")])
-    # at most MAX_SOURCES rows, which hold the slots of one cycle
+    # at most MAX_SOURCES rows, which hold the MAX_CYCLE slots of one cycle at most
     joined = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col(name["of_source"])))
     joined = joined.withColumn(name["block"], F.expr(f"{name['rank']} div {block}"))
     w = F.col(name["weight"])
@@ -139,7 +153,7 @@ def _slotted(docs: DataFrame, weights: dict[str | None, float] | None, alpha: fl
 
 
 def schedule(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = 16, cut: bool | None = None
+    docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int | None = None, cut: bool | None = None
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, weight (of ``cycle``), source_rank (from 1; by
     doc_id mod 4096, then doc_id), block (from 0), release, deadline, slot (null for weight 0), in_mix.
@@ -164,7 +178,7 @@ def schedule(
 
 
 def mix(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = 16, cut: bool | None = None
+    docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int | None = None, cut: bool | None = None
 ) -> DataFrame:
     """The rows of ``docs`` that are in the mixture (see :func:`schedule`), in the order of their slots.
     Columns as before.
@@ -173,3 +187,17 @@ def mix(
     """
     rows, name = _slotted(docs, weights, alpha, block, cut)
     return rows.where(F.col(name["in_mix"])).orderBy(name["slot"], name["rank"]).select(*docs.columns)
+
+
+def with_slots(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int | None = None, cut: bool | None = None
+) -> DataFrame:
+    """As :func:`mix`, but rows stay where they are and carry their slot in a further column (:data:`SLOT`), for a reader that
+    puts them in order when they are small: texts are not sorted."""
+    rows, name = _slotted(docs, weights, alpha, block, cut)
+    return rows.where(F.col(name["in_mix"])).select(*docs.columns, F.col(name["slot"]).alias(fresh(SLOT, docs.columns)))
+
+
+def slot_column(columns: list[str]) -> str | None:
+    """The column that :func:`with_slots` added last, if there is one."""
+    return max((c for c in columns if c.lstrip("_") == SLOT), key=len, default=None)

@@ -8,6 +8,11 @@ first with whatever still fits. Lengths that leave more than ``slack`` ids empty
 powers of two; those pieces, sorted by size, tile windows without a gap. A row finds its place from its
 rank among the rows of its length, so no row but small ones of ids and checksums is shuffled.
 
+:func:`pack_in_order` keeps a given order, such as that of a mixture: rows are packed in ranges of its numbers, each in
+a task of its own, and sequences are numbered by the ranges and by the numbers of their members.
+
+Ranks go by id, length and checksums, so rows that tie are equal and each piece has one place.
+
 Cases: null text counts as empty, and has its end id alone; repeated rows are packed each; a null id is
 carried; texts longer than a window, however long, fill windows of their own; an empty table gives an
 empty result; other columns are ignored.
@@ -33,13 +38,14 @@ SWEEPS = 60
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def measured(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """doc_id, doc_tokens, crcs of full windows, the remainder's length and crc, and the crcs of the
+def measured(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, order: str | None = None) -> DataFrame:
+    """doc_id (and ``order``), doc_tokens, crcs of full windows, the remainder's length and crc, and the crcs of the
     remainder's pieces when cut at powers of two, largest first."""
     end = end_id.to_bytes(4, "little")
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
+            *([T.StructField("slot", T.LongType())] if order else []),
             T.StructField("doc_tokens", T.LongType()),
             T.StructField("full", T.ArrayType(T.LongType())),
             T.StructField("rem", T.IntegerType()),
@@ -67,12 +73,14 @@ def measured(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int
                         at += size
                     cut.append(parts)
                 longs = pa.list_(pa.int64())
+                own = [batch.column("doc_id"), *([batch.column("slot")] if order else [])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(full, longs), pa.array(rem, pa.int32()), pa.array(rem_crc, pa.int64()), pa.array(cut, longs)],
+                    [*own, pa.array(n, pa.int64()), pa.array(full, longs), pa.array(rem, pa.int32()), pa.array(rem_crc, pa.int64()), pa.array(cut, longs)],
                     schema.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
+    own = [F.col("doc_id"), F.col("text"), *([F.col(order).cast("long").alias("slot")] if order else [])]
+    return docs.select(*own).mapInArrow(tidy(run), schema)
 
 
 def powers(n: int) -> list[int]:
@@ -183,7 +191,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     buckets = max(64, total // 100_000)
     bucket: Column = F.coalesce(F.pmod(F.col("doc_id"), F.lit(buckets)), F.lit(0))
 
-    ranked = bucket_ranks(rows.where("rem > 0").withColumn("bucket", bucket), ["rem"], "doc_id", "bucket", "rank")
+    ranked = bucket_ranks(rows.where("rem > 0").withColumn("bucket", bucket), ["rem"], ["doc_id", "doc_tokens", "rem_crc", "full"], "bucket", "rank")
     placed = _runs_of(ranked, runs, cut)
     start = F.col("doc_tokens") - F.col("rem")
     is_cut = F.col("cut_from").isNotNull() & (F.col("rank") >= F.col("cut_from"))
@@ -213,7 +221,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     cut_sequences = -(-sofar // window)
     ahead = F.create_map(*[F.lit(v) for s, b in before.items() for v in (s, b)])
     place = F.element_at(ahead, F.col("size")).cast("long") + F.col("size") * F.col("piece_rank")
-    scraps = bucket_ranks(pieces, ["size"], "doc_id", "bucket", "piece_rank").select(
+    scraps = bucket_ranks(pieces, ["size"], ["doc_id", "doc_tokens", "crc", "start"], "bucket", "piece_rank").select(
         "doc_id",
         "start",
         F.col("size").cast("long").alias("length"),
@@ -229,7 +237,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         .agg(F.sum(F.size("full")).alias("n"))
         .select(F.col("bucket").alias("of_bucket"), F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     )
-    earlier = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    by = [F.col(c).asc_nulls_first() for c in ("doc_id", "doc_tokens", "rem_crc", "full")]
+    earlier = Window.partitionBy("bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     full = (
         long.withColumn("earlier", F.coalesce(F.sum(F.size("full")).over(earlier), F.lit(0)))
         .join(ahead_of, F.col("bucket") == F.col("of_bucket"))
@@ -245,3 +254,74 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         )
     )
     return kept.unionByName(scraps).unionByName(full)
+
+
+#: Documents of a range of :func:`pack_in_order`, about.
+RANGE = 1 << 14
+_PLACED = "range long, local long, slot long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long"
+
+
+def _pack_range(window: int, slack: int):
+    """Packs the rows of one range: remainders by :func:`plan`, then full windows; sequences are numbered by the mean
+    number of their members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["slot"] is None, r["slot"] or 0, r["doc_id"] is None, r["doc_id"] or 0, r["doc_tokens"], r["rem_crc"], r["full"]))
+        by: dict[int, list[dict]] = defaultdict(list)
+        for r in rows:
+            if r["rem"]:
+                by[r["rem"]].append(r)
+        runs, sequences, cut = plan({k: len(v) for k, v in by.items()}, window, slack)
+        pieces: list[tuple[int, dict, int, int, int, int]] = []
+        for length, rank, count, first, offset in runs:
+            pieces += [(first + k, r, r["doc_tokens"] - length, length, r["rem_crc"], offset) for k, r in enumerate(by[length][rank : rank + count])]
+        scraps = []
+        for length, rank in cut.items():
+            for r in by[length][rank:]:
+                start = r["doc_tokens"] - length
+                for size, crc in zip(powers(length), r["cut"], strict=True):
+                    scraps.append((-size, r["slot"] or 0, r["doc_id"] or 0, start, crc, len(scraps), r))
+                    start += size
+        at = 0
+        for size, _, _, start, crc, _, r in sorted(scraps, key=lambda x: x[:6]):
+            pieces.append((sequences + at // window, r, start, -size, crc, at % window))
+            at -= size
+        sequences += -(-at // window)
+        for r in rows:
+            for k, crc in enumerate(r["full"]):
+                pieces.append((sequences, r, k * window, window, crc, 0))
+                sequences += 1
+        slots: dict[int, list[int]] = defaultdict(list)
+        for p in pieces:
+            slots[p[0]].append(p[1]["slot"] or 0)
+        local = {s: k for k, s in enumerate(sorted(slots, key=lambda s: (sum(slots[s]) / len(slots[s]), s)))}
+        out = [(table.column("range")[0].as_py(), local[s], r["slot"], r["doc_id"], start, length, crc, r["doc_tokens"], offset) for s, r, start, length, crc, offset in pieces]
+        columns = list(zip(*out, strict=True)) or [()] * 9
+        names = [c.split()[0] for c in _PLACED.split(", ")]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
+
+    return run
+
+
+def pack_in_order(
+    docs: DataFrame, order: str, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, slack: int = SLACK, range_docs: int = RANGE
+) -> DataFrame:
+    """As :func:`pack`, with sequences in the order of the column ``order`` (long; rows of one number should be few): a range of
+    numbers with about ``range_docs`` documents comes before the next. Rows without a number come first. Columns as there,
+    and ``order``."""
+    rows = materialize(measured(docs.withColumn("doc_id", F.col("doc_id").cast("long")), vocabulary, window, end_id, order))
+    size = rows.agg(F.count("slot").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count(F.lit(1)).alias("all")).first()
+    low, span = size["low"] or 0, (size["high"] or 0) - (size["low"] or 0) + 1
+    width = max(1, span * range_docs // max(1, size["n"]))
+    loose = -1 - F.pmod(F.xxhash64("doc_id", "rem_crc", "doc_tokens"), F.lit(1 + size["all"] // range_docs))
+    ranged = rows.withColumn("range", F.coalesce(F.expr(f"(slot - {low}) div {width}"), loose))
+    placed = materialize(ranged.groupBy("range").applyInArrow(_pack_range(window, slack), _PLACED))
+    # sequences before each range: within coarse ranges, and before those
+    counts = placed.groupBy("range").agg((F.max("local") + 1).alias("n")).withColumn("coarse", F.shiftright("range", 10))
+    upto = Window.unboundedPreceding, -1
+    totals = counts.groupBy(F.col("coarse").alias("of_coarse")).agg(F.sum("n").alias("total"))
+    totals = totals.select("of_coarse", F.coalesce(F.sum("total").over(Window.orderBy("of_coarse").rowsBetween(*upto)), F.lit(0)).alias("above"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("coarse").orderBy("range").rowsBetween(*upto)), F.lit(0))
+    firsts = counts.withColumn("within", within).join(totals, F.col("coarse") == F.col("of_coarse")).select(F.col("range").alias("of_range"), (F.col("within") + F.col("above")).alias("first"))
+    out = placed.join(firsts, F.col("range") == F.col("of_range"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("local")).alias("sequence_id"), "offset", F.col("slot").alias(order))
