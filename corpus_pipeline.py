@@ -1,7 +1,7 @@
 """A training corpus from raw documents: language ID, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. A caller may write each result as Parquet and read it as the next stage's documents.
+``documents``, and mixing its slots besides, by which packing orders its sequences. A caller may write each result as Parquet and read it as the next stage's documents.
 
 Cases, for all stages: a null or empty text, or one without a letter, goes in language ID; a null id or
 source is carried, and a document with a null id is never a near copy; of repeated rows exact dedup keeps
@@ -39,13 +39,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of their slots: sources stand at their tempered weights as long as they last."""
-    return mixing.mix(docs)
+    """All documents, with the slots of the mixture in a further column: in their order, sources stand at their tempered
+    weights as long as they last."""
+    return mixing.with_slots(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows."""
-    return packing.pack(docs, VOCABULARY)
+    """Pieces of token windows, sequences in the order of the mixture's slots: what a training run has read at any
+    time holds the target weights. Without slots, in any order."""
+    slot = mixing.slot_column(docs.columns)
+    return packing.pack(docs, VOCABULARY) if slot is None else packing.pack_in_order(docs, slot, VOCABULARY)
 
 
 STAGES = [
