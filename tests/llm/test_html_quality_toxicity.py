@@ -101,6 +101,50 @@ def test_a_name_alone_empties_no_page():
     assert html_extract.main_text('<nav>menu</nav><footer>f</footer>') == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="widget-review"><p>Story.</p></article>',
+        '<main><p>A</p><div class="social-science">Story.</div></main>',
+        '<article><h2 class="banner-title">Story.</h2></article>',
+        '<p>A</p><div class="share-holder-report">Story.</div>',
+        "<article><math><mi>Story.</mi></math><svg><text>Story.</text></svg><object>Story.</object></article>",
+    ],
+)
+def test_words_of_other_meaning_remove_nothing(page):
+    assert "Story." in html_extract.main_text(page)
+
+
+def test_evidence_outweighs_names(spark):
+    """Varied texts in varied markup stay though a class names a purpose; fixed markup, readers' comments and forms go."""
+    rows = []
+    for i in range(40):
+        rich = "".join(f"<{'p' if (i + j) % 3 else 'h3'}>Story {i} part {j} tells of {i * j} things.</{'p' if (i + j) % 3 else 'h3'}>" + ("<hr>" if i % (j + 2) == 0 else "") for j in range(2 + i % 7))
+        rows.append((i, f"http://h{i % 3}.example/", f"<div class='promo'>{rich}</div><div class='promos'>Offer {i}</div><div class='comments'>{rich.replace('Story', 'Reader')}</div><form>Name {i}</form><p>End of {i}</p>"))
+    pages = spark.createDataFrame(rows, PAGES)
+    tree = {(r.host, r.path): r for r in html_extract.style_tree(pages).collect()}
+    assert {tree[f"h{k}.example", ">div.promo>p"].all_hosts for k in range(3)} == {3}
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    for i, text in got.items():
+        assert text.endswith(f"End of {i}") and "Reader" not in text and "Offer" not in text and "Name" not in text
+
+
+def test_the_tree_alone_finds_rotating_boilerplate(spark, monkeypatch):
+    """Without any names, evidence of all hosts takes out the menus, adverts and footers of the given pages."""
+    monkeypatch.setattr(html_extract, "PURPOSES", frozenset())
+    monkeypatch.setattr(html_extract, "BOILERPLATE", frozenset())
+    with_tree = {r.page_id: r.text for r in html_extract.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
+    exact = without = 0
+    for p in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        a = Article()
+        a.feed(p["html"])
+        a.close()
+        want = "\n".join(filter(None, (" ".join(x.split()) for x in a.out)))
+        exact += with_tree[p["page_id"]] == want
+        without += html_extract.main_text(p["html"]) == want
+    assert exact == len(with_tree) and without == 0
+
+
 def test_very_long_and_deep_pages(spark):
     rows = [(1, "http://h.example/1", "<article>" + "<p>word</p>" * 60_000 + "</article>"), (2, "http://h.example/2", "<div>" * 5_000 + "deep"), (3, "http://h.example/3", "<" * 100_000 + "x"), (4, None, "<p>" + "w " * 300_000)]
     text = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
