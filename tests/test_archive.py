@@ -1,5 +1,7 @@
 """Publication and deletion over archived units, on small stores."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 from test_operators import UNIT, ids, unit
@@ -126,3 +128,21 @@ def test_rules_by_index(spark):
         value = (r.product_text or "").upper()
         models = {m for kind, t, m in rules if value and (value == t.upper() if kind == "exact" else t.upper() in value)}
         assert got[r.id] == (next(iter(models)) if len(models) == 1 else None, len(models) > 1)
+
+
+def test_a_lossy_compaction_is_stopped(spark, store):
+    """An injected loss fails the run before any key is archived; a clean run archives them."""
+    log, keys = store[1], store[3]
+    groups = facts.compact_groups(log.limit(0))
+
+    def lossy(winners, old, cutoff):
+        stay, merged, moved = retention.compact(winners, old, cutoff)
+        return stay, merged.where("status <> 'FAIL'"), moved
+
+    rows = log.withColumn("dedup_key", F.concat(F.lit("new"), "id")).unionByName(spark.createDataFrame([unit(99, "F1", "bad", 1, status="FAIL")], UNIT))
+    before = keys.rows().count()
+    with pytest.raises(Exception, match="would change the content"):
+        retention.compact_verified(rows, groups, dt.date(2026, 12, 1), keys, lossy)
+    assert keys.rows().count() == before
+    stay, merged = retention.compact_verified(rows, groups, dt.date(2026, 12, 1), keys)
+    assert stay.count() == 0 and merged.agg(F.sum("quantity")).first()[0] == 6 and keys.rows().count() == before + 6

@@ -45,8 +45,11 @@ def quantity(value: Column) -> Column:
 
 def with_share(df: DataFrame, part: list[str], value: str = "qty", name: str = "share", digits: int = 1) -> DataFrame:
     """``df`` with each row's share of ``value`` within ``part`` (the whole table if empty), in percent."""
-    total = F.sum(value).over(Window.partitionBy(*part))
-    return df.withColumn(name, _half_up(F.col(value), total, digits))
+    if part:
+        return df.withColumn(name, _half_up(F.col(value), F.sum(value).over(Window.partitionBy(*part)), digits))
+    # the total comes as a table of one row, not through a window that holds all rows in one task
+    total = df.agg(F.sum(value).alias("_total"))
+    return df.crossJoin(F.broadcast(total)).withColumn(name, _half_up(F.col(value), F.col("_total"), digits)).drop("_total")
 
 
 def with_rank(df: DataFrame, part: list[str], order: list[Column], name: str = "rank") -> DataFrame:

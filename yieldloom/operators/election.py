@@ -139,6 +139,13 @@ def file_exists(heads: DataFrame, summaries: DataFrame, line: str, file: str) ->
     return not heads.where(found).select("file_name").unionByName(summaries.where(found).select("file_name")).isEmpty()
 
 
+def files_exist(heads: DataFrame, summaries: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (line, file_name) with ``found``: whether the heads or the summaries know the file."""
+    names = ["line", "file_name"]
+    known = heads.select(*names).unionByName(summaries.select(*names)).join(asked.select(*names).distinct(), names, "left_semi").distinct()
+    return asked.join(known.withColumn("found", F.lit(True)), names, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def guard_archived(archived: DataFrame, files: DataFrame) -> DataFrame:
     """Those of ``files`` that have archived rows and may not be replaced or deleted."""
     return files.join(archived.select("line", "file_name"), ["line", "file_name"], "left_semi")

@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.functions import dates
+from yieldloom.functions import dates, records
 from yieldloom.functions.text import LINES
 from yieldloom.operators import election, facts
+from yieldloom.sources.sinks import staged
 
 
 def latest_days(days: DataFrame, n: int) -> DataFrame:
@@ -35,6 +36,12 @@ def advance_watermark(stored: dt.date | None, days: DataFrame, n: int = 7, today
     return max((d for d in (stored, now) if d is not None), default=None)
 
 
+def advanced(stored: DataFrame, days: DataFrame, n: int = 7, today: dt.date | None = None) -> DataFrame:
+    """``stored`` with its ``cutoff`` moved on to the present one, where that is later."""
+    now = production_day_cutoff(days, n, today=today).withColumnRenamed("cutoff", "_now")
+    return records.with_bounds(stored, now).withColumn("cutoff", F.greatest("cutoff", "_now")).drop("_now")
+
+
 def compact(winners: DataFrame, groups: DataFrame, cutoff: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unit rows dated before the cutoff move into weighted groups. Returns the unit rows that stay, the
     new groups, and the archived keys (line, dedup_key, dedup_time, file_name). Rows with an invalid date
@@ -52,6 +59,20 @@ def verify_compaction(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
+def compact_verified(winners: DataFrame, groups: DataFrame, cutoff: dt.date, archive=None, compacted=compact) -> tuple[DataFrame, DataFrame]:
+    """Unit rows that stay and new groups of a compaction that is proven to change nothing: the groups are written down, the weighted
+    content of both states is compared null-safely both ways, and reading the groups fails if any content differs. Only
+    then are the keys added to the ``archive``."""
+    stay, merged, keys = compacted(winners, groups, cutoff)
+    merged = staged(merged)
+    lost = verify_compaction(facts.fact_view(winners, None, groups), facts.fact_view(stay, None, merged))
+    audited = records.with_bounds(merged, lost.agg(F.count(F.lit(1)).alias("_lost")))
+    audited = staged(audited.where(records.require(F.col("_lost") == 0, F.lit("compaction would change the content"))).drop("_lost"))
+    if archive is not None:
+        archive.append(keys)
+    return stay, audited
+
+
 def migrate_facts(archived: DataFrame, groups: DataFrame) -> DataFrame:
     """Archived unit rows added to weighted groups."""
     return facts.compact_groups(archived, groups)

@@ -320,10 +320,10 @@ def filtered_rows(spark, d):
     return facts.dim_filter(dates.date_range(rows, "2024-01-05", "2024-01-20")).select("id", "report_date")
 
 
-@query(f"""WITH {b.PLOG}, r AS (SELECT file_name, line, min(report_date) AS date_start, max(report_date) AS date_end FROM plog WHERE id % 97 = user_id % 97 GROUP BY ALL)
+@query(f"""WITH {b.PLOG}, r AS (SELECT work_order, line, k, min(report_date) AS date_start, max(report_date) AS date_end FROM plog GROUP BY ALL)
 SELECT * FROM r WHERE date_end >= '2024-01-10' AND date_start <= '2024-01-12'""")
 def overlapping_batches(spark, d):
-    ranges = b.plog(spark, d).where("id % 97 = user_id % 97").groupBy("file_name", "line").agg(F.min("report_date").alias("date_start"), F.max("report_date").alias("date_end"))
+    ranges = b.plog(spark, d).groupBy("work_order", "line", "k").agg(F.min("report_date").alias("date_start"), F.max("report_date").alias("date_end"))
     return dates.overlaps(ranges, "2024-01-10", "2024-01-12")
 
 
