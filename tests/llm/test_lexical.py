@@ -57,23 +57,40 @@ def corpus(seed, n):
     return docs, items
 
 
-def test_blocks_are_skipped_and_nothing_is_lost(spark, monkeypatch):
+def test_shards_of_topical_documents(spark, monkeypatch):
     monkeypatch.setattr(lexical, "SHARD", 300)
     docs, items = corpus(1, 900)
     assert run(spark, docs, items) == plain(docs, items)
 
 
-def test_skipping():
-    """A block is left out only below the score needed, and on topical documents most are."""
-    docs, items = corpus(2, 2000)
+def test_blocks_are_skipped(spark):
+    """With the score needed known, most documents that have a term of an item are not scored."""
+    docs, items = corpus(2, 3000)
     vocabulary, pooled = {}, {}
     for q, text in items:
         pooled[q] = Counter(vocabulary.setdefault(t, len(vocabulary)) for t in terms(text))
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = lexical.vectors(table, {t.encode(): k for t, k in vocabulary.items()})
+    df = lexical.frequencies(found)
+    weights = np.array([lexical.weight(3000, df.get(k, 0)) for k in range(len(vocabulary))], np.int64)
+    total = found.agg({"n": "sum"}).first()[0]
+    shards = lexical.index(found, pooled, len(vocabulary), 3000, total)
+    best = lexical.ranked(shards, pooled, weights, {}, 20).groupBy("item").agg({"score": "min", "scored": "max"}).collect()
+    needed = {r["item"]: r["min(score)"] for r in best}
+    scored = {r["item"]: r["scored"] for r in lexical.ranked(shards, pooled, weights, needed, 20).collect()}
+    held = [(i, set(terms(t))) for i, t in docs]
+    matching = {q: sum(any(t in own for t in set(terms(text))) for _, own in held) for q, text in items}
+    assert set(scored) == set(matching)
+    assert all(scored[q] < 0.7 * matching[q] for q in matching), (scored, matching)
+
+
+def test_blocks_hold_each_document_once():
     rng = np.random.default_rng(0)
     sketch = rng.standard_normal((2000, 8)).astype(np.float32)
-    rows, begins = lexical.blocked(np.arange(0, 2000, 2, dtype=np.int32), sketch)
-    assert sorted(rows.tolist()) == list(range(0, 2000, 2))
-    assert begins[0] == 0 and np.diff([*begins, len(rows)]).max() <= lexical.MOST
+    for rows in (np.arange(0, 2000, 2, dtype=np.int32), np.array([7], np.int32), np.arange(2000, dtype=np.int32)):
+        ordered, begins = lexical.blocked(rows, sketch)
+        assert sorted(ordered.tolist()) == rows.tolist()
+        assert begins[0] == 0 and np.diff([*begins, len(rows)]).max() <= lexical.MOST
 
 
 def test_odd_rows(spark):
