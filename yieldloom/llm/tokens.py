@@ -3,7 +3,7 @@
 The vocabulary's rules never join characters over white space, so a text is cut into its
 pre-tokens here and each distinct pre-token is encoded once and kept, packed, in a bounded table.
 Texts with characters for which the cutting rules below are not proven equal to the vocabulary's own go
-through the library whole. tests/llm/test_tokens.py compares both ways.
+through the library whole. tests/llm/test_tokens_packing.py compares both ways.
 """
 
 from __future__ import annotations
