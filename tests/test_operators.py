@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,3 +320,26 @@ def test_backfill_and_mappings(spark):
     refs = election.machine_references(spark.createDataFrame([unit(1, "F", "a", 1, machine="1號機"), unit(2, "F", "b", 1, machine="1號機"), unit(3, "F", "b", 1, machine="2號機")], UNIT))
     assert {r.id: r.machine for r in election.apply_machine(log, refs).collect()} == {1: "1號機", 2: ""}
     assert election.unmatched_references(refs, log.where("dedup_key = 'a'")).count() == 1
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(120):
+        a = rng.randrange(0, 1430)
+        b = min(1439, a + rng.choice([0, 1, 7, 30, 400]))
+        rows.append((f"s{k:03}", f"2026-01-0{k % 3 + 1}", f"{a // 60:02}:{a % 60:02}", f"{b // 60:02}:{b % 60:02}"))
+    rows += [("n", "2026-01-01", None, "10:00"), ("m", None, "01:00", "02:00"), ("w", "2026-01-01", "00:00", "23:59")]
+    spans = {i: (d, int(a[:2]) * 60 + int(a[3:]), 1440 if b == "23:59" else int(b[:2]) * 60 + int(b[3:])) for i, d, a, b in rows if a and d}
+    want = sorted((d, x, y) for x, (d, a, b) in spans.items() for y, (e, c, f) in spans.items() if d == e and x < y and a < b and c < f and a < f and c < b)
+    got = events.schedule_overlaps(spark.createDataFrame(rows, "id string, date string, start_time string, end_time string"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+
+
+def test_references_leave_when_matched_or_old(spark):
+    at = dt.datetime(2026, 2, 1)
+    log = spark.createDataFrame([("DAF", "a", None), ("DAF", "c", "2號機"), ("LIGHTING", "d", None)], "line string, dedup_key string, machine string")
+    refs = [("a", "1號機", at), ("b", "1號機", at), ("b", "1號機", at - dt.timedelta(days=31)), ("c", "1號機", at), ("c", "2號機", at), ("d", "1號機", at), ("", "1號機", at)]
+    rows, left = election.settle_references(log, spark.createDataFrame(refs, "dedup_key string, machine string, said_at timestamp"), at + dt.timedelta(days=1))
+    assert {r.dedup_key: r.machine for r in rows.collect()} == {"a": "1號機", "c": "2號機", "d": None}
+    assert sorted((r.dedup_key, r.machine) for r in left.collect()) == [("b", "1號機"), ("c", "1號機"), ("c", "2號機"), ("d", "1號機")]

@@ -82,6 +82,7 @@ def test_stream_dedup_equals_batch(spark, tmp_path):
     log = bindings.plog(spark, "/root/testdata/sf0.001").where("id < 600").select("line", F.expr("if(id % 34 = 0, '', dedup_key)").alias("dedup_key"), "id", "dedup_time")
     for k in (1, 0):
         log.where(F.col("id") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.use_state_store(spark)
     source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {}
 
@@ -103,6 +104,7 @@ def test_stream_counts_and_machine_join(spark, tmp_path):
     assert spark.table("counts").groupBy().sum("qty").first()[0] == rows.count()
     refs = rows.where("id < 20").select("dedup_key", F.lit("1號機").alias("machine"), "ts").dropDuplicates(["dedup_key"])
     refs.coalesce(1).write.parquet(str(tmp_path / "refs"))
+    streams.use_state_store(spark)
     joined = streams.stream_machine_join(source, spark.readStream.schema(refs.schema).parquet(str(tmp_path / "refs")), 30)
     out = joined.writeStream.outputMode("append").format("memory").queryName("machines").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     _drain(out)
@@ -113,6 +115,7 @@ def test_stream_counts_and_machine_join(spark, tmp_path):
 
 
 def test_machine_references_leave_once_matched(spark, tmp_path):
+    streams.use_state_store(spark)
     logs, refs = "dedup_key string, id long, ts timestamp", "dedup_key string, machine string, ts timestamp"
     day = [dt.datetime(2026, 1, 1) + dt.timedelta(days=n) for n in range(200)]
     batches = [
@@ -133,3 +136,17 @@ def test_machine_references_leave_once_matched(spark, tmp_path):
     none = "未分類機台"
     assert [g for g in got if g[0] < 9] == [(1, "1號機"), (2, none), (3, none), (4, "2號機"), (5, none), (6, none), (7, "2號機"), (8, "2號機")]
     assert (9, none) in got
+
+
+def test_waiting_rows_keep_microseconds(spark, tmp_path):
+    streams.use_state_store(spark)
+    logs, refs = "dedup_key string, id long, ts timestamp, tags array<string>", "dedup_key string, machine string, ts timestamp"
+    at = dt.datetime(2026, 1, 1, 10, 0, 0, 123456)
+    for log, ref in [([("a", 1, at, ["x", None]), ("b", 2, at, None)], []), ([("c", 3, None, [])], [("a", "1號機", at)]), ([], [("b", "2號機", at)])]:
+        spark.createDataFrame(log, logs).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        spark.createDataFrame(ref, refs).coalesce(1).write.mode("append").parquet(str(tmp_path / "ref"))
+        a, b = spark.readStream.schema(logs).parquet(str(tmp_path / "log")), spark.readStream.schema(refs).parquet(str(tmp_path / "ref"))
+        joined = streams.stream_machine_join(a, b, 30)
+        _drain(joined.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("id", "date_format(ts, 'HH:mm:ss.SSSSSS')", "tags", "machine_by_reference").collect()
+    assert sorted(map(tuple, got)) == [(1, "10:00:00.123456", ["x", None], "1號機"), (2, "10:00:00.123456", None, "2號機"), (3, None, [], "未分類機台")]

@@ -7,6 +7,8 @@ earliest of each (line, dedup_key) wins; rows without a key never compete.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,9 +224,29 @@ def apply_machine(df: DataFrame, references: DataFrame, unknown: str = "未分
     return joined.withColumn("machine", machine).select(*df.columns)
 
 
-def backfill(batches: DataFrame, schema: str) -> DataFrame:
+def settle_references(log: DataFrame, references: DataFrame, now: dt.datetime, days: int = 30) -> tuple[DataFrame, DataFrame]:
+    """``log`` with the machines of its references (:func:`apply_machine`), and the references (dedup_key, machine, said_at)
+    that go on waiting: those that no row has met yet, unless they are ``days`` old at ``now``. Where references of a
+    key contradict each other, rows get no machine from them and the references wait until they are too old."""
+    from yieldloom.functions.text import MACHINE_LINES
+
+    agreed = machine_references(references).where(F.col("machine").isNotNull())
+    met = agreed.join(log.where(F.col("line").isin(*MACHINE_LINES)).select("dedup_key"), "dedup_key", "left_semi")
+    waiting = references.where(~blank() & (F.col("said_at") > F.lit(now - dt.timedelta(days=days)))).join(met.select("dedup_key"), "dedup_key", "left_anti")
+    return apply_machine(log, agreed), waiting.select(*references.columns)
+
+
+def backfill(batches: DataFrame, schema: str, ties: list[str] = []) -> DataFrame:  # noqa: B006 (never changed)
     """Unit rows of stored file batches (line, file_name, uploaded_at, records): the newest batch of each
-    file, its records in order, and a job id made from the file's name."""
-    newest = first_by(batches, ["line", "file_name"], [F.desc("uploaded_at")])
+    file (of equally new ones the one with the largest ``ties``), its records in order, and a job id made from the file's name."""
+    newest = first_by(batches, ["line", "file_name"], [F.desc("uploaded_at"), *[F.desc(c) for c in ties]])
     rows = newest.select("line", "file_name", F.col("uploaded_at").alias("created_at"), F.md5("file_name").alias("job_id"), F.posexplode(F.from_json("records", f"array<struct<{schema}>>")).alias("row_id", "_r"))
     return rows.select("line", "file_name", "created_at", "job_id", "row_id", "_r.*")
+
+
+def backfill_winners(batches: DataFrame, schema: str, ties: list[str] = []) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B006 (never changed)
+    """Candidates, heads and winners of stored file batches: all that is needed to publish over them later. The records
+    carry id, dedup_key and dedup_time."""
+    candidates = backfill(batches, schema, ties)
+    heads = candidates.select("line", "file_name", "job_id").distinct()
+    return candidates, heads, elect_winners(candidates)

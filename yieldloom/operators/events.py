@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.functions import rates, records, text
+from yieldloom.functions import dates, rates, records, text
 
 NO_MODEL = "無機種區分"
 
@@ -129,14 +129,23 @@ def cause_hours(causes: DataFrame, notes: DataFrame) -> DataFrame:
     return attach_notes(out, notes)
 
 
-def attach_notes(hours: DataFrame, notes: DataFrame) -> DataFrame:
-    """``hours`` with the notes (date, hour, note) of each hour in date order; several are dated."""
+def attach_notes(hours: DataFrame, notes: DataFrame, since: str = "", until: str = "") -> DataFrame:
+    """``hours`` with the notes (date, hour, note) of each hour in date order; several are dated. An hour's text holds
+    the notes of the asked dates (``since`` to ``until``, both included), so give the range of the view; :func:`hour_notes`
+    has a row for each note instead, for any range."""
+    own = dates.date_range(notes.where("note <> ''"), since, until, "date")
     parts = F.sort_array(F.collect_list(F.struct("date", "note")))
     dated = F.transform(parts, lambda p: F.concat(p["date"], F.lit("："), p["note"]))
-    joined = notes.where("note <> ''").groupBy("hour").agg(F.when(F.count(F.lit(1)) > 1, F.array_join(dated, "\n")).otherwise(F.max("note")).alias("note"))
+    joined = own.groupBy("hour").agg(F.when(F.count(F.lit(1)) > 1, F.array_join(dated, "\n")).otherwise(F.max("note")).alias("note"))
     return hours.join(joined, "hour", "left").withColumn("note", F.coalesce("note", F.lit("")))
 
 
+def hour_notes(hours: DataFrame, notes: DataFrame) -> DataFrame:
+    """``hours`` with a row for each note of the hour (note_date, note), one without where there is none."""
+    own = notes.where("note <> ''").select("hour", F.col("date").alias("note_date"), "note")
+    return hours.join(own, "hour", "left")
+
+
 def hour_detail(causes: DataFrame, date: str, hour: str) -> DataFrame:
     """Causes in one hour of a day: category, qty, share of the category's day; the day's causes if no
     hour is known for them."""
@@ -191,12 +200,27 @@ def schedule_spans(schedules: DataFrame) -> DataFrame:
     return best.select(F.col("_day").alias("_date"), F.col("_a").alias("_from"), F.col("_b").alias("_to"), F.col("_best.model").alias("_model"))
 
 
+def overlap_chains(schedules: DataFrame) -> DataFrame:
+    """id, date, a, b (minutes) and chain of schedules: a sweep by start, in which a chain ends where no earlier schedule
+    of the day is still open. Schedules of different chains don't overlap; an empty one has no chain."""
+    s = schedules.select("id", "date", text.minute_of_day(F.col("start_time")).alias("a"), text.minute_of_day(F.col("end_time"), True).alias("b")).where("a < b")
+    sweep = Window.partitionBy("date").orderBy("a", "id")
+    open_until = F.max("b").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
+    opens = s.withColumn("_opens", F.coalesce(F.col("a") >= open_until, F.lit(True)).cast("int"))
+    return opens.withColumn("chain", F.sum("_opens").over(sweep)).drop("_opens")
+
+
 def schedule_overlaps(schedules: DataFrame) -> DataFrame:
-    """Pairs of schedules of a day that overlap: date, first, second (ids)."""
-    s = schedules.select("id", "date", text.minute_of_day(F.col("start_time")).alias("a"), text.minute_of_day(F.col("end_time"), True).alias("b"))
-    x, y = s.alias("x"), s.alias("y")
-    cond = (F.col("x.date") == F.col("y.date")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.a") < F.col("y.b")) & (F.col("y.a") < F.col("x.b"))
-    return x.join(y, cond).select(F.col("x.date").alias("date"), F.col("x.id").alias("first"), F.col("y.id").alias("second"))
+    """Pairs of schedules of a day that overlap: date, first, second (ids). Only chains of several are looked at, and
+    there only schedules that are open in the quarter of an hour in which the other one starts. Null times and
+    schedules that don't last overlap with nothing."""
+    chained = overlap_chains(schedules)
+    busy = chained.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date", "chain"))).where("_n > 1")
+    x = busy.select(F.col("date").alias("d"), F.col("chain").alias("c"), F.col("id").alias("x"), F.col("a").alias("xa"), F.col("b").alias("xb"), F.explode(F.sequence(F.expr("a div 15"), F.expr("(b - 1) div 15"))).alias("q"))
+    y = busy.select("date", "chain", F.col("id").alias("y"), F.col("a").alias("ya"), F.expr("a div 15").alias("quarter"))
+    # the later start lies within the other schedule; of equal starts, the smaller id goes first
+    meets = (F.col("d") == F.col("date")) & (F.col("c") == F.col("chain")) & (F.col("q") == F.col("quarter")) & (F.col("ya") < F.col("xb")) & ((F.col("xa") < F.col("ya")) | ((F.col("xa") == F.col("ya")) & (F.col("x") < F.col("y"))))
+    return x.join(y, meets).select("date", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
 
 
 def _model_rates(out: DataFrame) -> DataFrame:

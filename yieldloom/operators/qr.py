@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.functions import dates, records, text
+from yieldloom.functions import dates, rates, records, text
 
 MOST_ENTRIES = 25_000
 
@@ -60,6 +60,43 @@ def delete_qr_file(entries: DataFrame, summary: DataFrame, file: str) -> tuple[D
     return replace_qr_file(entries, summary, file, entries.where(F.lit(False)))
 
 
+def number_codes(codes: DataFrame, entries: DataFrame, buckets: int = 4096) -> DataFrame:
+    """``codes`` (qr_hash, number) with the codes of ``entries`` that have no number yet, numbered on from the last
+    one (from 1). Numbers never change, so bitmaps over them stay right."""
+    fresh = entries.select("qr_hash").where("qr_hash is not null").distinct().join(codes, "qr_hash", "left_anti")
+    numbered = rates.with_bucketed_rank(fresh, [], F.pmod(F.xxhash64("qr_hash"), F.lit(buckets)), [F.col("qr_hash")], "number")
+    last = codes.agg(F.coalesce(F.max("number"), F.lit(0)).alias("_last"))
+    return codes.unionByName(records.with_bounds(numbered, last).select("qr_hash", (F.col("number") + F.col("_last")).alias("number")))
+
+
+def code_bitmaps(entries: DataFrame, codes: DataFrame) -> DataFrame:
+    """file_name, report_date, bucket, bits: the codes of a file and day as bitmaps of 32,768 numbers each."""
+    placed = entries.join(codes, "qr_hash").withColumn("bucket", F.bitmap_bucket_number("number"))
+    return placed.groupBy("file_name", "report_date", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+
+
+def bitmap_counts(bitmaps: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``keys`` and their exact number of distinct codes: bitmaps of a key are merged, never their codes read."""
+    merged = bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("_n"))
+    return merged.groupBy(*keys).agg(F.sum("_n").alias(name))
+
+
+def bitmap_daily(bitmaps: DataFrame) -> DataFrame:
+    """As :func:`qr_daily`, from bitmaps."""
+    return bitmap_counts(bitmaps, ["report_date"], "daily_count")
+
+
+def replace_bitmaps(bitmaps: DataFrame, summary: DataFrame, files: list[str], rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bitmaps and day counts after files were replaced by the bitmaps ``rows``, or deleted without them. Only bitmaps of
+    the days that old or new rows of the files hold are merged again; days without codes drop out."""
+    own = F.col("file_name").isin(*files)
+    rows = bitmaps.where(F.lit(False)) if rows is None else rows.select(*bitmaps.columns)
+    days = bitmaps.where(own).select("report_date").union(rows.select("report_date")).distinct()
+    now = bitmaps.where(~F.coalesce(own, F.lit(False))).unionByName(rows)
+    counted = bitmap_daily(now.join(days, "report_date", "left_semi"))
+    return now, summary.join(days, "report_date", "left_anti").unionByName(counted)
+
+
 def qr_kpis(summary: DataFrame, date: dt.date) -> DataFrame:
     """The day, its last seven days, its month so far: today, seven, month."""
     day, at = F.col("report_date").cast("date"), F.lit(date)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from yieldloom.functions import records
-from yieldloom.operators import archive, cross, election, facts, qr, retention, star
+from yieldloom.operators import archive, cross, deltas, election, facts, qr, retention, star
 from yieldloom.plans import bindings as b
 from yieldloom.plans.registry import big, n, query
 from yieldloom.sources import sinks
@@ -252,13 +252,27 @@ def unmatched_references(spark, d):
     return election.unmatched_references(keys, log)
 
 
-@query(f"""WITH {b.PLOG}, w AS (SELECT line, file_name, max(created_at) AS uploaded FROM plog WHERE id % 40 < 20 GROUP BY ALL)
-SELECT p.line, p.file_name, p.created_at, md5(p.file_name) AS job_id, i.o AS row_id, CASE i.o WHEN 0 THEN p.id ELSE p.id + 1000000 END AS id FROM (SELECT DISTINCT ON (line, file_name) * FROM plog ORDER BY line, file_name, created_at DESC) p, (SELECT unnest([0, 1]) AS o) i""")
+_NEWEST = "u AS (SELECT DISTINCT ON (line, file_name) * FROM plog ORDER BY line, file_name, created_at DESC, id DESC), i AS (SELECT unnest([0, 1]) AS o)"
+
+
+@query(f"""WITH {b.PLOG}, {_NEWEST} SELECT u.line, u.file_name, u.created_at, md5(u.file_name) AS job_id, i.o AS row_id, CASE i.o WHEN 0 THEN u.id ELSE u.id + 1000000 END AS id FROM u, i""")
 def backfill(spark, d):
     """Every row is an upload of its file with two records; the newest upload of each file counts."""
     log = b.plog(spark, d)
-    batches = log.select("line", "file_name", F.col("created_at").alias("uploaded_at"), F.expr("concat('[{\"id\":', id, '},{\"id\":', id + 1000000, '}]')").alias("records"))
-    return election.backfill(batches, "id long")
+    batches = log.select("id", "line", "file_name", F.col("created_at").alias("uploaded_at"), F.expr("concat('[{\"id\":', id, '},{\"id\":', id + 1000000, '}]')").alias("records"))
+    return election.backfill(batches, "id long", ["id"])
+
+
+@query(f"""WITH {b.PLOG}, {_NEWEST}, r AS (SELECT u.line, u.file_name, created_at, id + o * 1000000 AS id, CASE WHEN u.id % 3 <> 0 THEN 'K' || (u.id % 9) END AS dedup_key, u.id % 7 AS dedup_time FROM u, i)
+SELECT line, file_name, id FROM r WHERE dedup_key IS NULL UNION ALL SELECT line, file_name, id FROM (SELECT *, {_RANK} AS k FROM r WHERE dedup_key IS NOT NULL) WHERE k = 1""")
+def backfill_winners(spark, d):
+    """Units of stored uploads stand for election as they are filled in: winners over all files."""
+    def record(k):
+        return F.struct((F.col("id") + k).alias("id"), F.expr("CASE WHEN id % 3 <> 0 THEN concat('K', id % 9) END").alias("dedup_key"), F.expr("id % 7").alias("dedup_time"))
+
+    batches = b.plog(spark, d).select("id", "line", "file_name", F.col("created_at").alias("uploaded_at"), F.to_json(F.array(record(0), record(1_000_000))).alias("records"))
+    candidates, heads, winners = election.backfill_winners(batches, "id long, dedup_key string, dedup_time long", ["id"])
+    return election.active_candidates(winners, heads).select("line", "file_name", "id")
 
 
 # ---------------------------------------------------------------- facts over stores
@@ -498,6 +512,36 @@ def replace_qr_file(spark, d):
     return qr.replace_qr_file(entries, qr.qr_daily(entries), "F4", moved)[1]
 
 
+def _bitmaps(spark, d):
+    """Code bitmaps of all files, the numbers of the codes, and the day counts."""
+    entries = b.qr(spark, d)
+    codes = sinks.staged(qr.number_codes(entries.select("qr_hash").limit(0).withColumn("number", F.lit(0).cast("long")), entries))
+    bits = sinks.staged(qr.code_bitmaps(entries, codes))
+    return entries, codes, bits, sinks.staged(qr.bitmap_daily(bits))
+
+
+@query(f"WITH {b.QR}, r AS (SELECT report_date, qr_hash FROM qr WHERE file_name <> 'F4' UNION ALL SELECT report_date + 1, qr_hash FROM qr WHERE file_name = 'F4' UNION ALL SELECT report_date + 1, sha256('new' || qr_hash) FROM qr WHERE file_name = 'F4') SELECT report_date, count(DISTINCT qr_hash) AS daily_count FROM r GROUP BY 1")
+def replace_qr_bitmaps(spark, d):
+    """File F4 comes again with its scans a day later, and as many codes that nobody has seen: only bitmaps are read."""
+    entries, codes, bits, summary = _bitmaps(spark, d)
+    moved = entries.where("file_name = 'F4'").withColumn("report_date", F.date_add("report_date", 1))
+    rows = moved.unionByName(moved.withColumn("qr_hash", F.sha2(F.concat(F.lit("new"), "qr_hash"), 256)))
+    codes = sinks.staged(qr.number_codes(codes, rows))
+    return qr.replace_bitmaps(bits, summary, ["F4"], qr.code_bitmaps(rows, codes))[1]
+
+
+@query(f"WITH {b.QR} SELECT report_date, count(DISTINCT qr_hash) AS daily_count FROM qr WHERE file_name NOT IN ('F1', 'F2') GROUP BY 1")
+def delete_qr_bitmaps(spark, d):
+    _, _, bits, summary = _bitmaps(spark, d)
+    return qr.replace_bitmaps(bits, summary, ["F1", "F2"])[1]
+
+
+@query(f"WITH {b.QR} SELECT CAST(date_trunc('week', report_date) AS DATE) AS week, count(DISTINCT qr_hash) AS codes FROM qr GROUP BY 1")
+def weekly_codes(spark, d):
+    """Distinct codes of a week, from the bitmaps of its days."""
+    return qr.bitmap_counts(_bitmaps(spark, d)[2].withColumn("week", F.trunc("report_date", "week")), ["week"], "codes")
+
+
 @query(f"WITH {b.PLOG} SELECT id, CASE WHEN id % 4 = 0 THEN 'NEW' ELSE status END AS status FROM plog UNION ALL SELECT -id, 'NEW' FROM plog WHERE id % 40 = 4")
 def upsert_rows(spark, d):
     """Rows of known ids replaced, others added."""
@@ -515,13 +559,16 @@ def replace_file(spark, d):
 # ---------------------------------------------------------------- streams
 
 
-def _log_stream(spark, d):
-    """The test log as a stream of files, written from the events once."""
+def _log_stream(spark, d, parts=1):
+    """The test log as a stream of files, written from the events once; in so many ``parts``, of which later ones hold earlier
+    days too, each in micro-batches of its own, if given."""
     path = sinks.scratch_path(spark)
     log = b.plog(spark, d).select("id", "line", "dedup_key", "dedup_time", "report_date", "created_at", F.timestamp_millis("dedup_time").alias("ts"), F.col("status").alias("type"))
-    log.write.parquet(path)
+    for k in range(parts):
+        log.where(f"pmod(-day(cast(report_date AS date)), {parts}) = {k}").write.mode("append").parquet(path)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema)
-    return streams.stream_files(spark, path, schema).drop("source_file")
+    per_trigger = -(-len(spark.read.schema(schema).parquet(path).inputFiles()) // parts)
+    return streams.stream_files(spark, path, schema, per_trigger=per_trigger).drop("source_file")
 
 
 def _run(spark, stream, mode):
@@ -538,8 +585,10 @@ def _run(spark, stream, mode):
 
 @query(f"""WITH {b.PLOG} SELECT id, line FROM plog WHERE dedup_key IS NULL UNION ALL SELECT id, line FROM (SELECT id, line, row_number() OVER (PARTITION BY line, dedup_key ORDER BY dedup_time, id) AS r FROM plog WHERE dedup_key IS NOT NULL) WHERE r = 1""")
 def stream_winners(spark, d):
-    """The earliest row of each key by a stream; a sink that keeps the earlier of old and new."""
-    found = _run(spark, streams.stream_dedup(_log_stream(spark, d)), "update")
+    """The earliest row of each key by a stream of three micro-batches, in which earlier rows come later; a sink that keeps
+    the earlier of old and new."""
+    streams.use_state_store(spark)
+    found = _run(spark, streams.stream_dedup(_log_stream(spark, d, parts=3)), "update")
     loose = found.where(election.blank())
     kept = found.where(~election.blank()).groupBy("line", "dedup_key").agg(F.min_by("id", F.struct("dedup_time", "id")).alias("id"))
     return loose.select("id", "line").unionByName(kept.select("id", "line"))
@@ -555,6 +604,7 @@ def stream_counts(spark, d):
 @query(f"WITH {b.PLOG} SELECT id, CASE WHEN dedup_key LIKE 'U%1-%' THEN '1號機' ELSE '未分類機台' END AS machine FROM plog WHERE dedup_key IS NULL OR dedup_key LIKE 'U%1-%'")
 def stream_machines(spark, d):
     """Log rows with the machine of their key's reference; rows that still wait are not out yet."""
+    streams.use_state_store(spark)
     log = _log_stream(spark, d).select("id", "dedup_key", "ts")
     refs = _log_stream(spark, d).where("dedup_key like 'U%1-%'").select("dedup_key", F.lit("1號機").alias("machine"), "ts")
     return _run(spark, streams.stream_machine_join(log, refs), "append").select("id", F.col("machine_by_reference").alias("machine"))
@@ -577,14 +627,38 @@ def stream_changes(spark, d):
     """A change feed: the lines that inserts touch, and the ids that deletes remove."""
     path = sinks.scratch_path(spark)
 
-    def refresh(lines, removed):
-        lines.write.mode("append").parquet(f"{path}/lines")
-        removed.write.mode("append").parquet(f"{path}/removed")
+    def refresh(lines, removed, batch):
+        lines.write.mode("overwrite").parquet(f"{path}/lines/batch={batch}")
+        removed.write.mode("overwrite").parquet(f"{path}/removed/batch={batch}")
 
     changes = _log_stream(spark, d).select("id", "line", F.expr("CASE WHEN id % 5 = 0 THEN 'delete' WHEN id % 5 = 1 THEN 'update' ELSE 'insert' END").alias("op"))
     streams.stream_file_summaries(changes, refresh, f"{path}/state").awaitTermination()
-    lines = spark.read.schema("line string").parquet(f"{path}/lines").distinct().select(F.lit("line").alias("kind"), F.col("line").alias("name"), F.lit(0).cast("long").alias("n"))
-    return lines.unionByName(spark.read.schema("id long").parquet(f"{path}/removed").distinct().agg(F.lit("removed").alias("kind"), F.lit("").alias("name"), F.count(F.lit(1)).alias("n")))
+    lines = spark.read.schema("line string").parquet(f"{path}/lines/batch=*").distinct().select(F.lit("line").alias("kind"), F.col("line").alias("name"), F.lit(0).cast("long").alias("n"))
+    return lines.unionByName(spark.read.schema("id long").parquet(f"{path}/removed/batch=*").distinct().agg(F.lit("removed").alias("kind"), F.lit("").alias("name"), F.count(F.lit(1)).alias("n")))
+
+
+_FED = "SELECT * FROM plog WHERE id % 5 <> 0 UNION ALL SELECT * REPLACE (true AS input_included, 'GOOD' AS status) FROM plog WHERE id % 10 = 5"
+
+
+@query(f"""WITH {b.PLOG}, f AS ({_FED}) SELECT line, report_date, {big("count(*)")} AS rows, {n("input_included")} AS input, {n("input_included AND status = 'GOOD'")} AS good, {n("input_included AND status = 'FAIL'")} AS defects FROM f GROUP BY ALL""")
+def stream_day_sums(spark, d):
+    """Day sums that follow a change feed: all rows are inserted, every fifth is deleted, of which every other comes back
+    corrected. Batches that come twice change nothing, before and after the deltas were folded."""
+    path = sinks.scratch_path(spark)
+    log = b.plog(spark, d).withColumn("op", F.lit("insert"))
+    fixed = log.where("id % 10 = 5").withColumns({"op": F.lit("update_after"), "status": F.lit("GOOD"), "input_included": F.lit(True)})
+    feed = [log, log.where("id % 10 = 0").withColumn("op", F.lit("delete")), log.where("id % 10 = 5").withColumn("op", F.lit("update_before")).unionByName(fixed)]
+    for part in feed:
+        part.write.mode("append").parquet(f"{path}/feed")
+    per_trigger = -(-len(spark.read.schema(log.schema).parquet(f"{path}/feed").inputFiles()) // len(feed))
+    source = streams.stream_files(spark, f"{path}/feed", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema), per_trigger=per_trigger)
+    sums = deltas.DaySums(spark, f"{path}/sums")
+    streams.stream_ingest(source, lambda rows, batch: sums.apply(batch, *deltas.changes(rows)), f"{path}/state").awaitTermination()
+    again = [facts.weighted(part) for part in (feed[0], feed[0].limit(0))]
+    sums.apply(-1, *again)
+    sums.fold(0)
+    sums.apply(0, *again)
+    return sums.rows()
 
 
 # ---------------------------------------------------------------- reports of the surface-mount line

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from yieldloom.functions import text
 from yieldloom.operators.election import blank
@@ -26,12 +26,12 @@ def stream_ingest(rows: DataFrame, publish: Callable[[DataFrame, int], None], ch
     return rows.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_file_summaries(changes: DataFrame, refresh: Callable[[DataFrame, DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """A change feed (op, id, line): ``refresh(lines, removed)`` gets the lines that inserts and updates
-    touch and the ids that deletes remove, a batch at a time."""
+def stream_file_summaries(changes: DataFrame, refresh: Callable[[DataFrame, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """A change feed (op, id, line): ``refresh(lines, removed, batch_id)`` gets the lines that inserts and updates
+    touch and the ids that deletes remove, a batch at a time; it writes under the batch id."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        refresh(batch.where("op <> 'delete'").select("line").distinct(), batch.where("op = 'delete'").select("id").distinct())
+    def run(batch: DataFrame, number: int) -> None:
+        refresh(batch.where("op <> 'delete'").select("line").distinct(), batch.where("op = 'delete'").select("id").distinct(), number)
 
     return stream_ingest(changes, run, checkpoint)
 
@@ -48,77 +48,132 @@ def upload_sessions(activity: DataFrame, gap: str = "24 hours", ts: str = "ts")
     return grouped.select("job_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "parts")
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """State of keyed streams in RocksDB, which typed state and timers ask for: it spills to disk and is
+    checkpointed by changes."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _renew(handle: StatefulProcessorHandle, at: int) -> None:
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(at)
+
+
+class _Waiting(StatefulProcessor):
+    """Log rows of a key that wait for its reference, and the reference that waits for rows."""
+
+    def __init__(self, keep: int, fields: list[str], schema: StructType) -> None:
+        self.keep, self.fields, self.schema = keep, fields, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+        # the machine is null where references contradict each other
+        self.reference = handle.getValueState("reference", "machine string, said long")
+
+    def handleInputRows(self, key: tuple[str], rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        machine, said = self.reference.get() if self.reference.exists() else (None, None)
+        fresh = []
+        for row in rows:
+            if row["_reference"]:
+                same = said is None or row["_machine"] == machine
+                machine, said = (row["_machine"] if same else None), max(said or 0, row["_ms"])
+            else:
+                fresh.append(tuple(row[c] for c in self.schema.names))
+        old = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        yield from self._settle(old, fresh, machine, said, timerValues)
+
+    def handleExpiredTimer(self, key: tuple[str], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        machine, said = self.reference.get() if self.reference.exists() else (None, None)
+        old = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        yield from self._settle(old, [], machine, said, timerValues)
+
+    def _settle(self, old: list[tuple], fresh: list[tuple], machine: str | None, said: int | None, timers: TimerValues) -> Iterator[Row]:
+        over = timers.getCurrentWatermarkInMs() - self.keep
+        matched = bool((old or fresh) and machine)
+        stay = []
+        for row in old + fresh:
+            if matched or row[0] <= over:
+                yield Row(*self.fields, "machine_by_reference")(*row[1:], machine if matched else text.UNKNOWN_MACHINE)
+            else:
+                stay.append(row)
+        if len(stay) < len(old):
+            self.rows.clear()
+            if stay:
+                self.rows.put(stay)
+        elif fresh and stay:
+            self.rows.appendList(stay[len(old):])
+        if said is not None and not matched and said > over:
+            self.reference.update((machine, said))
+        else:
+            said = None
+            self.reference.clear()
+        first = min([row[0] for row in stay] + ([said] if said is not None else []), default=None)
+        if first is not None:
+            _renew(self.handle, max(first + self.keep, timers.getCurrentWatermarkInMs()) + 1)
+
+
 def stream_machine_join(log: DataFrame, references: DataFrame, days: int = 30, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """Each log row once, with ``machine_by_reference``: the machine of the reference of its key. A reference
     serves the rows that wait for it or come with it, and is gone once it has matched. Rows wait ``days``
     for a reference and references as long for rows, by the watermark (``late``); rows that waited in vain,
-    and rows without a key, get a fixed name. References of one key that contradict each other match
-    nothing. Both streams carry ``ts``."""
-    kind = "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in log.schema) + ">"
-    rows = log.select("dedup_key", F.col(ts).alias("_at"), F.to_json(F.struct(*log.columns)).alias("_row"), F.lit(None).cast("string").alias("_machine"))
-    refs = references.select("dedup_key", F.col(ts).alias("_at"), F.lit(None).cast("string").alias("_row"), F.col("machine").alias("_machine"))
-    keyed = rows.unionByName(refs).where(~blank()).withWatermark("_at", late).withColumn("_ms", F.unix_millis(F.col("_at").cast("timestamp"))).groupBy("dedup_key")
-
-    keep = days * 86_400_000
-
-    def match(_: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, waiting, machine, said = (list(x) if isinstance(x, (list, tuple)) else x for x in (state.get if state.exists else ([], [], None, 0)))
-        for part in parts:
-            own = part["_row"].notna()
-            times += part.loc[own, "_ms"].tolist()
-            waiting += part.loc[own, "_row"].tolist()
-            for at, m in part.loc[~own, ["_ms", "_machine"]].itertuples(index=False):
-                machine, said = (m if machine in (None, m) else ""), max(said, int(at))
-        over = state.getCurrentWatermarkMs() - keep
-        matched = bool(waiting and machine)
-        out = [k for k, at in enumerate(times) if matched or at <= over]
-        if out:
-            yield pd.DataFrame({"_row": [waiting[k] for k in out], "_machine": machine if matched else text.UNKNOWN_MACHINE})
-        gone = set(out)
-        stay = [k for k in range(len(times)) if k not in gone]
-        known = machine is not None and not matched and said > over
-        if stay or known:
-            state.update(([int(times[k]) for k in stay], [waiting[k] for k in stay], machine if known else None, said if known else 0))
-            first = min([*(int(times[k]) for k in stay), *([said] if known else [])])
-            state.setTimeoutTimestamp(max(first + keep, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-
-    matched = keyed.applyInPandasWithState(match, "_row string, _machine string", "times array<long>, waiting array<string>, machine string, said long", "append", GroupStateTimeout.EventTimeTimeout)
-    loose = log.where(blank()).select("*", F.lit(text.UNKNOWN_MACHINE).alias("machine_by_reference"))
-    found = matched.select(F.from_json("_row", kind).alias("_row"), F.col("_machine").alias("machine_by_reference")).select("_row.*", "machine_by_reference")
-    return found.unionByName(loose)
+    and rows without a key or a time, get a fixed name. References without a time are left out. References of one key that contradict each other match
+    nothing. Both streams carry ``ts``. Asks for :func:`use_state_store`."""
+    kinds = {f.name: f.dataType for f in log.schema}
+    exact = [c for c, kind in kinds.items() if isinstance(kind, TimestampType)]  # as whole microseconds, whatever the workers' zone
+    held = log.withColumns({c: F.unix_micros(c) for c in exact}) if exact else log
+    own = held.columns
+    at = F.unix_millis(F.col(ts).cast("timestamp"))
+    rows = log.select(F.col("dedup_key").alias("_key"), F.col(ts).alias("_at"), at.alias("_ms"), F.lit(False).alias("_reference"), F.lit(None).cast("string").alias("_machine"),
+                      *[(F.unix_micros(c) if c in exact else F.col(c)).alias(c) for c in own])
+    refs = references.select(F.col("dedup_key").alias("_key"), F.col(ts).alias("_at"), at.alias("_ms"), F.lit(True).alias("_reference"), F.col("machine").alias("_machine"),
+                             *[F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema])
+    keyed = rows.unionByName(refs).where(~blank("_key") & F.col("_at").isNotNull()).withWatermark("_at", late)
+    state = StructType([StructField("_ms", LongType()), *[StructField(f.name, f.dataType) for f in held.schema]])
+    out = StructType([*[StructField(f.name, f.dataType) for f in held.schema], StructField("machine_by_reference", StringType())])
+    found = keyed.groupBy("_key").transformWithState(_Waiting(days * 86_400_000, own, state), out, "Append", "EventTime")
+    loose = log.where(blank() | F.col(ts).isNull()).select("*", F.lit(text.UNKNOWN_MACHINE).alias("machine_by_reference"))
+    return found.withColumns({c: F.timestamp_micros(c) for c in exact}).select(*loose.columns).unionByName(loose)
 
 
 WINNER = "line string, dedup_key string, id long, dedup_time long"
 _LAST = 2**63 - 1
 
 
+class _Earliest(StatefulProcessor):
+    """The earliest row of a key so far, until the watermark has passed it by ``keep``."""
+
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "dedup_time long, id long")
+
+    def handleInputRows(self, key: tuple[str, str], rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        before = tuple(self.best.get()) if self.best.exists() else None
+        best = min((_LAST if r["dedup_time"] is None else r["dedup_time"], r["id"]) for r in rows)
+        if before is not None and before <= best:
+            return
+        self.best.update(best)
+        now = timerValues.getCurrentWatermarkInMs()
+        _renew(self.handle, max((now if best[0] == _LAST else best[0]) + self.keep, now) + 1)
+        yield Row("line", "dedup_key", "id", "dedup_time")(key[0], key[1], best[1], None if best[0] == _LAST else best[0])
+
+    def handleExpiredTimer(self, key: tuple[str, str], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.best.clear()
+        return iter(())
+
+
 def stream_dedup(rows: DataFrame, days: int = 30) -> DataFrame:
     """The winner so far of each (line, key), again whenever an earlier row arrives (update mode); rows
     without a key, null or empty, all pass, as they never compete. Rows with a key that are ``days`` older
     than the newest row are late and left out, as the batch policy refuses them; a key's state goes when
-    it is as old, and a sink keeps the earlier of its own and a new winner."""
-    keep = days * 86_400_000
-
-    def earliest(key: tuple[str, str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = best = tuple(state.get) if state.exists else None
-        for part in parts:
-            for at, row_id in zip(part["dedup_time"], part["id"], strict=True):
-                rank = (_LAST if pd.isna(at) else int(at), int(row_id))
-                best = rank if best is None else min(best, rank)
-        now = state.getCurrentWatermarkMs()
-        state.update(best)
-        state.setTimeoutTimestamp(max((now if best[0] == _LAST else best[0]) + keep, now + 1))
-        if best != before:
-            yield pd.DataFrame({"line": [key[0]], "dedup_key": [key[1]], "id": [best[1]], "dedup_time": pd.array([None if best[0] == _LAST else best[0]], dtype="Int64")})
-
+    it is as old, and a sink keeps the earlier of its own and a new winner. Asks for :func:`use_state_store`."""
     fields = rows.select("line", "dedup_key", F.col("id").cast("long").alias("id"), F.col("dedup_time").cast("long").alias("dedup_time"))
     timed = fields.where(~blank()).withColumn("_at", F.timestamp_millis("dedup_time")).withWatermark("_at", f"{days} days")
-    winners = timed.groupBy("line", "dedup_key").applyInPandasWithState(earliest, WINNER, "dedup_time long, id long", "update", GroupStateTimeout.EventTimeTimeout)
+    winners = timed.groupBy("line", "dedup_key").transformWithState(_Earliest(days * 86_400_000), WINNER, "Update", "EventTime")
     return winners.unionByName(fields.where(blank()))
 
 
