@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -150,3 +151,41 @@ def test_waiting_rows_keep_microseconds(spark, tmp_path):
         _drain(joined.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     got = spark.read.parquet(str(tmp_path / "out")).selectExpr("id", "date_format(ts, 'HH:mm:ss.SSSSSS')", "tags", "machine_by_reference").collect()
     assert sorted(map(tuple, got)) == [(1, "10:00:00.123456", ["x", None], "1號機"), (2, "10:00:00.123456", None, "2號機"), (3, None, [], "未分類機台")]
+
+
+def _quoted_files(folder):
+    rng = random.Random(11)
+    cells = ["a", "", '"b,c"', '"two\nlines"', '"say ""x"""', '5" disk', '"\n\n"', '"end ""\n"""', "刮傷", '"q",r', 'u"v"w']
+    for k in range(3):
+        rows = [",".join(rng.choice(cells if k else cells[:3]) for _ in range(9)) for _ in range(60)]
+        (folder / f"{k}.csv").write_text("\n".join(["h0,h1,h2,h3,h4,h5,h6,h7,h8", *rows]) + "\n", encoding="utf-8")
+
+
+def test_split_files_read_as_whole_ones(spark, tmp_path):
+    _quoted_files(tmp_path)
+    cells = [f"_c{k}" for k in range(10)]
+    whole = spark.read.schema(", ".join(f"{c} string" for c in cells)).options(multiLine=True, escape='"').csv(str(tmp_path)).select("*", F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("row_id"))
+    want = [tuple(r)[:11] for r in whole.orderBy("file_name", "row_id").collect() if r._c0 != "h0" and any((c or "").strip() for c in tuple(r)[:10])]
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    try:
+        for width in ("97b", "700b", "64m"):
+            spark.conf.set(size, width)
+            spark.conf.set(cost, "1b")
+            rows = readers.read_process_log(spark, str(tmp_path))
+            got = [tuple(r) for r in rows.select(*cells, "file_name", "row_id").orderBy("file_name", "row_id").collect()]
+            assert [g[:11] for g in got] == want
+            assert len({g[10:] for g in got}) == len(got)
+            if width == "97b":
+                assert readers.read_lines(spark, str(tmp_path / "1.csv")).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset(size)
+        spark.conf.unset(cost)
+
+
+@pytest.mark.parametrize("encoding", ["UTF-8", "utf-16"])
+def test_narrow_and_encoded_logs(spark, tmp_path, encoding):
+    (tmp_path / "a.csv").write_bytes("一,二,三,四,五,六,七,八,九\nDAF,WO,,P,K,2026-10-27,,刮傷,FAIL\n".encode(encoding))
+    assert [(r._c7, r._c8) for r in readers.read_process_log(spark, str(tmp_path), encoding).collect()] == [("刮傷", "FAIL")]
+    (tmp_path / "b.csv").write_bytes("一,二\n1,2\n".encode(encoding))
+    with pytest.raises(Exception, match="fewer than 9 columns in b.csv"):
+        readers.read_process_log(spark, str(tmp_path), encoding).collect()

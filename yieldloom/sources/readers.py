@@ -3,7 +3,7 @@ file of each row; readers of tables take a DataFrame, so any format that Spark r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldloom.functions import dates, records, text
@@ -14,10 +14,81 @@ CURRENT = {"process": 0, "work_order": 1, "product": 3, "dedup_key": 4, "time":
 OLD = {"work_order": 2, "product": 4, "dedup_key": 5, "time": 6, "defect": 8, "status": 9}
 
 
+#: A line's whole fields, and what a quoted field holds.
+_INSIDE = '(?:[^"]++|"")*+'
+_FIELDS = f'(?:(?:"{_INSIDE}"[^,]*+|[^",][^,]*+)?+,)*+'
+_OPENS = f'^{_FIELDS}"{_INSIDE}$'
+_STAYS_OPEN = f'^{_INSIDE}(?:"[^,]*+,{_FIELDS}"{_INSIDE})?+$'
+
+
 def _csv(spark: SparkSession, path: str, columns: int, encoding: str) -> DataFrame:
+    """Cells _c0, _c1, … of CSV files with file_name, file_path, block and place, which give the order. Files in UTF-8
+    are split among tasks by lines, whatever their size; in other encodings a file is one task."""
     schema = ", ".join(f"_c{k} string" for k in range(columns))
-    rows = spark.read.schema(schema).options(multiLine=True, escape='"', encoding=encoding, mode="PERMISSIVE").csv(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("row_id"))
+    origin = ["file_name", "file_path", "block", "place"]
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        rows = spark.read.schema(schema).options(multiLine=True, escape='"', encoding=encoding, mode="PERMISSIVE").csv(path)
+        return rows.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("place"))
+    parsed = F.from_csv("value", F.lit(schema), {"escape": '"', "mode": "PERMISSIVE"})
+    # as a generator's rows, a line is parsed once for all its cells
+    return join_open_lines(read_lines(spark, path)).where("trim(value) <> ''").select(*origin, F.inline(F.array(parsed)))
+
+
+def _after_header(rows: DataFrame, is_header: Column, cell: str) -> DataFrame:
+    """Rows after the first one of their file that ``is_header`` holds for, with its ``cell`` (_cell), whether there is
+    one (_found), and row_id, which grows within a file. The table beside them has a row for each block of a file."""
+    head = F.when(is_header, F.struct("block", "place", F.col(cell).alias("cell")))
+    blocks = rows.groupBy("file_path", "block").agg(F.min("place").alias("_first"), F.min(head).alias("_head"))
+    blocks = blocks.select(F.col("file_path").alias("_path"), F.col("block").alias("_block"), "_first", F.min("_head").over(Window.partitionBy("file_path")).alias("_head"))
+    beside = rows.join(blocks, (F.col("file_path") == F.col("_path")) & (F.col("block") == F.col("_block")))
+    later = F.col("_head").isNull() | (F.col("block") > F.col("_head.block")) | ((F.col("block") == F.col("_head.block")) & (F.col("place") > F.col("_head.place")))
+    # the n-th line of a block starts at least n bytes into it, so numbers of later blocks are larger
+    number = F.col("block") + F.col("place") - F.col("_first")
+    # cells depend on the header, so that what a caller asks of them is not asked of the lines above it
+    own = [F.when(F.col("_head").isNotNull(), F.col(c)).alias(c) if c.startswith("_c") else c for c in rows.columns]
+    return beside.where(later).select(*own, F.col("_head.cell").alias("_cell"), F.col("_head").isNotNull().alias("_found"), number.alias("row_id"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file_name, file_path, block (where the task's part of the file starts) and place (grows within a block)."""
+    meta = {"file_name": "file_name", "file_path": "file_path", "file_block_start": "block"}
+    return spark.read.text(path).select("value", *[F.col(f"_metadata.{c}").alias(name) for c, name in meta.items()], F.monotonically_increasing_id().alias("place"))
+
+
+def join_open_lines(lines: DataFrame) -> DataFrame:
+    """Records (value and the four of their first line) of :func:`read_lines`: a line that leaves a quote open goes on in the next
+    ones, up to the one that closes it. Only files in which some line leaves a quote open are sorted, block by block; all
+    other lines stay where they were read. A quote that the file never closes ends with it."""
+    own = Window.partitionBy("file_path", "block")
+    opens, stays = F.col("value").rlike(_OPENS), F.col("value").rlike(_STAYS_OPEN)
+    torn = lines.where(F.contains("value", F.lit('"'))).where(opens).select("file_path").distinct()
+    whole = lines.join(torn, "file_path", "left_anti").select("value", "file_name", "file_path", "block", "place")
+    mixed = lines.join(torn, "file_path", "left_semi")
+
+    # what a line does to an open quote (1) or none (0): sets it, turns it over, or leaves it
+    upto = own.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    acts = mixed.withColumns({"_to0": opens.cast("int"), "_to1": stays.cast("int")})
+    acts = acts.withColumn("_turns", F.sum(F.when(F.expr("_to0 = 1 and _to1 = 0"), 1).otherwise(0)).over(upto))
+    acts = acts.withColumn("_set", F.last(F.when(F.expr("_to0 = _to1"), F.expr("(_to0 + _turns) % 2")), ignorenulls=True).over(upto))
+    # blocks of a file, one row each, hand on whether a quote is open
+    ends = acts.groupBy("file_path", "block").agg(F.max_by("_set", "place").alias("_set"), F.max("_turns").alias("_turns"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("_all", F.sum("_turns").over(before))
+    ends = ends.withColumn("_known", F.last(F.expr("(_set + _turns + _all) % 2"), ignorenulls=True).over(before)).withColumn("_open", F.expr("(coalesce(_known, 0) + _all) % 2"))
+    entry = ends.select(F.col("file_path").alias("_path"), F.col("block").alias("_block"), F.coalesce(F.lag("_open").over(Window.partitionBy("file_path").orderBy("block")), F.lit(0)).alias("_entry"))
+    joined = acts.join(entry, (F.col("file_path") == F.col("_path")) & (F.col("block") == F.col("_block")))
+    joined = joined.withColumn("_after", F.expr("(coalesce(_set, _entry) + _turns) % 2"))
+    joined = joined.withColumn("_within", F.coalesce(F.lag("_after").over(own.orderBy("place")), F.col("_entry")))
+
+    # a record is named after its first line, which may lie blocks before
+    joined = joined.withColumn("_head", F.last(F.when(F.expr("_within = 0"), F.struct("block", "place")), ignorenulls=True).over(upto))
+    heads = joined.groupBy("file_path", "block").agg(F.max_by("_head", "place").alias("_last"))
+    heads = heads.select(F.col("file_path").alias("_path"), F.col("block").alias("_block"), F.last("_last", ignorenulls=True).over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    parts = joined.drop("_path", "_block").join(heads, (F.col("file_path") == F.col("_path")) & (F.col("block") == F.col("_block"))).withColumn("_head", F.coalesce("_head", "_carried"))
+    single = F.expr("_within = 0 and _after = 0")
+    pieces = F.array_sort(F.collect_list(F.struct("block", "place", "value")))
+    long = parts.where(~single).groupBy("file_name", "file_path", "_head").agg(F.array_join(F.transform(pieces, lambda p: p["value"]), "\n").alias("value"))
+    return whole.unionByName(parts.where(single).select(*whole.columns)).unionByName(long.select("value", "file_name", "file_path", F.col("_head.block").alias("block"), F.col("_head.place").alias("place")))
 
 
 def _blank(columns: list[str]):
@@ -28,11 +99,10 @@ def read_process_log(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     """Rows of test-process logs (header and blank rows dropped) as raw texts _c0 to _c9, with file_name,
     file_path and row_id, which grows within a file. A file whose header has fewer than nine
     columns is refused."""
-    own = Window.partitionBy("file_path")
-    rows = _csv(spark, path, 10, encoding).withColumns({"_first": F.min("row_id").over(own), "_ninth": F.min_by("_c8", "row_id").over(own)})
-    wide = records.require(F.col("_ninth").isNotNull(), F.concat(F.lit("fewer than 9 columns in "), F.col("file_name")))
-    rows = rows.where(wide & (F.col("row_id") > F.col("_first"))).drop("_first", "_ninth")
-    return rows.where(~_blank([f"_c{k}" for k in range(10)]))
+    rows = _after_header(_csv(spark, path, 10, encoding), F.lit(True), "_c8")
+    wide = records.require(F.col("_cell").isNotNull(), F.concat(F.lit("fewer than 9 columns in "), F.col("file_name")))
+    cells = [f"_c{k}" for k in range(10)]
+    return rows.where(wide).where(~_blank(cells)).select(*cells, "file_name", "file_path", "row_id")
 
 
 def project_layout(df: DataFrame, source_format: str = "source_format", line: str = "line") -> DataFrame:
@@ -82,10 +152,8 @@ def read_qr_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
         return F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\s﻿]+", ""))
 
     is_header = (header("_c1") == "qrcode") & (header("_c5") == "time")
-    own = Window.partitionBy("file_path")
-    rows = rows.withColumn("_header", F.min(F.when(is_header, F.col("row_id"))).over(own))
-    missing = F.raise_error(F.concat(F.lit("no header row in "), F.col("file_name"))).cast("long")
-    rows = rows.where(F.col("row_id") > F.coalesce("_header", missing))
+    found = records.require(F.col("_found"), F.concat(F.lit("no header row in "), F.col("file_name")))
+    rows = _after_header(rows, is_header, "_c1").where(found)
     return rows.select("file_name", "file_path", "row_id", F.trim(F.coalesce("_c1", F.lit(""))).alias("qr"), F.col("_c5").alias("time"))
 
 

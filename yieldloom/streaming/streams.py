@@ -14,9 +14,9 @@ from yieldloom.functions import text
 from yieldloom.operators.election import blank
 
 
-def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", per_trigger: int = 100) -> DataFrame:
+def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", per_trigger: int = 100, **options: object) -> DataFrame:
     """Rows of files that arrive under ``path``, each file once, with its name."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(fmt).load(path)
+    rows = spark.readStream.schema(schema).options(maxFilesPerTrigger=per_trigger, **options).format(fmt).load(path)
     return rows.withColumn("source_file", F.col("_metadata.file_name"))
 
 
