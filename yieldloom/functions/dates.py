@@ -23,24 +23,21 @@ def is_valid_iso_date(c: Column) -> Column:
 def parse_datetime(c: Column) -> Column:
     """Date and time from y/m/d or y-m-d with an optional time and 上午/下午/AM/PM, or from a
     spreadsheet serial number; null if there is none or the date doesn't exist."""
-    text = F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s 　]+", " "))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, "(?i)上午|下午|AM|PM", " "), r"\s+", " "))
-    pattern = r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})(?:[ T]+(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?)?"
-
-    def part(k: int) -> Column:
-        return F.coalesce(F.regexp_extract(bare, pattern, k).try_cast("int"), F.lit(0))
-
-    hour = part(4)
-    hour = F.when(text.rlike("(?i)下午|PM") & (hour < 12), hour + 12).when(text.rlike("(?i)上午|AM") & (hour == 12), F.lit(0)).otherwise(hour)
-    stamp = F.concat(
-        F.lpad(part(1).cast("string"), 4, "0"), F.lit("-"), F.lpad(part(2).cast("string"), 2, "0"), F.lit("-"), F.lpad(part(3).cast("string"), 2, "0"),
-        F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(part(5).cast("string"), 2, "0"), F.lit(":"), F.lpad(part(6).cast("string"), 2, "0"),
-    )
-    serial = text.try_cast("double")
-    days = F.floor(serial).cast("int")
-    seconds = F.round((serial - F.floor(serial)) * 86400).cast("long")
-    by_serial = F.timestamp_add("SECOND", seconds, F.date_add(F.lit("1899-12-30").cast("date"), days).cast("timestamp_ntz"))
-    return F.when(text.rlike(r"^\d{1,6}(\.\d+)?$"), F.when(serial >= 1, by_serial)).when(bare.rlike(pattern), stamp.try_cast("timestamp_ntz"))
+    text = F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s 　]+", " "))
+    half = F.lower(F.regexp_extract(text, "(?i)上午|下午|AM|PM", 0))
+    bare = F.regexp_replace(F.regexp_replace(text, "(?i)上午|下午|AM|PM", " "), " +", " ")
+    day, clock = (F.regexp_extract(bare, r"(\d{4}[/-]\d{1,2}[/-]\d{1,2})(?:[ T]+(\d{1,2}(?::\d{2}){0,2}))?", k) for k in (1, 2))
+    ymd, hms = (F.transform(F.split(token, "[/:-]"), lambda part: part.try_cast("int")) for token in (day, clock))
+
+    def at(parts: Column, k: int) -> Column:
+        return F.coalesce(F.get(parts, F.lit(k)), F.lit(0))
+
+    # a clock of twelve hours: 12 stands for 0, and the afternoon adds 12; hours past 12 are taken as they are
+    hour = F.when(half.isin("下午", "pm") & (at(hms, 0) < 12), at(hms, 0) + 12).when(half.isin("上午", "am") & (at(hms, 0) == 12), 0).otherwise(at(hms, 0))
+    written = F.try_make_timestamp_ntz(at(ymd, 0), at(ymd, 1), at(ymd, 2), hour, at(hms, 1), at(hms, 2).cast("decimal(16,6)"))
+    serial = F.when(text.rlike(r"^\d{1,6}(\.\d+)?$"), text.try_cast("double"))
+    counted = F.timestamp_add("SECOND", F.round(F.pmod(serial, F.lit(1.0)) * 86400).cast("long"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")).cast("timestamp_ntz"))
+    return F.when(serial.isNotNull(), F.when(serial >= 1, counted)).when((day != "") & (at(hms, 2) < 60), written)
 
 
 def parse_stamp(c: Column) -> Column:
@@ -64,13 +61,12 @@ def parse_fpy_date(c: Column) -> Column:
 def date_from_filename(c: Column, today: Column) -> Column:
     """The date that a file name holds: 20yymmdd anywhere, or mmdd in front (of last year if it would lie
     ahead of ``today``); else ``today``."""
-    full = F.regexp_extract(c, r"(?:^|\D)(20\d{6})(?:\D|$)", 1)
-    by_full = F.regexp_replace(full, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date")
-    month_day = F.regexp_replace(F.regexp_extract(c, r"^(\d{4})(?:[-_\s.]|$)", 1), r"^(\d{2})(\d{2})$", "$1-$2")
-    this_year = F.concat_ws("-", F.year(today).cast("string"), month_day).try_cast("date")
-    last_year = F.concat_ws("-", (F.year(today) - 1).cast("string"), month_day).try_cast("date")
-    short = F.when(this_year > today, last_year).otherwise(this_year)
-    return F.coalesce(F.when(full != "", by_full), F.when(month_day != "", short), today)
+    def day(digits: Column) -> Column:
+        return F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")
+
+    month_day = F.regexp_extract(c, r"^(\d{4})(?:[-_\s.]|$)", 1)
+    this, last = (day(F.concat((F.year(today) - back).cast("string"), month_day)) for back in (0, 1))
+    return F.coalesce(day(F.regexp_extract(c, r"(?:^|\D)(20\d{6})(?:\D|$)", 1)), F.when(this <= today, this).when(this > today, last), today)
 
 
 def business_date(ts: Column) -> Column:

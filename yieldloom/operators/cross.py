@@ -88,10 +88,15 @@ def top_types(scan: DataFrame, k: int = 5) -> DataFrame:
 
 def heatmap(scan: DataFrame, types: int = 8, locations: int = 12) -> DataFrame:
     """type, location, qty of the leading types and places, with the largest cell."""
-    t = top_k(smt_pareto(scan), types, [F.desc("qty"), F.asc("name")]).select(F.col("name").alias("a"))
-    loc = top_k(smt_pareto(scan, "location"), locations, [F.desc("qty"), F.asc("name")]).select(F.col("name").alias("b"))
-    cells = cross_tabs(scan, [("type", "location")]).where("qty > 0").join(t, "a", "left_semi").join(loc, "b", "left_semi")
-    return cells.select(F.col("a").alias("type"), F.col("b").alias("location"), "qty", F.max("qty").over(Window.partitionBy()).alias("largest"))
+    # both rankings are sums of the same cells, whose one shuffle is read again for them
+    cells = scan.where("qty is not null").groupBy("type", "location").agg(F.sum("qty").alias("qty"))
+
+    def leading(by: str, k: int) -> DataFrame:
+        return top_k(cells.groupBy(by).agg(F.sum("qty").alias("_of")), k, [F.desc("_of"), F.asc(by)]).select(by)
+
+    found = cells.where("qty > 0").join(leading("type", types), "type", "left_semi").join(leading("location", locations), "location", "left_semi")
+    # at most ``types`` times ``locations`` rows
+    return found.select("type", "location", "qty", F.max("qty").over(Window.partitionBy()).alias("largest"))
 
 
 def defect_trend(scan: DataFrame, name: str) -> DataFrame:
