@@ -200,7 +200,13 @@ def feeders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.col("s_suppkey").alias("id"), F.expr("s_suppkey % 40").alias("slot_number"), F.expr("CASE WHEN s_nationkey % 2 = 0 THEN 'in_use' ELSE 'idle' END").alias("status"),
         F.expr("concat('L', s_suppkey % 60)").alias("left_code"), F.expr("concat('R', s_suppkey)").alias("right_code"),
     )
-    c = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_suppkey % 5 <> 0").select(
-        F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("feeder_id"), F.expr("cast(l_shipdate AS date)").alias("calibration_date"), F.expr("date_add(cast(l_shipdate AS date), cast(l_quantity AS int) * 10)").alias("next_calibration_date")
+    # feeders whose number is a multiple of five are never calibrated
+    c = table(spark, sf_dir, "lineitem").select(
+        F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("id"), F.expr("l_suppkey + if(l_suppkey % 5 = 0, 1, 0)").alias("feeder_id"), F.expr("cast(l_shipdate AS date)").alias("calibration_date"), F.expr("date_add(cast(l_shipdate AS date), cast(l_quantity AS int) * 10)").alias("next_calibration_date")
     )
     return f, c
+
+
+#: Those calibrations, numbered (n) from the last one of each feeder.
+CALIBRATIONS = """SELECT l_suppkey + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS feeder_id, CAST(l_shipdate AS DATE) AS calibration_date, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) * 10 AS due,
+  row_number() OVER (PARTITION BY l_suppkey + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS n FROM lineitem"""

@@ -666,7 +666,7 @@ def nozzle_stock(spark, d):
     return equipment.nozzle_stock(*b.nozzles(spark, d))
 
 
-@_query(f"""WITH c AS (SELECT l_suppkey AS feeder_id, CAST(l_shipdate AS DATE) AS calibration_date, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) * 10 AS due, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC) AS n FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 5 <> 0)
+@_query(f"""WITH c AS ({b.CALIBRATIONS})
 SELECT s_suppkey AS id, calibration_date, CASE WHEN due IS NULL THEN 'none' WHEN due < DATE '2002-01-15' THEN 'overdue' WHEN due <= DATE '2002-02-14' THEN 'soon' ELSE 'ok' END AS calibration_status FROM supplier LEFT JOIN c ON feeder_id = s_suppkey AND n = 1""")
 def feeder_status(spark, d):
     return equipment.feeder_status(*b.feeders(spark, d), dt.date(2002, 1, 15)).select("id", "calibration_date", "calibration_status")

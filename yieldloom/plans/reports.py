@@ -174,8 +174,7 @@ def last_day_events(spark, d):
 # ---------------------------------------------------------------- equipment
 
 
-@query("""SELECT feeder_id, calibration_date, next_calibration_date FROM (SELECT l_suppkey AS feeder_id, CAST(l_shipdate AS DATE) AS calibration_date, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) * 10 AS next_calibration_date,
-row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC) AS r FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 5 <> 0) WHERE r = 1""")
+@query(f"SELECT feeder_id, calibration_date, due AS next_calibration_date FROM ({b.CALIBRATIONS}) WHERE n = 1")
 def latest_calibration(spark, d):
     return equipment.latest_calibration(b.feeders(spark, d)[1])
 
