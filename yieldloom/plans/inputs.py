@@ -64,14 +64,14 @@ def process_log_files(spark, d):
 @query(f"""WITH u AS (SELECT event_id, {_LINE} ELSE 'DAF' END AS line, CASE WHEN event_id % 17 <> 0 THEN 'U' || user_id || '-' || (event_id % 4) END AS dedup_key, epoch_ms({_AT}) AS dedup_time, {_STATUS} AS status FROM events WHERE event_id % 5 <> 4)
 SELECT line, dedup_key, dedup_time, status FROM u WHERE dedup_key IS NULL UNION ALL SELECT line, dedup_key, dedup_time, status FROM (SELECT *, row_number() OVER (PARTITION BY line, dedup_key ORDER BY dedup_time, event_id) AS r FROM u WHERE dedup_key IS NOT NULL) WHERE r = 1""")
 def stream_ingest_logs(spark, d):
-    """The log as files that arrive in three micro-batches: parsed, checked, published. Every fifth row's time can't be read;
-    those rows lie in files of their own, which are refused."""
+    """The log as files that arrive in three micro-batches: parsed, checked, published; two are folded before the
+    third. Every fifth row's time can't be read; those rows lie in files of their own, which are refused."""
     path = sinks.scratch_path(spark)
     raw = _raw(spark, d)
     sinks.export_sections({str(k): raw.where(f"row_id % 5 = {k}").select(*RAW) for k in range(5)}, f"{path}/in")
     per_trigger = -(-len(spark.read.schema(ingest.LOG_SCHEMA).csv(f"{path}/in/*").inputFiles()) // 3)
     store = ingest.UnitStore(spark, f"{path}/store")
-    ingest.stream_logs(spark, f"{path}/in/*", store, f"{path}/state", per_trigger).awaitTermination()
+    ingest.stream_logs(spark, f"{path}/in/*", store, f"{path}/state", per_trigger, fold_every=2).awaitTermination()
     return store.winners().select("line", "dedup_key", "dedup_time", "status")
 
 
