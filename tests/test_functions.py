@@ -133,3 +133,10 @@ def test_records(spark):
     assert records.assert_same(a, a).count() == 0 and records.assert_same(a, b).count() == 4
     assert sorted(map(tuple, records.merge_maps(a, b, "id", "v").collect())) == [(1, "x"), (2, None), (3, "z")]
     assert a.alias("a").join(b.alias("b"), "id").where(records.changed("a", "b", ["v"])).count() == 1
+
+
+def test_bucketed_ranks_carry_columns_of_any_name(spark):
+    rows = spark.createDataFrame([("x", 1, 5, 0, 0, 0), ("x", 1, 4, 0, 0, 0), ("x", 0, 9, 0, 0, 0), (None, 1, 1, 0, 0, 0)], "_of_k string, _bucket int, _size int, _before int, _of__bucket int, ____bucket int")
+    out = rates.with_bucketed_rank(rows, ["_of_k"], F.col("_bucket"), [F.col("_size")])
+    assert out.columns == [*rows.columns, "rank"]
+    assert {(r["_of_k"], r["_size"]): r["rank"] for r in out.collect()} == {("x", 9): 1, ("x", 4): 2, ("x", 5): 3, (None, 1): 1}

@@ -1,11 +1,13 @@
 """Folding an ingest's batches into a base: nothing changes but what is read."""
 
+import os
 import random
 
 import pytest
 from test_ingest import HEAD, _line
 
 from yieldloom.operators import election
+from yieldloom.sources import sinks
 from yieldloom.streaming import ingest
 
 
@@ -84,7 +86,9 @@ def test_a_batch_reads_its_buckets_and_does_not_shuffle_the_base(spark, tmp_path
     assert "Exchange" not in "".join(above[max(k for k, line in enumerate(above) if "SortMergeJoin" in line and "LeftSemi" in line and "unit" in line):])
 
 
-def test_empty_batches_and_repeated_files(spark, tmp_path):
+def test_empty_batches_and_repeated_files(spark, tmp_path, monkeypatch):
+    paths, made = [], sinks.scratch_path
+    monkeypatch.setattr(sinks, "scratch_path", lambda spark: paths.append(made(spark)) or paths[-1])
     store = ingest.UnitStore(spark, str(tmp_path / "store"), buckets=2)
     rows = _rows(spark, tmp_path, {"a.csv": [_line("K1", "2026-01-05 10:00:00"), _line("", "2026-01-05 10:00:00")]})
     ingest.publish_batch(store, rows.limit(0), 0)
@@ -94,3 +98,4 @@ def test_empty_batches_and_repeated_files(spark, tmp_path):
         ingest.publish_batch(store, rows, number)
         store.fold(number)
         assert [(w[0], w[1], w[3] // ingest.BATCH_IDS) for w in _state(store)] == [("a.csv", "", number), ("a.csv", "K1", number)]
+    assert paths and not any(os.path.exists(p) for p in paths)

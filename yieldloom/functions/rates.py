@@ -61,14 +61,17 @@ def with_bucketed_rank(df: DataFrame, part: list[str], bucket: Column, order: li
     """As :func:`with_rank`, where rows of a smaller ``bucket`` come first. Rows are numbered within
     (part, bucket), and a table of one row for each of those holds how many come before, so one ``part`` may
     hold any share of the rows."""
-    numbered = df.withColumn("_bucket", bucket)
-    own = Window.partitionBy(*part, "_bucket").orderBy(*order)
-    earlier = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = numbered.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in [*part, "_bucket"]], F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*part, "_bucket"]]
-    ranked = numbered.withColumn(name, F.row_number().over(own)).join(before, reduce(and_, same))
-    return ranked.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+    # names that df doesn't have
+    tag = "_" * (1 + max((len(c) for c in [*df.columns, name] if c.startswith("_")), default=0))
+    at, size, before = (f"{tag}{c}" for c in ("bucket", "size", "before"))
+    numbered = df.withColumn(at, bucket)
+    own = Window.partitionBy(*part, at).orderBy(*order)
+    earlier = Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy(*part, at).agg(F.count(F.lit(1)).alias(size))
+    sums = sizes.select(*[F.col(c).alias(f"{tag}of_{c}") for c in [*part, at]], F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(before))
+    same = [F.col(c).eqNullSafe(F.col(f"{tag}of_{c}")) for c in [*part, at]]
+    ranked = numbered.withColumn(name, F.row_number().over(own)).join(sums, reduce(and_, same))
+    return ranked.withColumn(name, F.col(name) + F.col(before)).select(*df.columns, name)
 
 
 def carry_floor(value: Column, divisor: Column, part: list[str], order: list[str]) -> Column:

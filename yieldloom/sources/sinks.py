@@ -6,11 +6,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
 def export_sections(sections: dict[str, DataFrame], path: str, fmt: str = "csv") -> None:
     """One folder for each section of a report."""
     for name, df in sections.items():
@@ -53,5 +59,27 @@ def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the scratch folder once and read back: later uses see the same rows and don't work them out
     again, also after executors are lost."""
     path = scratch_path(df.sparkSession)
+    held = _held.get()
+    if held is not None:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library has written, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes at its end, so a stream doesn't fill the scratch folder: write the results down inside."""
+    held: list[str] = []
+    outer = _held.set(held)
+    try:
+        yield
+    finally:
+        _held.reset(outer)
+        for path in held:
+            delete(spark, path)
