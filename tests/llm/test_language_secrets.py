@@ -1,6 +1,8 @@
+import functools
 import hashlib
-import re
+import math
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -67,6 +69,50 @@ def test_code_lengths_equal_a_walk_over_contexts(alphabets):
         np.testing.assert_allclose(got[:, k], [slow_bits(counts, t) for t in texts], rtol=1e-4, atol=1e-3)
 
 
+def test_language_query_against_brute_force(spark):
+    """Folds, learned texts, predictions and scores of the whole small table, by dictionaries of contexts."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _, _ in docs}
+    learned = [(t, lang) for d, t, lang in docs if not held[d] and t is not None and lang is not None]
+    langs = sorted({lang for _, lang in learned})
+    assert max(sum(lang == k for _, lang in learned) for k in langs) <= language.SAMPLE_DOCS
+    counts = {k: {} for k in langs}
+    for t, lang in learned:
+        s = b"\n\n\n" + t.encode().lower()
+        for i in range(3, len(s)):
+            for order in range(4):
+                followers = counts[lang].setdefault(s[i - order : i], {})
+                followers[s[i]] = followers.get(s[i], 0) + 1
+    sums = {k: {c: (sum(f.values()), len(f)) for c, f in v.items()} for k, v in counts.items()}
+
+    @functools.cache
+    def bits(lang, run):
+        spent = 0.0
+        for order in (3, 2, 1, 0):
+            context = run[3 - order : 3]
+            if context in sums[lang]:
+                total, distinct = sums[lang][context]
+                n = counts[lang][context].get(run[3])
+                if n:
+                    return spent - math.log2(n / (total + distinct))
+                spent -= math.log2(distinct / (total + distinct))
+        return spent + 8
+
+    want = {}
+    for d, t, _ in docs:
+        s = b"\n\n\n" + (t or "").encode().lower()
+        lengths = [sum(bits(k, s[i - 3 : i + 1]) for i in range(3, len(s))) for k in langs]
+        best = min(range(len(langs)), key=lengths.__getitem__)
+        known = any(c.isalpha() for c in t or "")
+        posterior = 1 / sum(2.0 ** max(-1000.0, lengths[best] - b) for b in lengths)
+        want[d] = (held[d], langs[best] if known else "und", posterior if known else 0.0)
+    got = queries.op5_language_id(spark, sf).collect()
+    assert len(got) == len(docs) == len(want)
+    for r in got:
+        assert (r.held_out, r.lang_pred) == want[r.doc_id][:2] and abs(r.score - want[r.doc_id][2]) < 1e-3
+
+
 def test_steps_do_not_change_code_lengths(monkeypatch):
     trees = language.ContextTrees(["a", "b"], np.array([0, 0, 1]), np.array([0x0A0A0A61, 0x0A0A6162, 0x0A0A0A78]), np.ones(3))
     texts = [b"abx" * 7, b"", b"x", b"ab"]
@@ -87,22 +133,42 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in language.detect(docs, None).collect()} == {"und"}
 
 
+def _optional(text, i, signs):
+    return i + (text[i : i + 1] != "" and text[i] in signs)
+
+
+def _spaces(text, i):
+    while text[i : i + 1] == " ":
+        i += 1
+    return i
+
+
+def brute_assign(text, lower, i):
+    """Where the value of an assignment at ``i`` begins and ends, sign by sign; None if there is none."""
+    word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if lower.startswith(w, i)), None)
+    if word is None:
+        return None
+    i = _spaces(text, _optional(text, i + len(word), "\"'"))
+    if text[i : i + 1] not in (":", "="):
+        return None
+    begin = end = _optional(text, _spaces(text, i + 1), "\"'")
+    while end < len(text) and text[end] in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-":
+        end += 1
+    return (begin, end) if end > begin else None
+
+
 def brute_spans(text):
     out = []
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     i = 0
     while i < len(text):
-        m = re.compile(r"""(password|passwd|secret|token|apikey|api_key)["']?\x20*[:=]\x20*["']?""").match(lower, i)
-        body = re.compile(r"[A-Za-z0-9+/_.=-]+").match(text, m.end()) if m else None
-        # the quote, signs and value may also share characters: fall back to the whole pattern there
-        w = secrets.ASSIGN.match(text, i)
-        assert (w is None) == (body is None) or w is not None
-        if w:
-            if len(w[2]) >= 8:
-                out.append((i, 0, w.end()))
-            i = w.end()
-        else:
+        found = brute_assign(text, lower, i)
+        if found is None:
             i += 1
+            continue
+        if found[1] - found[0] >= 8:
+            out.append((i, 0, found[1]))
+        i = found[1]
     for kind, alphabet, prefix, least in ((1, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "AKIA", 16), (2, "0123456789abcdef", "", 32)):
         i = 0
         while i < len(text):
