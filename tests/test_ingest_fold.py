@@ -1,12 +1,14 @@
 """Folding an ingest's batches into a base: nothing changes but what is read."""
 
+import datetime as dt
 import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_ingest import HEAD, _line
 
-from yieldloom.operators import election
+from yieldloom.operators import archive, election
 from yieldloom.sources import sinks
 from yieldloom.streaming import ingest
 
@@ -36,34 +38,59 @@ def _elected(store):
     return {r.id for r in election.elect_winners(store.table("candidates"), store.heads()).collect()}
 
 
-def test_folded_and_unfolded_stores_hold_the_same(spark, tmp_path):
-    plain, folded = ingest.UnitStore(spark, str(tmp_path / "plain")), ingest.UnitStore(spark, str(tmp_path / "folded"), buckets=4)
+def test_folds_change_nothing_but_what_is_read(spark, tmp_path):
+    folded = ingest.UnitStore(spark, str(tmp_path / "folded"), buckets=4)
     for number, files in enumerate(_batches(3)):
         rows = _rows(spark, tmp_path, files)
-        for store in (plain, folded):
-            ingest.publish_batch(store, rows, number)
-        if number in (0, 1):
+        ingest.publish_batch(folded, rows, number)
+        assert {w[3] for w in _state(folded)} == _elected(folded)
+        if number < 2:
             before = _state(folded)
             folded.fold(number)
             assert folded.upto() == number and _state(folded) == before
             folded.fold(number)
-    assert _state(folded) == _state(plain) and {w[3] for w in _state(folded)} == _elected(folded)
+    now = _state(folded)
 
     # a batch that comes again: one that the base holds changes nothing, one after it replaces itself
     ingest.publish_batch(folded, rows.limit(0), 1)
     ingest.publish_batch(folded, rows, 2)
-    assert _state(folded) == _state(plain)
+    assert _state(folded) == now
     with pytest.raises(ValueError, match="folded"):
         folded.winners(1)
 
     # the base is found again by a session that doesn't know its table, and older ones go
-    folder = folded._newest()[1]
-    spark.sql(f"DROP TABLE units_{folder}")
+    spark.sql(f"DROP TABLE units_{folded._newest()[2]}")
     again = ingest.UnitStore(spark, str(tmp_path / "folded"), buckets=2)
-    assert _state(again) == _state(plain)
+    assert _state(again) == now
     again.fold(2)
-    assert _state(again) == _state(plain)
-    assert again.table("ledger").count() == 2 and len(list((tmp_path / "folded" / "units").iterdir())) == 2
+    assert _state(again) == now and len(list((tmp_path / "folded" / "units").iterdir())) == 2
+
+
+def test_compacted_units_leave_the_store_and_stay_counted(spark, tmp_path):
+    store = ingest.UnitStore(spark, str(tmp_path / "store"), buckets=4)
+    old, new = "2026-01-04 10:00:00", "2026-01-06 10:00:00"
+    ingest.publish_batch(store, _rows(spark, tmp_path, {"a.csv": [_line("K1", old), _line("", old), _line("K2", new)], "b.csv": [_line("K1", new), _line("K3", old), _line("K4", new)]}), 0)
+    keys = archive.Archive.create(spark.createDataFrame([], "line string, dedup_key string, dedup_time long, file_name string"), buckets=4)
+    store.compact(0, dt.date(2026, 1, 5), keys)
+
+    def units():
+        return sorted((w[0], w[1]) for w in _state(store))
+
+    def grouped():
+        return store.groups().agg(F.sum("quantity")).first()[0]
+
+    assert units() == [("a.csv", "K2"), ("b.csv", "K4")] and grouped() == 3
+    assert sorted(r.dedup_key for r in keys.rows().collect()) == ["K1", "K3"]
+    policy = {"cutoff": "2026-01-05", "archived": keys}
+    # K1 doesn't win again; a file with archived rows can't be replaced
+    ingest.publish_batch(store, _rows(spark, tmp_path, {"c.csv": [_line("K1", new), _line("K5", new)], "a.csv": [_line("K6", new)]}), 1, **policy)
+    assert units() == [("a.csv", "K2"), ("b.csv", "K4"), ("c.csv", "K5")]
+    assert [(r.file_name, r.reason) for r in store.table("refused").collect()] == [("a.csv", "guarded")]
+    assert [r.archived_duplicates for r in store.table("counts").where("batch = 1").collect()] == [1]
+    # a later cutoff adds to the groups; the same one again, without new batches, changes nothing
+    for _ in range(2):
+        store.compact(1, dt.date(2026, 1, 7), keys)
+        assert units() == [] and grouped() == 6 and keys.rows().count() == 5
 
 
 def test_a_batch_reads_its_buckets_and_does_not_shuffle_the_base(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.functions import dates, records
@@ -42,11 +42,16 @@ def advanced(stored: DataFrame, days: DataFrame, n: int = 7, today: dt.date | No
     return records.with_bounds(stored, now).withColumn("cutoff", F.greatest("cutoff", "_now")).drop("_now")
 
 
+def dated_before(cutoff: dt.date) -> Column:
+    """Whether a row has a valid date before the cutoff."""
+    return dates.is_valid_iso_date(F.col("report_date")) & (F.col("report_date") < F.lit(str(cutoff)))
+
+
 def compact(winners: DataFrame, groups: DataFrame, cutoff: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unit rows dated before the cutoff move into weighted groups. Returns the unit rows that stay, the
     new groups, and the archived keys (line, dedup_key, dedup_time, file_name). Rows with an invalid date
     stay. Inputs are unchanged; the caller compares :func:`verify_compaction` before writing."""
-    old = dates.is_valid_iso_date(F.col("report_date")) & (F.col("report_date") < F.lit(str(cutoff)))
+    old = dated_before(cutoff)
     moved = winners.where(old)
     keys = moved.where(~election.blank()).select("line", "dedup_key", "dedup_time", "file_name")
     return winners.where(~old), facts.compact_groups(moved, groups), keys
@@ -150,12 +155,14 @@ def preview_compaction(candidates: DataFrame, winners: DataFrame, heads: DataFra
     return facts.per_line(candidates.sparkSession, out, zero)
 
 
-def run_maintenance(winners: DataFrame, candidates: DataFrame, heads: DataFrame, groups: DataFrame, stored_cutoff: dt.date | None, today: dt.date) -> dict[str, object]:
-    """One maintenance run as new tables: cutoff, winners, groups, keys, candidates. Nothing moves before
-    there is a cutoff."""
+def run_maintenance(winners: DataFrame, candidates: DataFrame, heads: DataFrame, groups: DataFrame, stored_cutoff: dt.date | None, today: dt.date, archive=None) -> dict[str, object]:
+    """One maintenance run as new tables: cutoff, winners, groups, keys, candidates. Nothing moves before there is a
+    cutoff. What moves is verified (:func:`compact_verified`); ``keys`` are all that the ``archive`` holds then, or
+    without one those of this run."""
     cutoff = advance_watermark(stored_cutoff, facts.producing_dates(winners, groups), today=today)
     pruned = prune_superseded(candidates, winners, heads)
     if cutoff is None:
-        return {"cutoff": None, "winners": winners, "groups": groups, "keys": None, "candidates": pruned}
-    stay, merged, keys = compact(winners, groups, cutoff)
-    return {"cutoff": cutoff, "winners": stay, "groups": merged, "keys": keys, "candidates": strip_raw(pruned, str(today - dt.timedelta(days=30)), str(cutoff)) if "raw" in pruned.columns else pruned}
+        return {"cutoff": None, "winners": winners, "groups": groups, "keys": None if archive is None else archive.rows(), "candidates": pruned}
+    keys = compact(winners, groups, cutoff)[2]
+    stay, merged = compact_verified(winners, groups, cutoff, archive)
+    return {"cutoff": cutoff, "winners": stay, "groups": merged, "keys": keys if archive is None else archive.rows(), "candidates": strip_raw(pruned, str(today - dt.timedelta(days=30)), str(cutoff)) if "raw" in pruned.columns else pruned}

@@ -470,7 +470,8 @@ def run_maintenance(spark, d):
     """One maintenance run: what is left as units, moved into groups, archived as keys, kept as candidates."""
     log = b.plog(spark, d)
     winners = election.elect_winners(log)
-    done = retention.run_maintenance(winners, log, b.heads(spark, d), facts.compact_groups(winners.limit(0)), None, dt.date(2024, 1, 25))
+    keys = archive.Archive.create(winners.limit(0), buckets=16)
+    done = retention.run_maintenance(winners, log, b.heads(spark, d), facts.compact_groups(winners.limit(0)), None, dt.date(2024, 1, 25), keys)
     groups = done["groups"].agg(F.lit("groups").alias("store"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("quantity"))
     rows = {"units": done["winners"], "keys": done["keys"], "candidates": done["candidates"]}
     for name, df in rows.items():

@@ -9,6 +9,7 @@ files that it replaces, and the batches that came after the base.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from yieldloom.functions import rates
-from yieldloom.operators import archive, election
+from yieldloom.operators import archive, election, facts, retention
 from yieldloom.sources import readers, sinks
 from yieldloom.streaming import streams
 
@@ -34,7 +35,7 @@ _TABLES = {
     "winners": "id long, sign int",
     "counts": "line string, accepted long, duplicates long, archived_duplicates long",
     "refused": "file_name string, reason string, rows long",
-    "ledger": "folder string, buckets int",
+    "ledger": "turn long, folder string, buckets int, groups string",
 }
 
 
@@ -64,10 +65,11 @@ class UnitStore:
     def write(self, name: str, batch: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
 
-    def _newest(self) -> tuple[int, str | None, int]:
-        """The last batch that the base holds (-1: there is no base), its folder and its buckets."""
-        row = self.table("ledger").agg(F.max(F.struct("batch", "folder", "buckets")).alias("last")).first()["last"]
-        return (-1, None, self.buckets) if row is None else tuple(row)
+    def _newest(self) -> tuple[int, int, str | None, int, str | None]:
+        """The last batch that the base holds (-1: there is no base), how often a base was written, its folder, its buckets and
+        the folder of its groups."""
+        row = self.table("ledger").agg(F.max(F.struct("batch", "turn", "folder", "buckets", "groups")).alias("last")).first()["last"]
+        return (-1, 0, None, self.buckets, None) if row is None else tuple(row)
 
     def upto(self) -> int:
         """The last batch that the base holds; -1 at first."""
@@ -97,7 +99,7 @@ class UnitStore:
         return rows.join(signs, F.col("id") == F.col("of_id"), "left").select(*COLUMNS, wins.alias("wins"))
 
     def _rows(self, before: int | None = None) -> DataFrame:
-        upto, folder, buckets = self._newest()
+        upto, _, folder, buckets, _ = self._newest()
         if before is not None and before <= upto:
             raise ValueError(f"batch {before} has been folded into the base")
         return self._signed(self._base(folder, buckets), self.table("candidates", before, upto), upto, before)
@@ -109,7 +111,7 @@ class UnitStore:
     def touched(self, rows: DataFrame, before: int) -> DataFrame:
         """Live rows of the units and of the files that ``rows`` hold, with ``wins``, as they were ``before`` a batch. To the
         driver come at most as many numbers as the base has buckets and ``rows`` has files."""
-        upto, folder, buckets = self._newest()
+        upto, _, folder, buckets, _ = self._newest()
         heads = self.heads(before)
         replaced = heads.join(rows.select("file_name").distinct(), "file_name", "left_semi")
         batches = [r["batch"] for r in replaced.select("batch").distinct().collect()]
@@ -127,20 +129,39 @@ class UnitStore:
     def fold(self, upto: int) -> None:
         """Takes the batches up to ``upto`` into the base, without rows whose file has been replaced; they must all be
         finished. The base counts once the ledger names it; the one before it stays for those who read it, older ones go."""
-        if upto <= self.upto():
-            return
-        folder = uuid.uuid4().hex
-        rows = election.active_candidates(self._rows(upto + 1), self.heads(upto + 1)).withColumn("wins", F.col("wins").cast("int"))
-        placed = rows.withColumn("unit", _unit()).withColumn("bucket", _bucket(self.buckets)).repartition(self.buckets, "unit")
+        if upto > self.upto():
+            self._rebase(upto, self._live(upto), self._newest()[4])
+
+    def compact(self, upto: int, cutoff: dt.date, archived: archive.Archive) -> None:
+        """Folds the batches up to ``upto``, and moves units dated before the ``cutoff`` into weighted groups, verified
+        (:func:`retention.compact_verified`), and their keys into the archive; other rows of archived keys go too. The ledger
+        names base and groups together. Later batches need the archive and the cutoff; if a compaction fails, run it again
+        before the next batch."""
+        known = self.groups()
+        winners = self.winners(upto + 1)
+        _, merged = retention.compact_verified(winners, facts.compact_groups(winners.limit(0)) if known is None else known, cutoff, archived)
+        name = uuid.uuid4().hex
+        merged.write.parquet(f"{self.path}/groups/{name}")
+        moved = F.col("wins") & F.coalesce(retention.dated_before(cutoff), F.lit(False))
+        self._rebase(upto, archived.without(self._live(upto).where(~moved)), name)
+
+    def groups(self) -> DataFrame | None:
+        """Weighted groups of compacted units; None before there are any."""
+        name = self._newest()[4]
+        return None if name is None else self.spark.read.parquet(f"{self.path}/groups/{name}")
+
+    def _live(self, upto: int) -> DataFrame:
+        return election.active_candidates(self._rows(upto + 1), self.heads(upto + 1))
+
+    def _rebase(self, upto: int, rows: DataFrame, groups: str | None) -> None:
+        folder, turn = uuid.uuid4().hex, self._newest()[1] + 1
+        placed = rows.withColumns({"wins": F.col("wins").cast("int"), "unit": _unit()}).withColumn("bucket", _bucket(self.buckets)).repartition(self.buckets, "unit")
         placed.write.format("parquet").partitionBy("bucket").bucketBy(self.buckets, "unit").sortBy("unit").option("path", f"{self.path}/units/{folder}").saveAsTable(f"units_{folder}")
-        self.write("ledger", upto, self.spark.range(1).select(F.lit(folder).alias("folder"), F.lit(self.buckets).alias("buckets")))
-        for old in self.table("ledger").orderBy(F.desc("batch")).offset(2).collect():
-            self._drop(old["folder"], old["batch"])
-
-    def _drop(self, folder: str, batch: int) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS units_{folder}")
-        for name in (f"ledger/batch={batch}", f"units/{folder}"):
-            sinks.delete(self.spark, f"{self.path}/{name}")
+        entry = self.spark.range(1).select(F.lit(turn).cast("long").alias("turn"), F.lit(folder).alias("folder"), F.lit(self.buckets).alias("buckets"), F.lit(groups).cast("string").alias("groups"))
+        entry.write.mode("append").parquet(f"{self.path}/ledger/batch={upto}")
+        for old in self.table("ledger").where(F.col("turn") == turn - 2).collect():
+            self.spark.sql(f"DROP TABLE IF EXISTS units_{old['folder']}")
+            sinks.delete(self.spark, f"{self.path}/units/{old['folder']}")
 
 
 
@@ -176,9 +197,10 @@ def parse_batch(rows: DataFrame, batch: int, line: str) -> DataFrame:
 
 def publish_batch(store: UnitStore, rows: DataFrame, batch: int, line: str = "DAF", cutoff: str | None = None, archived: archive.Archive | None = None, groups: DataFrame | None = None) -> None:
     """One batch of raw log rows into the store; files with refusals stay out as a whole and are listed. A batch that the
-    base holds already changes nothing."""
+    base holds already changes nothing. Files with archived rows are known by ``groups``, or else by the store's own."""
     if batch <= store.upto():
         return
+    groups = store.groups() if groups is None else groups
     with sinks.released(store.spark):
         units = sinks.staged(parse_batch(rows, batch, line))
         refused = sinks.staged(refusals(units, cutoff, archived, groups))
