@@ -192,10 +192,13 @@ def publish_archived_counts(spark, d):
     return _published(spark, d)[0].counts
 
 
-@query(f"""{_OVER}, f AS (SELECT line, file_name, status, input_included FROM now UNION ALL SELECT line, file_name, status, input_included FROM moved)
-SELECT line, file_name, count(*) AS row_count, {n("input_included")} AS input_count, {n("input_included AND status = 'GOOD'")} AS good_count, {n("input_included AND status = 'FAIL'")} AS fail_count FROM f GROUP BY ALL""")
+@query(f"""{_OVER}, f AS (SELECT line, file_name, status, input_included FROM now UNION ALL SELECT line, file_name, status, input_included FROM moved),
+h AS (SELECT DISTINCT line, file_name FROM plog)
+SELECT h.line, h.file_name, count(f.line) AS row_count, {n("input_included")} AS input_count, {n("input_included AND status = 'GOOD'")} AS good_count, {n("input_included AND status = 'FAIL'")} AS fail_count
+FROM h LEFT JOIN f ON f.line = h.line AND f.file_name = h.file_name GROUP BY ALL""")
 def publish_archived_summaries(spark, d):
-    """File summaries after that: those of touched files are made anew, from units and groups, others stay."""
+    """File summaries after that: those of touched files are made anew, from units and groups, others stay. A file none of whose
+    units counts has a summary too."""
     stay, others, heads, groups, keys, incoming, head = _compacted(spark, d)
     none = F.lit(None).cast("string")
     blank_details = dict.fromkeys(("model_name", "product_code", "work_order", "report_date", "date_start", "date_end"), none)
