@@ -199,3 +199,25 @@ def test_clean_logs_are_read_without_a_shuffle_of_lines(spark, tmp_path):
     records.collect()
     plan = records._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan and "Window" not in plan.split("Initial Plan")[0]
+
+
+def test_keys_share_state_in_buckets(spark, tmp_path):
+    # more keys than buckets: a batch visits the state once for each bucket, not for each key
+    streams.use_state_store(spark)
+    rows = [("DAF", f"k{k}", 100 * turn + k, None if k == 7 else (3 - turn) * 1000 + k) for turn in range(2) for k in range(50)]
+    rows += [("FT1", "k1", 900, 5), (None, "k1", 901, 6)]
+    for part in (rows[:50], rows[50:]):
+        spark.createDataFrame(part, "line string, dedup_key string, id long, dedup_time long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("line string, dedup_key string, id long, dedup_time long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got, seen = {}, []
+
+    def keep(part, _):
+        found = part.collect()
+        seen.append(len(found))
+        got.update({(r.line, r.dedup_key): (r.id, r.dedup_time) for r in found})
+
+    query = streams.stream_dedup(source, buckets=3).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    _drain(query)
+    want = {("DAF", f"k{k}"): (100 + k, 2000 + k) for k in range(50)} | {("DAF", "k7"): (7, None), ("FT1", "k1"): (900, 5), (None, "k1"): (901, 6)}
+    assert got == want and sum(seen) == 50 + 49 + 2
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3 * 3
