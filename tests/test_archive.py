@@ -146,3 +146,11 @@ def test_a_lossy_compaction_is_stopped(spark, store):
     assert keys.rows().count() == before
     stay, merged = retention.compact_verified(rows, groups, dt.date(2026, 12, 1), keys)
     assert stay.count() == 0 and merged.agg(F.sum("quantity")).first()[0] == 6 and keys.rows().count() == before + 6
+
+
+def test_stored_state_is_worked_out_once(spark):
+    from yieldloom.plans import stores
+
+    # candidates, winners and heads stand written: nothing that is published over them parses the log or ranks it again
+    for table in stores._compacted(spark, "/root/testdata/sf0.001")[:4]:
+        assert table.inputFiles() and not any("events.parquet" in f for f in table.inputFiles())
