@@ -343,3 +343,13 @@ def test_references_leave_when_matched_or_old(spark):
     rows, left = election.settle_references(log, spark.createDataFrame(refs, "dedup_key string, machine string, said_at timestamp"), at + dt.timedelta(days=1))
     assert {r.dedup_key: r.machine for r in rows.collect()} == {"a": "1號機", "c": "2號機", "d": None}
     assert sorted((r.dedup_key, r.machine) for r in left.collect()) == [("b", "1號機"), ("c", "1號機"), ("c", "2號機"), ("d", "1號機")]
+
+
+def test_systemic_locations_read_the_scan_once(spark, tmp_path):
+    from yieldloom.operators import cross
+
+    rows = [("L1", "2026-01-01", 2), ("L1", "2026-01-01", 3), ("L2", "2026-01-02", 5), ("L2", "2026-01-03", 1), (None, "2026-01-04", None), ("L1", None, 4)]
+    spark.createDataFrame(rows, "location string, production_date string, qty long").write.parquet(str(tmp_path / "scan"))
+    out = cross.systemic_locations(spark.read.parquet(str(tmp_path / "scan")))
+    assert [tuple(r) for r in out.collect()] == [("L1", 9, 1, 60.0, 4, False), ("L2", 6, 2, 40.0, 4, True)]
+    assert not any(str(tmp_path) in f for f in out.inputFiles())

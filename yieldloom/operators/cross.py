@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions import rates
 from yieldloom.operators import star
+from yieldloom.sources.sinks import staged
 
 DIMS = {"type": "type", "location": "location", "model": "model", "work_order": "wo_number", "day": "production_date"}
 TWO = [("type", "location"), ("type", "model"), ("type", "work_order"), ("location", "work_order"), ("location", "model"), ("location", "type"), ("model", "type"), ("model", "location"), ("model", "work_order"), ("work_order", "type"), ("work_order", "location"), ("day", "type")]
@@ -71,8 +72,10 @@ def rank_order() -> list[Column]:
 def systemic_locations(scan: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` places with most defects: name, qty, share, days with defects, all days, systemic (on at
     least half of the days)."""
-    days = scan.agg(F.count_distinct("production_date").alias("total_days"))
-    found = scan.where("qty is not null").groupBy(F.col("location").alias("name")).agg(F.sum("qty").alias("qty"), F.count_distinct("production_date").alias("appear_days"))
+    # places and days are few: one pass over the scan, whose joins the days, the places and their total would each work out again
+    cells = staged(scan.groupBy(F.col("location").alias("name"), "production_date").agg(F.sum("qty").alias("qty")))
+    days = cells.agg(F.count_distinct("production_date").alias("total_days"))
+    found = cells.where("qty is not null").groupBy("name").agg(F.sum("qty").alias("qty"), F.count_distinct("production_date").alias("appear_days"))
     out = rates.with_share(found, [], "qty").crossJoin(F.broadcast(days))
     return top_k(out.withColumn("systemic", F.col("appear_days") * 2 >= F.col("total_days")), k, [F.desc("qty"), F.asc("name")])
 
