@@ -221,3 +221,33 @@ def test_keys_share_state_in_buckets(spark, tmp_path):
     want = {("DAF", f"k{k}"): (100 + k, 2000 + k) for k in range(50)} | {("DAF", "k7"): (7, None), ("FT1", "k1"): (900, 5), (None, "k1"): (901, 6)}
     assert got == want and sum(seen) == 50 + 49 + 2
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3 * 3
+
+
+def test_waiting_keys_share_state_in_buckets(spark, tmp_path):
+    streams.use_state_store(spark)
+    logs, refs = "dedup_key string, id long, ts timestamp", "dedup_key string, machine string, ts timestamp"
+    day = [dt.datetime(2026, 1, 1) + dt.timedelta(days=n) for n in range(200)]
+    batches = [
+        ([(f"k{k}", k, day[0]) for k in range(40)], [("k0", "1號機", day[0]), ("late", "1號機", day[0])]),
+        ([("k1", 100, day[1])], [(f"k{k}", "2號機", day[1]) for k in range(1, 20)]),
+        ([("k30", 101, day[29])], []),
+        ([("late", 102, day[60])], []),
+        ([("z", 103, day[61])], [("k30", "1號機", day[61])]),
+        ([("z", 104, day[150])], []),
+        ([("z", 105, day[151])], []),
+    ]
+    visits = []
+    for log, ref in batches:
+        spark.createDataFrame(log, logs).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        spark.createDataFrame(ref, refs).coalesce(1).write.mode("append").parquet(str(tmp_path / "ref"))
+        joined = streams.stream_machine_join(spark.readStream.schema(logs).parquet(str(tmp_path / "log")), spark.readStream.schema(refs).parquet(str(tmp_path / "ref")), 30, buckets=2)
+        query = joined.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        _drain(query)
+        visits += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    got = {r.id: r.machine_by_reference for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    none = "未分類機台"
+    assert {k: got[k] for k in range(40)} == {0: "1號機", **dict.fromkeys(range(1, 20), "2號機"), **dict.fromkeys(range(20, 40), none)}
+    # the watermark had not yet passed the reference when row 102 came
+    assert got[100] == "2號機" and got[101] == none and got[102] == "1號機"
+    # chunks, a reference map and a timer for each bucket: far less than a row for each key
+    assert max(visits) < 30
