@@ -281,3 +281,12 @@ def test_toxicity_learns_sentences(spark):
     assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
     empty = toxicity.learn(spark.createDataFrame(data, DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert empty.score("anything")[0] < 1e-9
+
+
+def test_all_of_a_nodes_content_counts():
+    # each word lies in one run: none is left out, however long the content, and shared content shares its runs
+    words = [f"w{k}" for k in range(3000)]
+    whole = html_extract._runs([" ".join(words)])
+    assert len(whole) > 200
+    for k in (5, 1500, 2990):
+        assert len(set(whole) - set(html_extract._runs([" ".join([*words[:k], "other", *words[k + 1 :]])]))) in (1, 2)

@@ -2,8 +2,8 @@
 
 Pages of one host are merged into a style tree: a node stands for all elements with the same chain of
 tags, classes and ids. For each node the tree holds how many pages have it, which presentations (markup
-inside it) they use, and which contents: runs of ``RUN`` words (a shorter text as a whole), of each page
-the ``SKETCH`` runs of smallest hashes, which pages with the same content share. What k pages have in common
+inside it) they use, and which contents: the whole text as runs of ``RUN`` words or so, each word in one of them. A run
+ends with the text or with a word whose hash says so, so the same content has the same runs wherever it stands. What k pages have in common
 counts 1/k, which is m^(H-1) for its entropy H = 1 - log k / log m among the node's m pages: the share of the node's
 content that is its own. So menus, notices and footers that stay the same make a node unimportant, and so do adverts
 and links that rotate, as soon as there are more pages than adverts. Presentations count by their entropy. Nodes of the same
@@ -45,7 +45,8 @@ LEAST_IMPORTANCE = 0.25
 #: Priors by part (PLAIN, KEPT, REMOVED, GONE): evidence against a node of an article must be twice as strong; a name is
 #: outweighed by an importance above 0.83, which takes varied shapes besides texts of its own; GONE always goes.
 PRIORS = (1.0, 2.0, 0.3, 0.0)
-RUN, SKETCH = 4, 16
+#: Words of a run, on average.
+RUN = 8
 #: The removed nodes of all hosts are broadcast up to this size; beyond it hosts are dealt into parts.
 BROADCAST_BYTES = 8 << 20
 PARTS = 64
@@ -244,12 +245,15 @@ def main_text(page: str, noise: frozenset[str] = frozenset(), content: frozenset
 
 
 def _runs(texts: list[str]) -> list[int]:
-    """The sketch of a node's content on a page."""
+    """All that a node's content on a page consists of, as hashes."""
     runs = set()
     for text in texts:
-        words = text.split()
-        runs |= {" ".join(words[k : k + RUN]) for k in range(max(1, len(words) - RUN + 1))}
-    return sorted(xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in runs)[:SKETCH]
+        words, start = text.split(), 0
+        for k, word in enumerate(words, 1):
+            if k == len(words) or xxhash.xxh3_64_intdigest(word) % RUN == 0:
+                runs.add(" ".join(words[start:k]))
+                start = k
+    return [xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in runs]
 
 
 def _host(url: Column) -> Column:
