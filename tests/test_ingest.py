@@ -1,7 +1,11 @@
 import datetime as dt
 import time
 
+from pyspark.sql import functions as F
+
+from yieldloom.functions import dates, text
 from yieldloom.operators import archive, election
+from yieldloom.sources import readers
 from yieldloom.streaming import ingest
 
 HEAD = "process,order,x,product,key,time,operator,defect,status"
@@ -53,3 +57,30 @@ def test_files_are_published_once_and_refused_whole(spark, tmp_path):
     again = spark.read.schema(ingest.LOG_SCHEMA).option("header", True).csv(str(tmp_path / "in" / "new.csv")).selectExpr("*", "'b.csv' AS source_file")
     ingest.publish_batch(store, again, 2, cutoff="2026-01-01", archived=archived)
     assert state() == [("a.csv", "", "GOOD"), ("a.csv", "K1", "FAIL"), ("a.csv", "K2", "GOOD"), ("b.csv", "K4", "GOOD")]
+
+
+def test_a_batch_ranks_once_and_sorts_no_row_for_its_number(spark, tmp_path, monkeypatch):
+    """A row's patterns stand in the plan once each, ids come without a sort, and the elected rows are worked out once."""
+    rows = [("DAF", "WO1", "", "FP-D01607MB11", f"K{k % 4}", at, "Y0176", "", "GOOD", None, f"{k % 3}.csv") for k, at in enumerate(["2026/1/5 下午 3:04:05", "2026-01-05T10:00", "45300.5", "soon", "", "2026-02-30", "2026/1/5 am 12:00"] * 4)]
+    raw = spark.createDataFrame(rows, ingest.LOG_SCHEMA + ", source_file string").repartition(5)
+    cells = [f"_c{k}" for k in range(10)]
+    parsed = readers.log_units(raw.withColumnsRenamed({"source_file": "file_name"}).withColumn("row_id", F.lit(1)))
+    for pattern, most in (("make_timestamp", 1), ("\\d{4}[/-]", 1), ("regexp_extract_all", 1)):
+        assert parsed._jdf.queryExecution().optimizedPlan().toString().count(pattern) == most, pattern
+    # the steps give what the columns give
+    plain = raw.select(dates.parse_datetime(F.col("_c5")).alias("at"), text.product_identity(F.col("_c3")).alias("code"), *cells)
+    steps = text.with_identity(dates.with_datetime(raw, F.col("_c5"), "at"), F.col("_c3"), "code").select("at", "code", *cells)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, steps.collect()))
+
+    units = ingest.parse_batch(raw, 3, "DAF")
+    plan = units._jdf.queryExecution().optimizedPlan().toString()
+    # one window elects within files, the other adds up a row for each task
+    assert plan.count("Window [") == 2
+    ids = [r["id"] for r in units.collect()]
+    assert len(set(ids)) == len(ids) and {i // ingest.BATCH_IDS for i in ids} == {3}
+
+    ranked = []
+    monkeypatch.setattr(election, "first_by", lambda df, *a, _first=election.first_by: ranked.append(df.columns) or _first(df, *a))
+    monkeypatch.setattr(archive, "staged", lambda df, _staged=archive.staged: ranked.append("held") or _staged(df))
+    ingest.publish_batch(ingest.UnitStore(spark, str(tmp_path / "store")), raw.where("_c5 rlike '^2026.1|^2026-01'"), 0)
+    assert ranked[1] == ingest._RANKED and ranked[2:] == ["held"]

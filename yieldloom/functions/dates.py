@@ -20,24 +20,60 @@ def is_valid_iso_date(c: Column) -> Column:
     return F.coalesce(day_of(c).isNotNull(), F.lit(False))
 
 
+_HALF = "(?i)上午|下午|AM|PM"
+
+
+def _clean(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s 　]+", " "))
+
+
+def _half(text: Column) -> Column:
+    return F.lower(F.regexp_extract(text, _HALF, 0))
+
+
+def _bare(text: Column, half: Column) -> Column:
+    # a cleaned text has no two spaces in a row before its half goes
+    return F.when(half != "", F.regexp_replace(F.regexp_replace(text, _HALF, " "), " +", " ")).otherwise(text)
+
+
+def _serial(text: Column) -> Column:
+    return F.when(text.rlike(r"^\d{1,6}(\.\d+)?$"), text.try_cast("double"))
+
+
+def _written(bare: Column) -> Column:
+    return F.regexp_extract(bare, r"\d{4}[/-]\d{1,2}[/-]\d{1,2}(?:[ T]+\d{1,2}(?::\d{2}){0,2})?", 0)
+
+
+def _numbers(written: Column) -> Column:
+    """Year, month and day of a text, and hour, minute and second as far as they are there; null without a day."""
+    # an empty text goes before it is cast: a cast that fails costs more than all patterns
+    return F.transform(F.split(F.nullif(written, F.lit("")), "[/: T-]+"), lambda part: part.try_cast("int"))
+
+
+def _datetime(serial: Column, half: Column, numbers: Column) -> Column:
+    def at(k: int) -> Column:
+        return F.coalesce(F.get(numbers, F.lit(k)), F.lit(0))
+
+    # a clock of twelve hours: 12 stands for 0, and the afternoon adds 12; hours past 12 are taken as they are
+    hour = F.when(half.isin("下午", "pm") & (at(3) < 12), at(3) + 12).when(half.isin("上午", "am") & (at(3) == 12), 0).otherwise(at(3))
+    written = F.try_make_timestamp_ntz(at(0), at(1), at(2), hour, at(4), at(5).cast("decimal(16,6)"))
+    counted = F.timestamp_add("SECOND", F.round(F.pmod(serial, F.lit(1.0)) * 86400).cast("long"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")).cast("timestamp_ntz"))
+    return F.when(serial.isNotNull(), F.when(serial >= 1, counted)).when(F.get(numbers, F.lit(0)).isNotNull() & (at(5) < 60), written)
+
+
 def parse_datetime(c: Column) -> Column:
     """Date and time from y/m/d or y-m-d with an optional time and 上午/下午/AM/PM, or from a
     spreadsheet serial number; null if there is none or the date doesn't exist."""
-    text = F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s 　]+", " "))
-    half = F.lower(F.regexp_extract(text, "(?i)上午|下午|AM|PM", 0))
-    bare = F.regexp_replace(F.regexp_replace(text, "(?i)上午|下午|AM|PM", " "), " +", " ")
-    day, clock = (F.regexp_extract(bare, r"(\d{4}[/-]\d{1,2}[/-]\d{1,2})(?:[ T]+(\d{1,2}(?::\d{2}){0,2}))?", k) for k in (1, 2))
-    ymd, hms = (F.transform(F.split(token, "[/:-]"), lambda part: part.try_cast("int")) for token in (day, clock))
+    text = _clean(c)
+    return _datetime(_serial(text), _half(text), _numbers(_written(_bare(text, _half(text)))))
 
-    def at(parts: Column, k: int) -> Column:
-        return F.coalesce(F.get(parts, F.lit(k)), F.lit(0))
 
-    # a clock of twelve hours: 12 stands for 0, and the afternoon adds 12; hours past 12 are taken as they are
-    hour = F.when(half.isin("下午", "pm") & (at(hms, 0) < 12), at(hms, 0) + 12).when(half.isin("上午", "am") & (at(hms, 0) == 12), 0).otherwise(at(hms, 0))
-    written = F.try_make_timestamp_ntz(at(ymd, 0), at(ymd, 1), at(ymd, 2), hour, at(hms, 1), at(hms, 2).cast("decimal(16,6)"))
-    serial = F.when(text.rlike(r"^\d{1,6}(\.\d+)?$"), text.try_cast("double"))
-    counted = F.timestamp_add("SECOND", F.round(F.pmod(serial, F.lit(1.0)) * 86400).cast("long"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")).cast("timestamp_ntz"))
-    return F.when(serial.isNotNull(), F.when(serial >= 1, counted)).when((day != "") & (at(hms, 2) < 60), written)
+def with_datetime(df: DataFrame, c: Column, name: str) -> DataFrame:
+    """``df`` with :func:`parse_datetime` of ``c``, in steps: each pattern is matched once a row, whatever asks for its groups."""
+    text, half, serial, written, numbers = (f"_{name}_{part}" for part in ("text", "half", "serial", "written", "numbers"))
+    steps = df.withColumn(text, _clean(c)).withColumns({half: _half(F.col(text)), serial: _serial(F.col(text))})
+    steps = steps.withColumn(written, F.when(F.col(serial).isNull(), _written(_bare(F.col(text), F.col(half))))).withColumn(numbers, _numbers(F.col(written)))
+    return steps.withColumn(name, _datetime(*[F.col(part) for part in (serial, half, numbers)])).drop(text, half, serial, written, numbers)
 
 
 def parse_stamp(c: Column) -> Column:

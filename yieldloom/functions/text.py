@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -155,21 +155,40 @@ def match_text(c: Column) -> Column:
     return normalize_text(_nfkc(F.coalesce(c.cast("string"), F.lit(""))))
 
 
+def _codes(text: Column) -> Column:
+    pattern = r"(?:^|(?<=[^A-Z0-9_-]))(FP-[A-Z0-9]+(?:-[A-Z0-9]+)*)(?=$|[^A-Z0-9_-])"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+
+def _code(text: Column, codes: Column) -> Column:
+    old = F.coalesce(*[F.when(F.contains(text, F.lit(code)), F.lit(code)) for code in OLD_PRODUCT_CODES], F.lit(""))
+    return F.when(F.size(codes) == 1, codes[0]).when(F.size(codes) > 1, F.lit("")).otherwise(old)
+
+
+def _identity(code: Column, text: Column) -> Column:
+    return F.when(code != "", code).when(text.rlike("FP-[A-Z0-9]+"), F.lit("")).otherwise(text)
+
+
 def product_code(c: Column) -> Column:
     """The only FP- code that stands alone in the text, '' if there are several different ones; without
     one, the first of the old codes that it contains, else ''."""
     text = normalize_text(c)
-    pattern = r"(?:^|(?<=[^A-Z0-9_-]))(FP-[A-Z0-9]+(?:-[A-Z0-9]+)*)(?=$|[^A-Z0-9_-])"
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    old = F.coalesce(*[F.when(F.contains(text, F.lit(code)), F.lit(code)) for code in OLD_PRODUCT_CODES], F.lit(""))
-    return F.when(F.size(codes) == 1, codes[0]).when(F.size(codes) > 1, F.lit("")).otherwise(old)
+    return _code(text, _codes(text))
 
 
 def product_identity(c: Column) -> Column:
     """The product code; without one the matching text, unless that mentions an FP- code."""
-    code, text = product_code(c), match_text(c)
-    return F.when(code != "", code).when(text.rlike("FP-[A-Z0-9]+"), F.lit("")).otherwise(text)
+    return _identity(product_code(c), match_text(c))
+
 
+def with_identity(df: DataFrame, c: Column, name: str) -> DataFrame:
+    """``df`` with :func:`product_identity` of ``c``, in steps: each pattern is matched once a row, whatever asks for what it finds."""
+    text, codes, code, match = (f"_{name}_{part}" for part in ("text", "codes", "code", "match"))
+    steps = df.withColumns({text: normalize_text(c), match: _nfkc(F.coalesce(c.cast("string"), F.lit("")))})
+    steps = steps.withColumn(codes, F.when(F.contains(text, F.lit("FP-")), _codes(F.col(text))).otherwise(F.array().cast("array<string>")))
+    steps = steps.withColumn(code, _code(F.col(text), F.col(codes)))
+    steps = steps.withColumn(match, F.when(F.col(code) == "", normalize_text(F.col(match))))
+    return steps.withColumn(name, _identity(F.col(code), F.col(match))).drop(text, codes, code, match)
 
 
 def process_line(c: Column) -> Column:

@@ -120,6 +120,7 @@ def publish(
     archive: Archive | None = None,
     groups: DataFrame | None = None,
     cutoff: str | None = None,
+    hold: bool = False,
 ) -> Publication:
     """Makes ``head`` (line, file_name, job_id; all lines of its files) count, with its rows ``incoming``.
 
@@ -127,7 +128,7 @@ def publish(
     ``cutoff``, and rows earlier than the archived ones of their keys. Keys that win in another file, or are archived
     from one, count as duplicates. Keys of the files' old winners and of the new rows are ranked again, unless they
     are archived; other winners stay. Only the upload's own keys, and what the archive says of them, are written down
-    before the result is asked for."""
+    before the result is asked for; with ``hold`` the elected rows too, for callers that ask for several parts of it."""
     names = head.select("file_name").distinct()
     replaced = heads.join(names, "file_name", "left_semi")
     _refuse_archived(groups, replaced.select("line", "file_name"), "replaced")
@@ -151,6 +152,7 @@ def publish(
     pool = candidates.where(~blank()).join(live, KEY, "left_semi").select(*candidates.columns)
     pool = election.active_candidates(pool, heads_now).unionByName(own.join(live, KEY, "left_semi").select(*candidates.columns))
     elected = election.first_by(pool, KEY, election.order())
+    elected = staged(elected) if hold else elected
     loose = election.active_candidates(incoming.where(blank()), head)
 
     kept = winners.join(touched.select(*KEY), KEY, "left_anti").select(*candidates.columns)

@@ -118,9 +118,10 @@ def log_units(rows: DataFrame, default_line: str = "DAF") -> DataFrame:
     dedup_time (ms), report_date, work_order, product_code, model_name, status, flags, defect, machine."""
     c = {name: F.col(f"_c{k}") for name, k in CURRENT.items()}
     line = F.coalesce(text.process_line(c["process"]), F.lit(default_line))
-    at, status, code = dates.parse_datetime(c["time"]), text.normalize_text(c["status"]), text.product_identity(c["product"])
+    steps = dates.with_datetime(text.with_identity(rows, c["product"], "_code"), c["time"], "_at").withColumn("_status", text.normalize_text(c["status"]))
+    at, status, code = F.col("_at"), F.col("_status"), F.col("_code")
     ms = F.unix_millis(at.cast("timestamp"))
-    return rows.select(
+    return steps.select(
         line.alias("line"),
         "file_name",
         "row_id",

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from yieldloom.functions import rates
 from yieldloom.operators import archive, election, facts, retention
 from yieldloom.sources import readers, sinks
 from yieldloom.streaming import streams
@@ -27,6 +26,8 @@ UNIT = (
     " product_code string, model_name string, status string, defect string, machine string, input_included boolean, is_defect boolean, source_format string"
 )
 COLUMNS = [field.split()[0] for field in UNIT.split(", ")]
+# what an election asks of a unit
+_RANKED = ["id", "line", "file_name", "job_id", "dedup_key", "dedup_time", "created_at", "report_date"]
 # ids of one batch lie between its number times this and the next one's
 BATCH_IDS = 2**40
 _TABLES = {
@@ -55,7 +56,7 @@ class UnitStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = archive.BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
         for name, schema in _TABLES.items():
-            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}/batch=-1")
+            spark.createDataFrame([], schema).limit(0).write.mode("overwrite").parquet(f"{path}/{name}/batch=-1")
 
     def table(self, name: str, before: int | None = None, after: int = -1) -> DataFrame:
         """Rows of one of the tables with their batch; of batches ``before`` one and ``after`` another only, if given."""
@@ -65,6 +66,10 @@ class UnitStore:
     def write(self, name: str, batch: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
 
+    def written(self, name: str, batch: int) -> DataFrame:
+        """What :meth:`write` has written for a batch."""
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}/batch={batch}")
+
     def _newest(self) -> tuple[int, int, str | None, int, str | None]:
         """The last batch that the base holds (-1: there is no base), how often a base was written, its folder, its buckets and
         the folder of its groups."""
@@ -78,7 +83,8 @@ class UnitStore:
     def _base(self, folder: str | None, buckets: int) -> DataFrame:
         """The folded units: unit, bucket, wins and their columns."""
         if folder is None:
-            return self.spark.createDataFrame([], f"{UNIT}, wins int, unit string, bucket int")
+            # the limit tells Spark that there is nothing, so that it plans no joins with it
+            return self.spark.createDataFrame([], f"{UNIT}, wins int, unit string, bucket int").limit(0)
         name = f"units_{folder}"
         if not self.spark.catalog.tableExists(name):
             at = f"{self.path}/units/{folder}".replace("'", "\\'")
@@ -184,14 +190,20 @@ def refusals(units: DataFrame, cutoff: str | None = None, archived: archive.Arch
 
 
 def parse_batch(rows: DataFrame, batch: int, line: str) -> DataFrame:
-    """Units of raw log rows (_c0 to _c9, source_file), de-duplicated within each file, with ids of the batch in the order
-    of their rows and a job for each file."""
+    """Units of raw log rows (_c0 to _c9, source_file), de-duplicated within each file, with ids of the batch that grow with
+    their rows, and a job for each file."""
     raw = rows.withColumnsRenamed({"source_file": "file_name"}).withColumn("row_id", F.monotonically_increasing_id())
     # written down once, as the numbers above depend on how the files were read
     units = sinks.staged(readers.log_units(raw.where(F.concat_ws("", *[F.trim(f"_c{k}") for k in range(10)]) != ""), line))
-    kept = election.dedup_file(units)
-    numbered = rates.with_bucketed_rank(kept, [], F.shiftright("row_id", 33), [F.col("row_id")], "_rank")
-    own = {"id": F.col("_rank") + F.lit(batch * BATCH_IDS), "job_id": F.concat(F.lit(f"{batch}-"), F.md5("file_name")), "created_at": F.lit(batch).cast("long"), "source_format": F.lit("current-v2")}
+    # a row's number is its task's above 33 bits and its place there: places follow those of the tasks before, without a sort
+    task = F.shiftright("row_id", 33)
+    ends = units.groupBy(task.alias("_task")).agg((F.max(F.col("row_id").bitwiseAND(2**33 - 1)) + 1).alias("_rows"))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("_task", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    # a row for each task that read files
+    numbered = election.dedup_file(units).join(F.broadcast(starts), task == F.col("_task"))
+    place = F.col("_start") + F.col("row_id").bitwiseAND(2**33 - 1) + 1
+    own = {"id": place + F.lit(batch * BATCH_IDS), "job_id": F.concat(F.lit(f"{batch}-"), F.md5("file_name")), "created_at": F.lit(batch).cast("long"), "source_format": F.lit("current-v2")}
     return numbered.withColumns(own).select(*COLUMNS)
 
 
@@ -204,13 +216,16 @@ def publish_batch(store: UnitStore, rows: DataFrame, batch: int, line: str = "DA
     with sinks.released(store.spark):
         units = sinks.staged(parse_batch(rows, batch, line))
         refused = sinks.staged(refusals(units, cutoff, archived, groups))
-        good = units.join(refused.select("file_name").distinct(), "file_name", "left_anti").select(*COLUMNS)
-        head = good.select("line", "file_name", "job_id").distinct()
-        part = sinks.staged(store.touched(good, batch))
-        done = archive.publish(part.where("wins").select(*COLUMNS), part.select(*COLUMNS), store.heads(batch), good, head, archived, groups, cutoff)
+        store.write("candidates", batch, units.join(refused.select("file_name").distinct(), "file_name", "left_anti").select(*COLUMNS))
+        # read back where they are, as what follows asks for rows and heads again and again
+        good = store.written("candidates", batch)
+        store.write("heads", batch, good.select("line", "file_name", "job_id").distinct())
+        head = store.written("heads", batch)
+        part = sinks.staged(store.touched(good, batch).select(*_RANKED, "wins"))
+        done = archive.publish(part.where("wins").select(*_RANKED), part.select(*_RANKED), store.heads(batch), good.select(*_RANKED), head, archived, groups, cutoff, hold=True)
         signed = done.added.select("id", F.lit(1).alias("sign")).unionByName(done.removed.select("id", F.lit(-1).alias("sign")))
         changed = signed.groupBy("id").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
-        for name, table in {"refused": refused, "candidates": good, "heads": head, "counts": done.counts, "winners": changed}.items():
+        for name, table in {"refused": refused, "counts": done.counts, "winners": changed}.items():
             store.write(name, batch, table)
 
 
